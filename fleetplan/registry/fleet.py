@@ -7,13 +7,15 @@ there, like a task table at rest. The others are row-local projections.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetplan.functions.numbering import positions
-from fleetplan.session import stage
+from fleetplan.session import shared_dir, stage
+from fleetplan.sources.history import append_history
 
 AS_OF = "1998-06-01 00:00:00"
 
@@ -21,6 +23,8 @@ _FLEETS: dict[tuple[str, str], "Fleet"] = {}
 
 
 def fleet(spark: SparkSession, sf_dir: str) -> "Fleet":
+    # The tables hold zone-less timestamps; they are read as UTC.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _FLEETS:
         _FLEETS[key] = Fleet(spark, sf_dir)
@@ -31,6 +35,7 @@ class Fleet:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._built: dict[str, object] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -143,8 +148,12 @@ class Fleet:
 
     @cached_property
     def pod_events(self) -> DataFrame:
+        return self.as_pod_events(self.table("events"))
+
+    @staticmethod
+    def as_pod_events(events: DataFrame) -> DataFrame:
         kind = F.col("event_type")
-        return self.table("events").select(
+        return events.select(
             "event_id",
             F.col("ts").cast("timestamp").alias("ts"),
             F.col("user_id").alias("wf_id"),
@@ -159,6 +168,19 @@ class Fleet:
             .alias("pod_phase"),
         )
 
+    @cached_property
+    def history_path(self) -> str:
+        """The executions as a stored history table, partitioned by day."""
+        path = f"{shared_dir(self.spark)}/history/{uuid.uuid4().hex}"
+        append_history(self.executions, path)
+        return path
+
+    def once(self, name: str, build):
+        """A result shared by several queries, built on first use."""
+        if name not in self._built:
+            self._built[name] = build()
+        return self._built[name]
+
     @cached_property
     def quantities(self) -> DataFrame:
         size = F.col("p_size")
@@ -231,8 +253,7 @@ class Fleet:
                 ).alias("maxResources"),
                 F.when(key % 40 != 39, listed).alias("tasks"),
             ).alias("spec"),
-            F.lit(None).cast("string").alias("marker"),
             F.col("o_orderdate").cast("timestamp").alias("submitted_at"),
             "o_orderstatus",
             "o_orderpriority",
-        ).drop("marker")
+        )
