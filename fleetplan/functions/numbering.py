@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetplan.session import MAX_FOLD_TASKS, stage
+from fleetplan.session import MAX_FOLD_TASKS, large_groups, stage
 
 
 def positions(
@@ -25,11 +25,9 @@ def positions(
     range, and shifted by the row counts of the earlier ranges. ``sizes`` may
     hand in a cheaper frame to count the keys on (a superset of the rows).
     """
-    counted = (df if sizes is None else sizes).select(key)
-    large = counted.groupBy(key).count().where(F.col("count") > max_group).select(key)
-    large = stage(large, "large-keys")
+    large = large_groups(df if sizes is None else sizes, key, max_group)
     window = Window.partitionBy(key).orderBy(*order)
-    if large.isEmpty():
+    if large is None:
         return df.withColumn(name, F.row_number().over(window) - 1)
 
     small = df.join(large, key, "left_anti").withColumn(name, F.row_number().over(window) - 1)

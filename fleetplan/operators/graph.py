@@ -25,23 +25,32 @@ def _arcs(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     at = tasks.select("wf_id", "task_name", F.col("idx").alias("dst"))
     dep = tasks.select("wf_id", F.col("task_name").alias("dep"), F.col("idx").alias("src"))
     return (
-        edges.distinct()
-        .join(dep, ["wf_id", "dep"], "left")
+        edges.join(dep, ["wf_id", "dep"], "left")
         .join(at, ["wf_id", "task_name"])
         .select("wf_id", "dst", "src")
     )
 
 
-def _nodes(tasks: DataFrame, arcs: DataFrame) -> DataFrame:
+def _spec_order(arcs: DataFrame) -> DataFrame:
+    return arcs.where(F.col("src").isNull() | (F.col("src") < F.col("dst")))
+
+
+def _nodes(tasks: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each task with the positions of its dependencies. Dependencies are grouped
+    by task name, the key the tasks are joined on: one exchange serves both."""
+    at = tasks.select("wf_id", F.col("task_name").alias("dep"), F.col("idx").alias("src"))
     deps = (
-        arcs.groupBy("wf_id", F.col("dst").alias("idx"))
+        edges.join(at, ["wf_id", "dep"], "left")
+        .groupBy("wf_id", "task_name")
         .agg(
             F.collect_set("src").alias("deps"),
             F.bool_or(F.col("src").isNull()).alias("dangling"),
             F.max("src").alias("last_dep"),
         )
     )
-    return tasks.select("wf_id", "idx", "task_name", "duration").join(deps, ["wf_id", "idx"], "left")
+    return tasks.select("wf_id", "idx", "task_name", "duration").join(
+        deps, ["wf_id", "task_name"], "left"
+    )
 
 
 def _forward_pass(nodes: DataFrame) -> DataFrame:
@@ -148,26 +157,30 @@ def earliest_start(
     columns = ["wf_id", "idx", "task_name", "start", "end"]
     large = oversized_workflows(tasks, max_fold)
     has_large = not large.isEmpty()
-    arcs = _arcs(tasks, edges)
-    if order == "spec":
-        arcs = arcs.where(F.col("src").isNull() | (F.col("src") < F.col("dst")))
-        if not has_large:
-            return _forward_pass(_nodes(tasks, arcs)).select(*columns)
-    ordinary, foldable = tasks, arcs
+    ordinary, foldable = tasks, edges
     if has_large:
         large = stage(large, "oversized")
         ordinary = tasks.join(large, "wf_id", "left_anti")
-        foldable = arcs.join(large, "wf_id", "left_anti")
-    passed = stage(_forward_pass(_nodes(ordinary, foldable)), "forward")
-    good = passed.where("in_order").select(*columns)
-    rest = passed.where(~F.col("in_order")).select("wf_id").distinct()
-    if has_large:
-        rest = rest.unionByName(large)
-    rest = stage(rest, "by-level")
-    if rest.isEmpty():
-        return good
+        foldable = edges.join(large, "wf_id", "left_anti")
+    passed = _forward_pass(_nodes(ordinary, foldable))
+    if order == "spec":
+        good, rest = passed.select(*columns), large
+        if not has_large:
+            return good
+    else:
+        passed = stage(passed, "forward")
+        good = passed.where("in_order").select(*columns)
+        rest = passed.where(~F.col("in_order")).select("wf_id").distinct()
+        rest = stage(rest.unionByName(large) if has_large else rest, "by-level")
+        if rest.isEmpty():
+            return good
+    # ``rest`` is a stored table: where it is small, it is broadcast by its known
+    # size, and tasks and edges are cut down before they are shuffled.
     some = tasks.join(rest, "wf_id", "left_semi")
-    levels = _levels(some, arcs.join(rest, "wf_id", "left_semi"), dangling_blocks=False)
+    arcs = _arcs(some, edges.join(rest, "wf_id", "left_semi"))
+    if order == "spec":
+        arcs = _spec_order(arcs)
+    levels = _levels(some, arcs, dangling_blocks=False)
     slow = some.select("wf_id", "idx", "task_name").join(
         levels.select("wf_id", "idx", "start", "end"), ["wf_id", "idx"], "left"
     )
@@ -177,14 +190,13 @@ def earliest_start(
 def stuck_tasks(tasks: DataFrame, edges: DataFrame, max_fold: int = MAX_FOLD_TASKS) -> DataFrame:
     """Tasks that can never become ready: on or behind a cycle or a dangling edge."""
     nodes = tasks.select("wf_id", "idx", "task_name", F.lit(0.0).alias("duration"))
-    arcs = _arcs(tasks, edges)
     large = oversized_workflows(tasks, max_fold)
     has_large = not large.isEmpty()
-    ordinary, foldable = nodes, arcs
+    ordinary, foldable = nodes, edges
     if has_large:
         large = stage(large, "oversized")
         ordinary = nodes.join(large, "wf_id", "left_anti")
-        foldable = arcs.join(large, "wf_id", "left_anti")
+        foldable = edges.join(large, "wf_id", "left_anti")
     passed = stage(_forward_pass(_nodes(ordinary, foldable)), "forward")
     stuck = passed.where(F.col("in_order") & F.col("stuck")).select("wf_id", "idx", "task_name")
     rest = passed.where(~F.col("in_order")).select("wf_id").distinct()
@@ -194,7 +206,7 @@ def stuck_tasks(tasks: DataFrame, edges: DataFrame, max_fold: int = MAX_FOLD_TAS
     if rest.isEmpty():
         return stuck
     some = nodes.join(rest, "wf_id", "left_semi")
-    levels = _levels(some, arcs.join(rest, "wf_id", "left_semi"), dangling_blocks=True)
+    levels = _levels(some, _arcs(some, edges.join(rest, "wf_id", "left_semi")), dangling_blocks=True)
     left = some.select("wf_id", "idx", "task_name").join(levels, ["wf_id", "idx"], "left_anti")
     return stuck.unionByName(left)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fleetplan import schemas as S
 from fleetplan.functions import image_hash
 from fleetplan.operators.history import rolling_image_history
-from fleetplan.session import stage
+from fleetplan.session import spread, stage
 
 FEATURES = ["image_hash", "hist_cpu_m", "hist_mem_mib", "hist_duration_s"]
 TARGETS = ["actual_cpu_m", "actual_mem_mib", "duration_s"]
@@ -67,7 +67,7 @@ def train_forest(df: DataFrame, trees: int = 100, depth: int = 10, seed: int = 4
         for target in TARGETS
     ]
     # Every forest passes over its rows several times: they are written out once.
-    rows = stage(df.select(*FEATURES, *TARGETS), "training")
+    rows = spread(stage(df.select(*FEATURES, *TARGETS), "training"))
     return Pipeline(stages=[assembler, *forests]).fit(rows)
 
 

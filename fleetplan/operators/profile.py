@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetplan.functions.frames import prefix_sums
-from fleetplan.session import MAX_FOLD_TASKS
+from fleetplan.plans.admission import oversized_workflows
+from fleetplan.session import MAX_FOLD_TASKS, large_groups, stage
 
+# Intervals of one workflow that one task runs up.
+MAX_GROUP_INTERVALS = 1_000_000
 
-def stack_by_start(starts: DataFrame, limit: float | None = None) -> DataFrame:
+
+def stack_by_start(
+    starts: DataFrame, limit: float | None = None, max_fold: int = MAX_FOLD_TASKS
+) -> DataFrame:
     """Stack the tasks that start together, in spec order.
 
     ``starts`` has wf_id, idx, start, size and, unless ``limit`` is given, a
@@ -17,11 +23,18 @@ def stack_by_start(starts: DataFrame, limit: float | None = None) -> DataFrame:
     start, ``crashed`` marks a top above the limit.
     """
     cap = F.lit(limit) if limit is not None else F.col("limit")
-    rows = starts.withColumn("__cell", F.floor(F.col("idx") / F.lit(MAX_FOLD_TASKS)))
-    stacked = prefix_sums(rows, ["wf_id", "start"], "__cell", ["idx"], {"bottom": "size"})
+    if oversized_workflows(starts, max_fold).isEmpty():
+        earlier = Window.partitionBy("wf_id", "start").orderBy("idx")
+        earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
+        below = F.coalesce(F.sum("size").over(earlier), F.lit(0))
+        stacked = starts.withColumn("bottom", below)
+    else:
+        rows = starts.withColumn("__cell", F.floor(F.col("idx") / F.lit(max_fold)))
+        stacked = prefix_sums(rows, ["wf_id", "start"], "__cell", ["idx"], {"bottom": "size"})
+        stacked = stacked.drop("__cell")
     return stacked.withColumn(
         "crashed", F.coalesce(F.col("bottom") + F.col("size") > cap, F.lit(False))
-    ).drop("__cell")
+    )
 
 
 def stack_crashes(stacked: DataFrame) -> DataFrame:
@@ -30,7 +43,7 @@ def stack_crashes(stacked: DataFrame) -> DataFrame:
 
 
 def usage_profile(
-    intervals: DataFrame, limit: float | None = None, cell: int | float | None = None
+    intervals: DataFrame, limit: float | None = None, max_group: int = MAX_GROUP_INTERVALS
 ) -> DataFrame:
     """Size in use per workflow as a step function of time.
 
@@ -38,43 +51,82 @@ def usage_profile(
     [start, end). One output row per step: wf_id, at, until, in_use and
     over_limit (against ``limit`` or a ``limit`` column). Instead of joining
     intervals to instants, the changes at each instant are summed first and then
-    run up. ``cell`` is the length of time one task runs up; a workflow spanning
-    more of them is spread over as many tasks.
+    run up. A workflow of up to ``max_group`` intervals is run up in one task,
+    a larger one in as many pieces of time as it has such groups of rows.
     """
+    intervals = intervals.where(F.col("end") > F.col("start"))
+    large = large_groups(intervals, "wf_id", max_group)
+    if large is None:
+        steps = _steps(intervals)
+    else:
+        ordinary = intervals.join(large, "wf_id", "left_anti")
+        steps = _steps(ordinary).unionByName(_wide_steps(intervals, large, max_group))
     has_column = "limit" in intervals.columns
-    cell = 3_600_000_000 if cell is None else cell
-    changes = F.array(
+    cap = F.lit(limit) if limit is not None else (F.col("limit") if has_column else F.lit(None))
+    over = F.coalesce(F.col("in_use") > cap, F.lit(False))
+    return steps.select("wf_id", "at", "until", "in_use", over.alias("over_limit"))
+
+
+def _carried(intervals: DataFrame) -> list[str]:
+    return ["limit"] if "limit" in intervals.columns else []
+
+
+def _changes(intervals: DataFrame) -> DataFrame:
+    ends = F.array(
         F.struct(F.col("start").alias("at"), F.col("size").alias("delta")),
         F.struct(F.col("end").alias("at"), (-F.col("size")).alias("delta")),
     )
-    carried = [F.max("limit").alias("limit")] if has_column else []
-    # A hot instant is summed before the shuffle, like any grouped sum.
-    deltas = (
-        intervals.where(F.col("end") > F.col("start"))
-        .withColumn("c", F.explode(changes))
-        .select("wf_id", "c.*", *(["limit"] if has_column else []))
-        .groupBy("wf_id", "at")
-        .agg(F.sum("delta").alias("delta"), *carried)
-        .withColumn("__cell", F.floor(F.col("at") / F.lit(cell)))
+    return intervals.withColumn("c", F.explode(ends)).select("wf_id", "c.*", *_carried(intervals))
+
+
+def _by_instant(changes: DataFrame) -> DataFrame:
+    carried = [F.max(c).alias(c) for c in _carried(changes)]
+    return changes.groupBy("wf_id", "at").agg(F.sum("delta").alias("delta"), *carried)
+
+
+def _steps(intervals: DataFrame) -> DataFrame:
+    """Steps of workflows that fit one task each. The rows are brought together
+    by workflow before anything else: the grouping by instant and both windows
+    then need no exchange of their own."""
+    deltas = _by_instant(_changes(intervals.repartition("wf_id")))
+    order = Window.partitionBy("wf_id").orderBy("at")
+    return deltas.select(
+        "wf_id",
+        "at",
+        F.lead("at").over(order).alias("until"),
+        F.sum("delta").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("in_use"),
+        *_carried(deltas),
     )
+
+
+def _wide_steps(intervals: DataFrame, large: DataFrame, max_group: int) -> DataFrame:
+    """Steps of workflows that are run up in pieces of time."""
+    # Summed per instant before the shuffle, so that a hot instant is no burden.
+    deltas = stage(_by_instant(_changes(intervals.join(large, "wf_id", "left_semi"))), "deltas")
+    spans = deltas.groupBy("wf_id").agg(
+        F.min("at").alias("__from"), (F.max("at") - F.min("at") + 1).alias("__span")
+    )
+    pieces = stage(
+        spans.join(large, "wf_id").withColumn("__pieces", F.ceil(F.col("n_rows") / F.lit(max_group))),
+        "pieces",
+    )
+    cell = F.floor((F.col("at") - F.col("__from")) / F.col("__span") * F.col("__pieces"))
+    columns = ["wf_id", "at", "delta", *_carried(deltas)]
+    deltas = deltas.join(pieces, "wf_id").select(*columns, cell.alias("__cell"))
     run = prefix_sums(deltas, ["wf_id"], "__cell", ["at"], {"__before": "delta"})
-    # The end of a step is the next instant: inside the cell, else the first
-    # instant of the next cell that has one.
+    # The end of a step is the next instant: inside the piece, else the first
+    # instant of the next piece that has one.
     firsts = deltas.groupBy("wf_id", "__cell").agg(F.min("at").alias("__first"))
     after = Window.partitionBy("wf_id").orderBy("__cell")
     nexts = firsts.select("wf_id", "__cell", F.lead("__first").over(after).alias("__next"))
-    nexts = nexts.where(F.col("__next").isNotNull())
     inside = Window.partitionBy("wf_id", "__cell").orderBy("at")
-    steps = run.join(nexts, ["wf_id", "__cell"], "left").select(
+    return run.join(nexts, ["wf_id", "__cell"]).select(
         "wf_id",
         "at",
         F.coalesce(F.lead("at").over(inside), F.col("__next")).alias("until"),
         (F.col("__before") + F.col("delta")).alias("in_use"),
-        *(["limit"] if has_column else []),
+        *_carried(deltas),
     )
-    cap = F.lit(limit) if limit is not None else (F.col("limit") if has_column else F.lit(None))
-    over = F.coalesce(F.col("in_use") > cap, F.lit(False))
-    return steps.select("wf_id", "at", "until", "in_use", over.alias("over_limit"))
 
 
 def usage_peaks(profile: DataFrame) -> DataFrame:

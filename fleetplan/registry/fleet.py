@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetplan.functions.numbering import positions
-from fleetplan.session import shared_dir, stage
+from fleetplan.session import shared_dir, spread, stage
 from fleetplan.sources.history import append_history
 
 AS_OF = "1998-06-01 00:00:00"
@@ -222,7 +222,7 @@ class Fleet:
 
     @cached_property
     def manifests(self) -> DataFrame:
-        """Nested documents, one per order, built inside the row."""
+        """Nested documents, one per order, built inside the row and stored."""
         key = F.col("o_orderkey")
         sizes = ("500m", "1", "1.5", "250m", "bad")
         task = lambda i: F.struct(
@@ -243,7 +243,7 @@ class Fleet:
         )
         count = (key % 7).cast("int")
         listed = F.transform(F.sequence(F.lit(0), count), task)
-        return self.table("orders").select(
+        docs = spread(self.table("orders")).select(
             F.concat(F.lit("ns-"), (F.col("o_custkey") % 5).cast("string")).alias("namespace"),
             F.concat(F.lit("wf-"), key.cast("string")).alias("name"),
             F.struct(
@@ -257,3 +257,4 @@ class Fleet:
             "o_orderstatus",
             "o_orderpriority",
         )
+        return stage(docs, "documents")

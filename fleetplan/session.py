@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # A workflow with more tasks than this is never gathered into one array: the
 # operators that fold a workflow inside one row send it down a distributed path.
@@ -59,3 +60,21 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/staged/{app}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Raise the number of partitions to the number of cores where a small input
+    sits in fewer; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def large_groups(df: DataFrame, key: str, max_rows: int) -> DataFrame | None:
+    """The keys with more than ``max_rows`` rows and their counts, or None.
+
+    Counts combine before the shuffle; there are at most rows / ``max_rows``
+    such keys. The result is a stored table, so later joins know its size.
+    """
+    counts = df.groupBy(key).agg(F.count("*").alias("n_rows"))
+    large = stage(counts.where(F.col("n_rows") > max_rows), "large-groups")
+    return None if large.isEmpty() else large
