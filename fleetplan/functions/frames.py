@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,8 +19,14 @@ def micros(column: Column) -> Column:
 
 
 def instant(value) -> Column:
-    """A clock argument (ISO text, datetime or Column) as a timestamp column."""
-    return value if isinstance(value, Column) else F.lit(value).cast("timestamp")
+    """A clock argument (ISO text, datetime or Column) as a timestamp column.
+
+    A datetime without a zone is read in the session zone, like text.
+    """
+    if isinstance(value, Column):
+        return value
+    text = value.isoformat(sep=" ") if isinstance(value, datetime) else value
+    return F.lit(text).cast("timestamp")
 
 
 def prefix_sums(

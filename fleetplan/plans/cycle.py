@@ -9,7 +9,7 @@ from fleetplan import schemas as S
 from fleetplan.operators.history import enrich_with_history, image_history
 from fleetplan.operators.predict import DIALECTS, sized, with_prediction
 from fleetplan.operators.status import ready_tasks, resource_usage, workflow_state
-from fleetplan.plans.admission import admit, headroom, oversized_workflows
+from fleetplan.plans.admission import admit, free_columns, oversized_workflows
 from fleetplan.functions import pod_name
 from fleetplan.session import MAX_FOLD_TASKS
 
@@ -42,8 +42,7 @@ def plan_cycle(
     predictor = predictor or ("history" if dialect == "remote" else "baseline")
 
     state = workflow_state(status).where(F.col("phase") == S.RUNNING)
-    free = headroom(limits, state.select("wf_id", "used_cpu_m", "used_mem_mib"))
-    running = state.select("wf_id").join(free, "wf_id", "left")
+    running = state.join(limits, "wf_id", "left").select("wf_id", *free_columns())
     optional = [c for c in ("hint_cpu_limit_m", "hint_mem_limit_mib") if c in tasks.columns]
     needed = tasks.select(
         "wf_id", "idx", "task_name", "image", "hint_cpu_m", "hint_mem_mib", *optional

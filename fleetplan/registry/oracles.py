@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 
+from fleetplan.sources.synthetic import PROFILES
+
 AS_OF = "TIMESTAMP '1998-06-01 00:00:00'"
 
 # View definitions, each using only earlier ones.
@@ -341,6 +343,22 @@ for _name, _start, _join in [
     VIEWS[f"{_name}_events"] = _MACHINE_QUEUE.format(start=_start, join=_join)
     VIEWS[f"{_name}_machine"] = _MACHINE.format(queue=f"{_name}_events", machine=f"{_name}_machine")
     VIEWS[f"{_name}_final"] = _FINAL.format(machine=f"{_name}_machine")
+# Synthetic samples: sixteen uniform draws from two digests, two per normal draw.
+VIEWS["draws"] = """
+SELECT o_orderkey AS sample_id, LIST_TRANSFORM(RANGE(0, 16), lambda i:
+         (CAST(CAST('0x' || SUBSTR(CASE WHEN i < 8 THEN a ELSE b END, CAST(8 * (i % 8) + 1 AS BIGINT), 8) AS BIGINT) AS DOUBLE) + 0.5)
+         / CAST(4294967296 AS DOUBLE)) AS u
+FROM (SELECT o_orderkey, SHA256('42|0|' || o_orderkey) AS a, SHA256('42|1|' || o_orderkey) AS b FROM orders)
+"""
+VIEWS["profiles"] = "SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, '{image}', {cpu}.0, {mem}.0, {seconds}.0)"
+    for i, (image, (cpu, mem, seconds)) in enumerate(PROFILES.items())
+) + ") v(pick, image, cpu, mem, dur)"
+
+
+def _noisy(base: str, noise: float, draw: int, floor: int) -> str:
+    normal = f"SQRT(-2 * LN(u[{draw}])) * COS(2 * PI() * u[{draw + 1}])"
+    return f"ROUND(GREATEST(CAST({floor} AS DOUBLE), CAST({base} AS DOUBLE) * (1 + {noise} * {normal})) + 1e-9, 6)"
 
 
 def sql(body: str) -> str:
@@ -402,6 +420,11 @@ SELECT namespace, name,
             || '}}', ',' ORDER BY idx) FROM doc_tasks t WHERE t.key = d.key) || ']', '')
        || '}}' AS doc
 FROM docs d""",
+    "generate_executions": f"""
+SELECT sample_id, image, {_noisy('cpu', 0.2, 2, 10)} AS hist_cpu_m, {_noisy('mem', 0.2, 4, 8)} AS hist_mem_mib,
+       {_noisy('dur', 0.2, 6, 1)} AS hist_duration_s, {_noisy('cpu', 0.15, 8, 10)} AS actual_cpu_m,
+       {_noisy('mem', 0.15, 10, 8)} AS actual_mem_mib, {_noisy('dur', 0.15, 12, 1)} AS duration_s
+FROM draws JOIN profiles ON pick = CAST(FLOOR(u[1] * 12) AS INT)""",
     "discard_metrics": """
 SELECT DISTINCT image, CAST(0 AS DOUBLE) AS hist_cpu_m, CAST(0 AS DOUBLE) AS hist_mem_mib,
        CAST(0 AS DOUBLE) AS hist_duration_s, CAST(0 AS BIGINT) AS n_samples
@@ -584,7 +607,7 @@ FROM wf_executions""",
 SELECT {_EXECUTION} FROM
 (SELECT * FROM wf_executions ORDER BY completed_at DESC, workflow_name, task_name, image, duration_s LIMIT 100)""",
     "executions_of": f"""
-SELECT {_EXECUTION} FROM wf_executions WHERE workflow_name = 'wf-1' AND task_name = 'line-1'""",
+SELECT {_EXECUTION} FROM wf_executions WHERE workflow_name = 'wf-102' AND task_name = 'line-6'""",
     "task_phases": """
 SELECT wf_id, task_name, phase, epoch_us(started) AS started_us, epoch_us(ended) AS ended_us, CAST(rn AS BIGINT) AS n_events
 FROM fresh_final""",

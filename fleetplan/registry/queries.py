@@ -141,13 +141,15 @@ def export_workflows_json(f: Fleet) -> DataFrame:
     return manifests.export_workflows_json(f.manifests)
 
 
+def _samples(f: Fleet) -> DataFrame:
+    """One synthetic sample per order."""
+    return synthetic.sample_executions(f.table("orders").select(F.col("o_orderkey").alias("sample_id")))
+
+
 @query
 def generate_executions(f: Fleet) -> DataFrame:
-    drawn = synthetic.sample_executions(f.table("lineitem").select("l_orderkey", "l_linenumber"))
-    return drawn.groupBy("image").agg(
-        F.count("*").alias("n"),
-        *[F.round(F.avg(c), 3).alias(c) for c in (*model.FEATURES[1:], *model.TARGETS)],
-    )
+    columns = (*model.FEATURES[1:], *model.TARGETS)
+    return _samples(f).select("sample_id", "image", *[six(c) for c in columns])
 
 
 @query
@@ -534,9 +536,7 @@ def _trained(f: Fleet):
     """The forest over one synthetic sample per order, and its held-out part."""
 
     def build():
-        rows = f.table("orders").select(F.col("o_orderkey").alias("sample_id"))
-        samples = stage(synthetic.sample_executions(rows), "samples")
-        train, test = model.split_train_test(samples)
+        train, test = model.split_train_test(stage(_samples(f), "samples"))
         return model.train_forest(train), test
 
     return f.once("forest", build)
@@ -579,7 +579,7 @@ def recent_executions_top(f: Fleet) -> DataFrame:
 
 @query
 def executions_of(f: Fleet) -> DataFrame:
-    return _execution_columns(history.executions_of(f.executions, "wf-1", "line-1"))
+    return _execution_columns(history.executions_of(f.executions, "wf-102", "line-6"))
 
 
 # Streams

@@ -2,30 +2,51 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetplan import schemas as S
 from fleetplan.functions.frames import instant
 from fleetplan.operators.history import recent
 
+# The history table as stored: execution columns plus the partition column.
+_STORED = T.StructType([*S.EXECUTION.fields, T.StructField("completed_date", T.DateType())])
+
 
 def read_history(
     spark: SparkSession,
     path: str,
-    as_of,
+    as_of: str | datetime,
     days: int = S.HISTORY_DAYS,
     image: str | None = None,
 ) -> DataFrame:
     """Recent successful executions of the table at ``path``.
 
-    The table is partitioned by ``completed_date``: the window prunes partitions,
-    the other predicates reach the Parquet scan.
+    The table is partitioned by ``completed_date``. Only the folders of the
+    window are listed, so the cost of opening the table does not grow with its
+    age; the other predicates reach the Parquet scan.
     """
-    rows = recent(spark.read.parquet(path), as_of, days)
+    clock = _clock(as_of)
+    dates = [(clock - timedelta(days=d)).date().isoformat() for d in range(days + 1)]
+    table = spark.read.schema(_STORED).option("basePath", path)
+    try:
+        stored = table.parquet(f"{path}/completed_date={{{','.join(dates)}}}")
+    except AnalysisException as error:  # no day of the window has a folder
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = spark.createDataFrame([], _STORED)
+    rows = recent(stored, clock, days)
     return rows if image is None else rows.where(F.col("image") == image)
 
 
+def _clock(as_of: str | datetime) -> datetime:
+    return as_of if isinstance(as_of, datetime) else datetime.fromisoformat(as_of)
+
+
 def read_history_jdbc(
     spark: SparkSession,
     url: str,
@@ -40,16 +61,13 @@ def read_history_jdbc(
     ``as_of`` must be ISO text or a datetime, since it becomes part of the
     predicates evaluated by the database.
     """
-    clock = spark.range(1).select(instant(as_of).cast("timestamp").alias("t")).first()["t"]
-    predicates = time_slices(clock, days, slices)
+    predicates = time_slices(_clock(as_of), days, slices)
     rows = spark.read.jdbc(url, table, predicates=predicates, properties=properties or {})
     return recent(rows, as_of, days)
 
 
 def time_slices(clock, days: int, slices: int) -> list[str]:
     """Predicates that cut (clock - days, clock] into equal pieces."""
-    from datetime import timedelta
-
     step = timedelta(days=days) / slices
     edges = [clock - timedelta(days=days) + step * i for i in range(slices)] + [clock]
     return [

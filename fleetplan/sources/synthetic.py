@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,35 +35,47 @@ def generate_executions(spark: SparkSession, n: int = 5000, seed: int = 42) -> D
     return sample_executions(spark.range(n).withColumnRenamed("id", "sample_id"), seed)
 
 
+def _draws(rows: DataFrame, seed: int) -> list[Column]:
+    """Sixteen uniform draws in (0, 1) per row, taken from hashes of its key.
+
+    Unlike a seeded generator, which counts rows per partition, they do not
+    depend on how the rows are partitioned or in which order they arrive.
+    """
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in rows.columns])
+    draws = []
+    for block in range(2):
+        digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.lit(str(block)), key), 256)
+        for i in range(8):
+            word = F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("double")
+            draws.append((word + 0.5) / F.lit(float(2**32)))
+    return draws
+
+
 def sample_executions(rows: DataFrame, seed: int = 42) -> DataFrame:
-    """One synthetic sample per row of ``rows``, which keeps its columns."""
+    """One synthetic sample per row of ``rows``, whose columns are its key."""
     images = F.array(*[F.lit(image) for image in PROFILES])
     # The profile table has one entry per image above: twelve literals, no join.
-    bases = F.create_map(
-        *[
-            c
-            for image, base in PROFILES.items()
-            for c in (F.lit(image), F.array(*[F.lit(float(b)) for b in base]))
-        ]
-    )
-    pick = (F.floor(F.rand(seed) * len(PROFILES)) + 1).cast("int")
-    drawn = rows.withColumn("image", F.element_at(images, pick)).withColumn(
-        "base", F.element_at(bases, F.col("image"))
+    bases = F.array(*[F.array(*[F.lit(float(b)) for b in base]) for base in PROFILES.values()])
+    drawn = rows.withColumn("u", F.array(*_draws(rows, seed)))
+    pick = (F.floor(F.col("u")[0] * len(PROFILES)) + 1).cast("int")
+    drawn = drawn.select(
+        "*", F.element_at(images, pick).alias("image"), F.element_at(bases, pick).alias("base")
     )
 
-    def noisy(dimension: int, noise: float, stream: int) -> Column:
+    def noisy(dimension: int, noise: float, first: int) -> Column:
+        # Two uniform draws make one normal draw (Box-Muller).
+        normal = F.sqrt(-2 * F.log(F.col("u")[first])) * F.cos(2 * math.pi * F.col("u")[first + 1])
         base = F.col("base")[dimension]
-        value = base + base * noise * F.randn(seed + stream)
-        return F.greatest(F.lit(float(FLOORS[dimension])), value)
+        return F.greatest(F.lit(float(FLOORS[dimension])), base + base * noise * normal)
 
     return drawn.select(
         *rows.columns,
         "image",
         image_hash(F.col("image")).alias("image_hash"),
         noisy(0, HISTORY_NOISE, 1).alias("hist_cpu_m"),
-        noisy(1, HISTORY_NOISE, 2).alias("hist_mem_mib"),
-        noisy(2, HISTORY_NOISE, 3).alias("hist_duration_s"),
-        noisy(0, TARGET_NOISE, 4).alias("actual_cpu_m"),
-        noisy(1, TARGET_NOISE, 5).alias("actual_mem_mib"),
-        noisy(2, TARGET_NOISE, 6).alias("duration_s"),
+        noisy(1, HISTORY_NOISE, 3).alias("hist_mem_mib"),
+        noisy(2, HISTORY_NOISE, 5).alias("hist_duration_s"),
+        noisy(0, TARGET_NOISE, 7).alias("actual_cpu_m"),
+        noisy(1, TARGET_NOISE, 9).alias("actual_mem_mib"),
+        noisy(2, TARGET_NOISE, 11).alias("duration_s"),
     )

@@ -6,7 +6,7 @@ from compare import compare, duck
 from fleetplan.registry.oracles import ORACLES
 from fleetplan.registry.queries import QUERIES
 
-ROWS_ONLY = {"generate_executions", "train_forest", "evaluate_r2", "score_forest"}
+ROWS_ONLY = {"train_forest", "evaluate_r2", "score_forest"}
 
 
 @pytest.fixture(scope="module")
