@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 # operators that fold a workflow inside one row send it down a distributed path.
 MAX_FOLD_TASKS = 4096
 
+# Temporary folders of local applications without ``spark.checkpoint.dir``.
+_LOCAL_DIRS: dict[str, str] = {}
+
 
 def build_session(master: str = "local[*]", app: str = "fleetplan", **conf) -> SparkSession:
     """A session with the settings the operators rely on."""
@@ -40,13 +43,14 @@ def shared_dir(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
-        return folder
+        return folder.rstrip("/")
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="fleetplan-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = context.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="fleetplan-")
+    return _LOCAL_DIRS[app]
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

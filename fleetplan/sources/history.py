@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timedelta
 
 from pyspark.errors import AnalysisException
@@ -13,8 +14,14 @@ from fleetplan import schemas as S
 from fleetplan.functions.frames import instant
 from fleetplan.operators.history import recent
 
-# The history table as stored: execution columns plus the partition column.
-_STORED = T.StructType([*S.EXECUTION.fields, T.StructField("completed_date", T.DateType())])
+# The history table as stored: execution columns plus the partition columns.
+_STORED = T.StructType(
+    [
+        *S.EXECUTION.fields,
+        T.StructField("completed_date", T.DateType()),
+        T.StructField("batch", T.StringType()),
+    ]
+)
 
 
 def read_history(
@@ -39,7 +46,7 @@ def read_history(
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         stored = spark.createDataFrame([], _STORED)
-    rows = recent(stored, clock, days)
+    rows = recent(stored, clock, days).drop("batch")
     return rows if image is None else rows.where(F.col("image") == image)
 
 
@@ -95,15 +102,24 @@ def record_executions(reports: DataFrame, as_of) -> DataFrame:
     )
 
 
-def append_history(executions: DataFrame, path: str) -> None:
-    """Append to the history table, partitioned by day.
+def append_history(executions: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append to the history table, partitioned by day and batch.
 
-    The rebalance hint groups the rows of a day into a few files and splits a
-    day that is too big for one task.
+    Without ``batch`` the rows are added under a new name. With one, rows written
+    earlier under the same name and day are replaced, so that a writer that is
+    run again after a failure stores its rows once. The rebalance hint groups the
+    rows of a day into a few files and splits a day that is too big for one task.
     """
-    rows = executions.withColumn("completed_date", F.to_date("completed_at"))
-    rows = rows.hint("rebalance", "completed_date")
-    rows.write.mode("append").partitionBy("completed_date").parquet(path)
+    rows = executions.withColumns(
+        {"completed_date": F.to_date("completed_at"), "batch": F.lit(batch or uuid.uuid4().hex)}
+    )
+    (
+        rows.hint("rebalance", "completed_date")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("completed_date", "batch")
+        .parquet(path)
+    )
 
 
 def discard_metrics(df: DataFrame) -> None:

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from fleetplan import schemas as S
 from fleetplan.functions import pod_name
 from fleetplan.plans.cycle import plan_cycle
+from fleetplan.sources.history import append_history
 from fleetplan.streaming.events import event_log
 from fleetplan.streaming.phases import _started, task_phase_stream, transitions
 
@@ -102,19 +103,17 @@ def metrics_stream(
     status: Callable[[], DataFrame],
     tasks: Callable[[], DataFrame],
     interval: str | None = None,
+    label: str = "stream",
 ) -> StreamingQuery:
-    """Track phases and append each success to the history, exactly once.
+    """Track phases and append each success to the history table, exactly once.
 
-    Each micro-batch owns the folder ``batch=N`` of the history; running a batch
-    again after a failure replaces the folder instead of adding to it.
+    A micro-batch writes under its own name, ``label`` and number; running it
+    again after a failure replaces its rows. Streams that share a history table
+    need different labels.
     """
 
     def append(folded: DataFrame, batch: int) -> None:
-        rows = success_rows(folded, status(), tasks())
-        dated = rows.withColumn("completed_date", F.to_date("completed_at"))
-        dated.write.mode("overwrite").partitionBy("completed_date").parquet(
-            f"{history_path}/batch={batch}"
-        )
+        append_history(success_rows(folded, status(), tasks()), history_path, f"{label}-{batch}")
 
     return task_phase_stream(pod_events, table_path, checkpoint, interval, append)
 

@@ -85,6 +85,9 @@ def test_record_then_read(spark, tmp_path):
     assert sorted((r.workflow_name, r.task_name) for r in kept.collect()) == [("w1", "a")] * 2 + [("w1", "b")] * 2
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "completed_date" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]
+    for _ in range(2):  # a named batch is stored once
+        source.append_history(rows.where("task_name = 'b'"), path, batch="retry-7")
+    assert source.read_history(spark, path, AS_OF).where("task_name = 'b'").count() == 3
     assert source.read_history(spark, path, AS_OF, image="other").count() == 0
     assert source.read_history(spark, path, "2030-01-01").count() == 0
 

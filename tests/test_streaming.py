@@ -8,6 +8,7 @@ from brute import fold as brute_fold
 from pyspark.sql import functions as F
 
 from fleetplan import schemas as S
+from fleetplan.sources.history import read_history
 from fleetplan.streaming import phases, planner
 
 BASE = dt.datetime(2024, 1, 1)
@@ -108,7 +109,7 @@ def test_history_and_events_of_a_stream(spark, tmp_path):
     tasks = spark.createDataFrame([(1, "a", "w", "img"), (1, "b", "w", "img")], "wf_id long, task_name string, workflow_name string, image string")
     history = str(tmp_path / "history")
     planner.metrics_stream(stream, str(tmp_path / "t1"), history, str(tmp_path / "c1"), lambda: status, lambda: tasks).awaitTermination()
-    got = spark.read.schema(S.EXECUTION).parquet(history).collect()
+    got = read_history(spark, history, BASE + dt.timedelta(days=1)).collect()
     assert [(r.task_name, r.actual_cpu_m, r.actual_mem_mib, r.duration_s) for r in got] == [("a", 70, 80, 30.0)]
     log = str(tmp_path / "log")
     names = lambda: spark.createDataFrame([(1, "w")], "wf_id long, workflow_name string")
