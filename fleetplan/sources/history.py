@@ -107,19 +107,22 @@ def append_history(executions: DataFrame, path: str, batch: str | None = None) -
 
     Without ``batch`` the rows are added under a new name. With one, rows written
     earlier under the same name and day are replaced, so that a writer that is
-    run again after a failure stores its rows once. The rebalance hint groups the
-    rows of a day into a few files and splits a day that is too big for one task.
+    run again after a failure stores its rows once.
+
+    Rows are range-partitioned by time and name into ``spark.sql.shuffle.partitions``
+    equal parts: a day goes to few files, a hot day to as many tasks as its share
+    of the rows, and each file covers a short stretch of time.
     """
     rows = executions.withColumns(
         {"completed_date": F.to_date("completed_at"), "batch": F.lit(batch or uuid.uuid4().hex)}
     )
-    (
-        rows.hint("rebalance", "completed_date")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("completed_date", "batch")
-        .parquet(path)
-    )
+    parts = int(executions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    writer = rows.repartitionByRange(parts, "completed_at", "workflow_name", "task_name").write
+    if batch is None:
+        writer = writer.mode("append")
+    else:
+        writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("completed_date", "batch").parquet(path)
 
 
 def discard_metrics(df: DataFrame) -> None:
