@@ -69,11 +69,20 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 def clear_staged(spark: SparkSession) -> None:
     """Delete everything this application has staged. Results that still read
     staged files must have been written or collected before."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(
-        f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}"
-    )
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    folder = f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}"
+    files, path = _file_system(spark, folder)
+    files.delete(path, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, target = _file_system(spark, path)
+    return files.exists(target)
+
+
+def _file_system(spark: SparkSession, path: str):
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(context._jsc.hadoopConfiguration()), target
 
 
 def spread(df: DataFrame) -> DataFrame:
