@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetplan.llm import decontaminate, url_filter
+from fleetplan.llm import decontaminate, token_counts, token_store, url_filter
 
 #: The rules of the URL query: host, path, verdict.
 URL_RULES = [
@@ -18,6 +19,13 @@ URL_RULES = [
     ("com", "/de/", "block"),
 ]
 
+#: Places of the public tokenizers' files; another folder can be set in the environment.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
+
+def _tokenizer(name: str) -> str:
+    return f"{TOKENIZERS}/{name}"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,6 +43,15 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_store.write_tokens(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end=0)
+    return token_store.read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), rules)
@@ -42,5 +59,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_token_store": op3_token_store,
+    "op4_token_counts": op4_token_counts,
     "op9_url_filter": op9_url_filter,
 }

@@ -14,7 +14,7 @@ import pyarrow as pa
 #: Rows of one Arrow batch. Texts can be long, so batches are kept short.
 BATCH_ROWS = 1000
 #: Bytes of text handled at a time; one longer row makes a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
