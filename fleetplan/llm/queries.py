@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetplan.llm import decontaminate, packing, token_counts, token_store, url_filter
+from fleetplan.llm import decontaminate, packing, token_counts, token_store, url_filter, warc
 
 #: The rules of the URL query: host, path, verdict.
 URL_RULES = [
@@ -57,6 +57,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(_table(spark, sf_dir, "pages"))
+    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), rules)
@@ -67,5 +72,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_store": op3_token_store,
     "op4_token_counts": op4_token_counts,
     "op6_packing": op6_packing,
+    "op8_warc": op8_warc,
     "op9_url_filter": op9_url_filter,
 }
