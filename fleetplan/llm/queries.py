@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetplan.llm import decontaminate, packing, token_counts, token_store, url_filter, warc
+from fleetplan.llm import decontaminate, language, packing, token_counts, token_store, url_filter, warc
 
 #: The rules of the URL query: host, path, verdict.
 URL_RULES = [
@@ -67,6 +67,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), rules)
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.identify_documents(documents)
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_token_store": op3_token_store,
@@ -74,4 +80,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op8_warc": op8_warc,
     "op9_url_filter": op9_url_filter,
+    "op10_language": op10_language,
 }
