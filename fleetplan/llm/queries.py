@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetplan.llm import decontaminate, language, packing, token_counts, token_store, url_filter, warc
+from fleetplan.llm import decontaminate, jaccard, language, packing, token_counts, token_store, url_filter, warc
 
 #: The rules of the URL query: host, path, verdict.
 URL_RULES = [
@@ -43,6 +43,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_store.write_tokens(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end=0)
     return token_store.read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -75,6 +79,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_token_store": op3_token_store,
     "op4_token_counts": op4_token_counts,
     "op6_packing": op6_packing,
