@@ -28,6 +28,29 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP5 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i + 1:i + 13], ' ') AS s
+  FROM d, unnest(range(0, greatest(len(w) - 12, 0))) AS t(i)
+),
+firsts AS (SELECT s, min(doc_id) AS owner FROM win GROUP BY s HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT doc_id, p FROM (
+    SELECT doc_id, i FROM win JOIN firsts USING (s) WHERE owner < doc_id
+  ), unnest(range(i, i + 13)) AS t(p)
+),
+lost AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM d) ANTI JOIN gone USING (doc_id, p)
+  GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 OP9 = r"""
 WITH u AS (
   SELECT page_id, url, coalesce(strpos(url, '://'), 0) AS p FROM pages
@@ -53,5 +76,6 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM h LEFT JO
 
 ORACLES = {
     "op1_decontaminate": OP1,
+    "op5_substrings": OP5,
     "op9_url_filter": OP9,
 }

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetplan.llm import decontaminate, jaccard, language, packing, token_counts, token_store, url_filter, warc
+from fleetplan.llm import decontaminate, jaccard, language, packing, substrings, token_counts, token_store, url_filter, warc
 
 #: The rules of the URL query: host, path, verdict.
 URL_RULES = [
@@ -56,6 +56,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end=1)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_token_store": op3_token_store,
     "op4_token_counts": op4_token_counts,
+    "op5_substrings": op5_substrings,
     "op6_packing": op6_packing,
     "op8_warc": op8_warc,
     "op9_url_filter": op9_url_filter,
