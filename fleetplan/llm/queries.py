@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetplan.llm import decontaminate, jaccard, language, packing, substrings, token_counts, token_store, url_filter, warc
+from fleetplan.llm import decontaminate, jaccard, language, neighbours, packing, substrings, token_counts, token_store, url_filter, warc
 
 #: The rules of the URL query: host, path, verdict.
 URL_RULES = [
@@ -66,6 +66,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(_table(spark, sf_dir, "pages"))
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_substrings": op5_substrings,
     "op6_packing": op6_packing,
+    "op7_neighbours": op7_neighbours,
     "op8_warc": op8_warc,
     "op9_url_filter": op9_url_filter,
     "op10_language": op10_language,
