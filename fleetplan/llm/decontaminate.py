@@ -153,6 +153,23 @@ def window_hits(documents: DataFrame, windows: DataFrame, key: str = "doc_id", t
     return found.distinct() if found is not None else None
 
 
+def _item_classes(benchmark: DataFrame, item: str, item_text: str, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """Stored: the windows of each item, and the different windows with ids."""
+    by_item = stage(item_windows(benchmark, item, item_text, length, gram), "item-windows")
+    windows = by_item.select("length", "print", "window").distinct().withColumn("window_id", F.xxhash64("window", F.lit(length)))
+    return by_item, stage(windows, "windows")
+
+
+def clean_documents(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """The documents, all columns, that hold no window of any item."""
+    _, windows = _item_classes(benchmark, item, item_text, length, gram)
+    hits = window_hits(documents, windows, key, text, length, gram)
+    if hits is None:
+        return documents
+    hit = stage(hits.select(F.col("key").alias("__key"), F.col("text_hash").alias("__hash")).distinct(), "hit-documents")
+    return documents.join(_small(hit), documents[key].eqNullSafe(F.col("__key")) & (F.xxhash64(documents[text]) == F.col("__hash")), "left_anti")
+
+
 def decontaminate(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -166,11 +183,7 @@ def decontaminate(
     """One row for each document: key, n_words, n_hit (words inside windows), spans (start and end of each
     run of hit words), items (ids of items with occurring windows, sorted as strings), contaminated.
     """
-    by_item = stage(item_windows(benchmark, item, item_text, length, gram), "item-windows")
-    windows = stage(
-        by_item.select("length", "print", "window").distinct().withColumn("window_id", F.xxhash64("window", F.lit(length))),
-        "windows",
-    )
+    by_item, windows = _item_classes(benchmark, item, item_text, length, gram)
     counted = documents.select(
         F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text_hash"), F.size(raw_words(F.col(text))).cast("bigint").alias("n_words")
     )

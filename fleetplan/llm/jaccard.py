@@ -83,7 +83,7 @@ def _digest(found: np.ndarray) -> bytes:
 
 
 def _sketches(documents: DataFrame) -> DataFrame:
-    """(id, set, n, signature) of each row of (id, text)."""
+    """(id, tag, set, n, sign) of each row of (id, text, tag)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,10 +94,11 @@ def _sketches(documents: DataFrame) -> DataFrame:
                     sizes.append(len(found))
                     signs.append(signature(found).tobytes() if len(found) else b"")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary())], names=["id", "set", "n", "sign"]
+                [batch.column(0), batch.column(2), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary())],
+                names=["id", "tag", "set", "n", "sign"],
             )
 
-    return documents.mapInArrow(run, f"id {documents.schema['id'].dataType.simpleString()}, set binary, n bigint, sign binary")
+    return documents.mapInArrow(run, f"id {documents.schema['id'].dataType.simpleString()}, tag bigint, set binary, n bigint, sign binary")
 
 
 def _candidate_links(sets: DataFrame, similarity: float, recall: float) -> DataFrame:
@@ -199,28 +200,57 @@ def _verified(documents: DataFrame, sets: DataFrame, groups: DataFrame, similari
     return _by_cell(rows).mapInArrow(verify, "node bigint, root bigint, links bigint")
 
 
-def similar_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """One row (``key``, class_id, class_size, n_links) for each document.
-
-    A class holds all documents connected by links; ``class_id`` is its smallest key, ``class_size`` its
-    rows. ``n_links`` counts the other rows whose similarity to this one reaches the threshold.
-    """
+def _classes(documents: DataFrame, similarity: float, recall: float) -> DataFrame:
+    """(id, tag, set, class_id, class_tag, class_size, n_links) of each row of (id, text); ``tag`` is a hash
+    of the text, and id and tag name the row that stands for the class."""
     short_batches(documents.sparkSession)
-    documents = documents.select(F.col(key).alias("id"), F.col(text).alias("text"))
     rows = stage(_sketches(documents), "sketches")
-    sets = rows.where("n > 0").groupBy("set").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sign").alias("sign"))
+    # ids that are null come last
+    name = F.struct(F.col("id").isNull().alias("none"), "id", "tag")
+    sets = rows.where("n > 0").groupBy("set").agg(F.min(name).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sign").alias("sign"))
     sets = stage(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
     groups = components(_candidate_links(sets, similarity, recall))
-    links = stage(_verified(documents, sets, groups, similarity), "verified")
+    links = stage(_verified(documents, sets.withColumn("first", F.col("first.id")), groups, similarity), "verified")
     tree = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     classed = sets.select("set", "node", "first", "copies").join(tree, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = classed.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
-    answers = classed.join(classes, "root").select("set", "class_id", "class_size", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    found = rows.select("id", F.when(F.col("n") > 0, F.col("set")).alias("set")).join(answers, "set", "left")
+    classes = classed.groupBy("root").agg(F.min("first").alias("head"), F.sum("copies").alias("class_size"))
+    answers = classed.join(classes, "root").select("set", "head", "class_size", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    found = rows.select("id", "tag", F.when(F.col("n") > 0, F.col("set")).alias("set")).join(answers, "set", "left")
+    none = F.col("set").isNull()
     return found.select(
-        F.col("id").alias(key),
-        F.when(F.col("set").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+        "id",
+        "tag",
+        F.when(none, F.col("id")).otherwise(F.col("head.id")).alias("class_id"),
+        F.when(none, F.col("tag")).otherwise(F.col("head.tag")).alias("class_tag"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
+
+
+def _named(documents: DataFrame, key: str, text: str) -> DataFrame:
+    return documents.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("tag"))
+
+
+def similar_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """One row (``key``, class_id, class_size, n_links) for each document.
+
+    A class holds all documents connected by links; ``class_id`` is its smallest key, ``class_size`` its
+    rows. ``n_links`` counts the other rows whose similarity to this one reaches the threshold.
+    """
+    found = _classes(_named(documents, key, text), similarity, recall)
+    return found.select(F.col("id").alias(key), "class_id", "class_size", "n_links")
+
+
+def one_of_each_class(documents: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """``documents``, all columns, without those for which a similar one with a smaller key stays.
+
+    Of rows that repeat key and text one stays.
+    """
+    found = _classes(_named(documents, key, text), similarity, recall)
+    heads = found.where(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("tag") == F.col("class_tag")))
+    # rows that repeat both have the same answer, so one of them carries it
+    heads = heads.select(F.col("id").alias("__id"), F.col("tag").alias("__tag")).distinct()
+    tagged = documents.withColumn("__text_tag", F.xxhash64(F.col(text)))
+    kept = tagged.join(heads, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__text_tag") == F.col("__tag")))
+    return kept.dropDuplicates(["__id", "__tag"]).select(*[F.col(f"`{c}`") for c in documents.columns])

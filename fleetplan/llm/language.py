@@ -145,16 +145,15 @@ def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return found
 
 
-def identify(documents: DataFrame, filters: Filters | None, text: str = "text") -> DataFrame:
-    """``documents`` with ``lang_pred`` and ``score``, the share of its n-grams that the language explains.
-
-    Columns of these names are replaced.
+def identify(documents: DataFrame, filters: Filters | None, text: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``documents`` with two more columns named by ``out``: the language, and the share of the text's n-grams
+    that the language explains. Columns that have these names are replaced.
     """
     spark = documents.sparkSession
     short_batches(spark)
-    documents = documents.drop("lang_pred", "score")
+    documents = documents.drop(*out)
     if filters is None:
-        return documents.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+        return documents.withColumns({out[0]: F.lit("und"), out[1]: F.lit(0.0)})
     model = spark.sparkContext.broadcast(filters)
     place = documents.columns.index(text)
     names = documents.columns
@@ -172,13 +171,19 @@ def identify(documents: DataFrame, filters: Filters | None, text: str = "text")
                 best = np.where(_has_letter(data, offsets), best, len(own.languages))
                 score = np.where(best < len(own.languages), hits / np.maximum(total, 1), 0.0)
                 part = batch.slice(first, last - first)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tags[best], pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tags[best], pa.string()), pa.array(score)], names=[*names, *out])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    return documents.mapInArrow(predict, f"{kinds}, lang_pred string, score double")
+    return documents.mapInArrow(predict, f"{kinds}, `{out[0]}` string, `{out[1]}` double")
 
 
-def identify_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def identify_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Learn from the labelled rows that are not held out, and predict all rows."""
     known = documents.where(~held_out(F.col(key)))
-    return identify(documents, fit(known, key, text, lang), text)
+    return identify(documents, fit(known, key, text, lang), text, out)
+
+
+def known_language(documents: DataFrame, least: float = 0.5, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The documents in one of the learned languages: not ``und``, and at least this share explained."""
+    found = identify_documents(documents, key, text, lang, ("__language", "__explained"))
+    return found.where((F.col("__language") != "und") & (F.col("__explained") >= least)).drop("__language", "__explained")

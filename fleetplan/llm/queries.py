@@ -23,7 +23,7 @@ URL_RULES = [
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     return f"{TOKENIZERS}/{name}"
 
 
@@ -48,12 +48,12 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = token_store.write_tokens(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end=0)
+    manifest = token_store.write_tokens(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end=0)
     return token_store.read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end=1)
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end=1)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 

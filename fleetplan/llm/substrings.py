@@ -82,15 +82,17 @@ def _keyed(table: pa.Table, first_windows: np.ndarray) -> np.ndarray:
     return np.repeat(np.asarray(table.column("key").is_valid()), first_windows)
 
 
-def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, chunk_bytes: int = CHUNK_BYTES, part_windows: int = PART_WINDOWS) -> DataFrame:
+def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, chunk_bytes: int = CHUNK_BYTES, part_windows: int = PART_WINDOWS, carry: bool = False) -> DataFrame:
     """One row (``key``, n_words, n_removed, kept, removed) for each document.
 
     ``kept`` is what is left, words joined by one space; ``removed`` are the runs of removed words as
-    (start, end), counted in words of the input.
+    (start, end), counted in words of the input. With ``carry`` come ``text``, the input's text, and
+    ``row``, its other columns.
     """
     spark = documents.sparkSession
     short_batches(spark)
-    rows = documents.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
+    others = [F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != text]).alias("row")] if carry else []
+    rows = documents.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), *others)
     total, least, most = rows.agg(F.sum(F.octet_length("text")), F.min("key"), F.max("key")).first()
     chunks = int(total or 0) // chunk_bytes + 1
     parts = int(total or 0) // (6 * part_windows) + 1
@@ -107,9 +109,11 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
             # rows without a key can be anywhere
             sizes = np.array(pc.binary_length(batch.column(1)).fill_null(0))
             chunk = np.where(np.asarray(keys.is_null()), sizes % chunks, chunk)
-            yield pa.RecordBatch.from_arrays([pa.array(chunk), *batch.columns], names=["chunk", "key", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(chunk), *batch.columns], names=["chunk", *batch.schema.names])
 
-    dealt = rows.mapInArrow(deal, "chunk bigint, key bigint, text string")
+    more = f", text string, row {rows.schema['row'].dataType.simpleString()}" if carry else ""
+    dealt = rows.mapInArrow(deal, "chunk bigint, key bigint, text string" + more.removeprefix(", text string"))
+    slim = dealt.select("chunk", "key", "text")
 
     def send(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
@@ -139,8 +143,6 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
         return pa.table([table.column("chunk"), table.column("part"), pa.array(replies, pa.binary())], names=["chunk", "part", "reply"])
 
     def resolve(table: pa.Table, replies: pa.Table) -> pa.Table:
-        if not len(table):
-            return pa.table([[]] * 5, schema=schema)
         table = _sorted(table)
         first, hashes, at, n = _windows(table, length)
         keyed = _keyed(table, n)
@@ -170,14 +172,24 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
             runs.append([{"start": s, "end": e} for s, e in zip(edges[::2], edges[1::2])])
             sizes.append(b - a)
             removed.append(int(lost.sum()))
-        return pa.table([table.column("key"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(runs, schema.field(4).type)], schema=schema)
+        found = [table.column("key"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(runs, spans)]
+        return pa.table(found + ([table.column("text"), table.column("row")] if carry else []), names=names)
 
-    span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-    schema = pa.schema([(key, pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("removed", pa.list_(span))])
-    messages = dealt.groupBy("chunk").applyInArrow(send, "part bigint, chunk bigint, message binary")
+    spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    names = [key, "n_words", "n_removed", "kept", "removed"] + (["text", "row"] if carry else [])
+    messages = slim.groupBy("chunk").applyInArrow(send, "part bigint, chunk bigint, message binary")
     answers = messages.groupBy("part").applyInArrow(answer, "chunk bigint, part bigint, reply binary")
     return (
         dealt.groupBy("chunk")
         .cogroup(answers.groupBy("chunk"))
-        .applyInArrow(resolve, f"`{key}` bigint, n_words bigint, n_removed bigint, kept string, removed array<struct<start:int,end:int>>")
+        .applyInArrow(resolve, f"`{key}` bigint, n_words bigint, n_removed bigint, kept string, removed array<struct<start:int,end:int>>" + more)
     )
+
+
+def without_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """``documents`` with repeated passages cut out of their texts. A text that loses nothing stays as it is; a
+    document of which nothing is left goes."""
+    found = remove_repeats(documents, key, text, length, carry=True)
+    left = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    columns = [left.alias(text) if c == text else F.col(f"row.`{c}`") for c in documents.columns]
+    return found.where((F.col("n_removed") == 0) | (F.col("kept") != "")).select(*columns)
