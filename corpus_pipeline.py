@@ -1,15 +1,66 @@
-"""The corpus pipeline: stages from documents to packed sequences."""
+"""The corpus pipeline: documents to packed token sequences in five stages.
+
+Each stage works on all documents that the one before has kept and returns the columns of documents; the last
+returns the pieces of the packed sequences. Nulls, empty texts, repeated rows and other columns are handled as
+the operators' modules say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fleetplan.llm import decontaminate, jaccard, language, packing, substrings
+from fleetplan.llm.queries import tokenizer
+from fleetplan.session import stage
+
+
+def _with_length(docs: DataFrame) -> DataFrame:
+    """``n_chars``, where there is such a column, follows the text."""
+    return docs.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in docs.columns else docs
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or whose text no learned language explains by half, go."""
+    return language.known_language(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones stays."""
+    return jaccard.one_of_each_class(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has are cut out."""
+    return _with_length(substrings.without_repeats(docs))
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten consecutive words of a benchmark item go."""
+    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 tokens."""
+    pieces = packing.pack(docs, tokenizer("word_bpe_49k.json"), end=1)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_passages),
+    ("packing", packed_sequences),
+]
 
-STAGES: list = []
+#: Signatures, filters and tokenizers are beyond SQL; the tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each stage's result is stored and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, function in STAGES:
+        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
