@@ -53,6 +53,11 @@ def _nodes(tasks: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def _known_durations(tasks: DataFrame) -> DataFrame:
+    """An unknown duration counts as 0."""
+    return tasks.withColumn("duration", F.coalesce("duration", F.lit(0)).cast("double"))
+
+
 def _forward_pass(nodes: DataFrame) -> DataFrame:
     """Fold each workflow in spec order; a dependency counts only if it comes
     earlier. Adds start, end, stuck (dangling, or behind such a task) and
@@ -62,8 +67,21 @@ def _forward_pass(nodes: DataFrame) -> DataFrame:
     node = "struct<end:double,stuck:boolean,start:double>"
     out = F.array().cast(f"array<{node}>")
 
+    # Positions are usually dense from 0, so that the place in the array is the
+    # position; in a document with gaps the places are looked up.
+    dense = F.element_at("queue", -1)["idx"] == F.size("queue") - 1
+    places = lambda deps: F.transform(
+        deps, lambda p: (F.array_position(F.col("queue.idx"), p) - 1).cast("int")
+    )
+    no_deps = F.array().cast("array<int>")
+    in_places = F.transform(
+        "queue",
+        lambda t: t.withField("deps", F.when(F.col("dense"), F.coalesce(t["deps"], no_deps)).otherwise(places(F.coalesce(t["deps"], no_deps)))),
+    )
+    groups = groups.withColumn("dense", dense).withColumn("queue", in_places)
+
     def step(done: Column, task: Column) -> Column:
-        earlier = F.filter(F.coalesce(task["deps"], F.array().cast("array<int>")), lambda p: p < F.size(done))
+        earlier = F.filter(task["deps"], lambda p: p < F.size(done))
         found = F.transform(earlier, lambda p: F.get(done, p))
         start = F.coalesce(F.array_max(F.transform(found, lambda d: d["end"])), F.lit(0.0))
         stuck = F.coalesce(task["dangling"], F.lit(False)) | F.exists(found, lambda d: d["stuck"])
@@ -73,12 +91,10 @@ def _forward_pass(nodes: DataFrame) -> DataFrame:
         return F.concat(done, F.array(here).cast(f"array<{node}>"))
 
     late = F.exists("queue", lambda t: F.coalesce(t["last_dep"] >= t["idx"], F.lit(False)))
-    # Positions are dense from 0, so the place in the array is the position.
-    dense = F.element_at("queue", -1)["idx"] == F.size("queue") - 1
     return (
         groups.select(
             "wf_id",
-            (~late & dense).alias("in_order"),
+            (~late).alias("in_order"),
             F.explode(F.arrays_zip("queue", F.aggregate("queue", out, step).alias("done"))).alias("t"),
         )
         .select(
@@ -146,7 +162,8 @@ def earliest_start(
 ) -> DataFrame:
     """Start = latest end over the dependencies (0 if none), end = start + duration.
 
-    ``tasks`` has wf_id, idx, task_name, duration. A dependency that is not in
+    ``tasks`` has wf_id, idx, task_name, duration; positions may have gaps, and an
+    unknown duration counts as 0. A dependency that is not in
     the workflow counts as 0. With ``order="spec"`` so does one listed at or
     after its dependent (one forward pass over the document); with ``"any"`` the
     order of the document does not matter, and tasks on or behind a cycle get
@@ -155,6 +172,7 @@ def earliest_start(
     if order not in ORDERS:
         raise ValueError(f"order must be one of {ORDERS}")
     columns = ["wf_id", "idx", "task_name", "start", "end"]
+    tasks = _known_durations(tasks)
     large = oversized_workflows(tasks, max_fold)
     has_large = not large.isEmpty()
     ordinary, foldable = tasks, edges

@@ -41,11 +41,17 @@ def _times(value: Column, factor: float) -> Column:
     return (value * F.lit(factor)).cast("bigint")
 
 
+def _position(tasks: DataFrame) -> list[str]:
+    """The place in the document, which tells predictions of a repeated name apart."""
+    return [c for c in ("idx",) if c in tasks.columns]
+
+
 def predict_baseline(tasks: DataFrame) -> DataFrame:
     """The user's hint as prediction, duration unknown (0); no hint, no row."""
     hints = _hints(tasks)
     return tasks.where(_has_hint(tasks)).select(
         *TASK,
+        *_position(tasks),
         hints["cpu"].alias("cpu_m"),
         hints["mem"].alias("mem_mib"),
         F.lit(0.0).alias("duration_s"),
@@ -106,7 +112,7 @@ def with_prediction(enriched: DataFrame, model=None, min_samples: int = 1) -> Da
 def predict_resources(enriched: DataFrame, model=None, min_samples: int = 1) -> DataFrame:
     """Predictions (cpu, memory, duration, confidence, method) per task."""
     return with_prediction(enriched, model, min_samples).select(
-        *TASK, "cpu_m", "mem_mib", "duration_s", "confidence", "method",
+        *TASK, *_position(enriched), "cpu_m", "mem_mib", "duration_s", "confidence", "method",
         "cpu_limit_m", "mem_limit_mib",
     )
 
@@ -146,6 +152,13 @@ def sized(rows: DataFrame, dialect: str) -> DataFrame:
 
 
 def resolve_resources(tasks: DataFrame, predictions: DataFrame, dialect: str) -> DataFrame:
-    """Sizes per task: prediction, else hint, else default."""
-    found = predictions.select(*TASK, *_SIZES, F.lit(True).alias("predicted"))
+    """Sizes per task: prediction, else hint, else default; one row for each row of ``tasks``.
+
+    A repeated task name has one prediction, the last in the document (without positions, the
+    largest).
+    """
+    sizes = F.struct(*_SIZES)
+    order = F.struct(*_position(predictions), sizes)
+    last = predictions.groupBy(*TASK).agg(F.max_by(sizes, order).alias("p"))
+    found = last.select(*TASK, "p.*", F.lit(True).alias("predicted"))
     return sized(tasks.join(found, TASK, "left"), dialect)

@@ -81,10 +81,11 @@ def pods_to_create(pod_specs: DataFrame, pods: DataFrame) -> DataFrame:
     known = pods.select("namespace", "pod_name")
     fresh = pod_specs.join(known, ["namespace", "pod_name"], "left_anti")
     columns = [c for c in fresh.columns if c not in ("namespace", "pod_name")]
-    # Two allocations of one task name share a pod; maps cannot be de-duplicated
-    # directly, so the first body per name is kept by its own sizes.
+    # Two allocations of one task name share a pod: the first admitted one makes it.
+    # (Maps cannot be compared; without a number the smallest sizes come first.)
     body = F.struct(*columns)
-    order = F.struct("wf_id", "task_name", "cpu_request_m", "mem_request_mib")
+    number = ["admit_seq"] if "admit_seq" in columns else []
+    order = F.struct("wf_id", "task_name", *number, "cpu_request_m", "mem_request_mib")
     return (
         fresh.groupBy("namespace", "pod_name")
         .agg(F.min_by(body, order).alias("b"))
@@ -136,17 +137,20 @@ def resource_usage(status: DataFrame) -> DataFrame:
 
 
 def workflow_phase(status: DataFrame, previous: DataFrame | None = None) -> DataFrame:
-    """Phase per workflow from its status rows; a terminal phase stays."""
+    """Phase per workflow from its status rows; a terminal phase stays, also without
+    status rows. ``failed_task`` is of Failed workflows alone."""
     phases = status.groupBy("wf_id").agg(*_phase_aggregates())
     if previous is None:
         return phases
     kept = previous.where(F.col("phase").isin(*S.TERMINAL_WORKFLOW_PHASES)).select(
         "wf_id", F.col("phase").alias("kept")
     )
-    return (
-        phases.join(kept, "wf_id", "left")
-        .withColumn("phase", F.coalesce("kept", "phase"))
-        .drop("kept")
+    phase = F.coalesce("kept", "phase")
+    return phases.join(kept, "wf_id", "full").select(
+        "wf_id",
+        phase.alias("phase"),
+        F.when(phase == S.FAILED, F.col("failed_task")).alias("failed_task"),
+        F.coalesce("running_tasks", F.lit(0)).alias("running_tasks"),
     )
 
 

@@ -85,7 +85,8 @@ def apply_plan(
     """Status after the cycle, and the usage recomputed from it.
 
     Admitted tasks turn Running with pod name and allocation. A planned task
-    without a status row gets one. ``workflow_names`` has wf_id, workflow_name.
+    without a status row gets one. ``workflow_names`` has wf_id, workflow_name; a
+    workflow without a name goes by its id.
     """
     started = (
         plan.groupBy(*TASK)
@@ -93,8 +94,14 @@ def apply_plan(
             # A repeated task name is one pod: the last admitted body stays.
             F.max_by(F.struct("cpu_request_m", "mem_request_mib"), F.col("admit_seq")).alias("p")
         )
-        .join(workflow_names, "wf_id")
-        .select(*TASK, "p", pod_name(F.col("workflow_name"), F.col("task_name")).alias("new_pod"))
+        .join(workflow_names, "wf_id", "left")
+        .select(
+            *TASK,
+            "p",
+            pod_name(
+                F.coalesce("workflow_name", F.col("wf_id").cast("string")), F.col("task_name")
+            ).alias("new_pod"),
+        )
     )
     known = status if "pod_name" in status.columns else status.withColumn(
         "pod_name", F.lit(None).cast("string")

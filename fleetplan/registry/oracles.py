@@ -406,7 +406,12 @@ SELECT 'wf-' || o_orderkey AS workflow_name, 't' || i AS task_name, 'image-' ||
        CAST(100 + i * 10 AS BIGINT) AS actual_cpu_m, CAST(64 + i AS BIGINT) AS actual_mem_mib,
        CAST(1.5 * i AS DOUBLE) AS duration_s, i % 3 <> 1 AS succeeded,
        epoch_us(CASE WHEN i % 2 = 0 THEN o_orderdate ELSE {AS_OF} END) AS completed_us
-FROM (SELECT *, UNNEST(range(0, o_orderkey % 4 + 1)) AS i FROM orders)""",
+FROM (SELECT *, UNNEST(range(0, o_orderkey % 4 + 1)) AS i FROM orders
+      WHERE o_orderkey % 13 <> 0 OR o_orderkey % 4 = 0)""",
+    "record_rejects": """
+SELECT 'wf-' || o_orderkey AS workflow_name, CAST(o_orderkey % 4 + 1 AS INT) AS n_tasks,
+       'malformed completed_at "yesterday"' AS reason
+FROM orders WHERE o_orderkey % 13 = 0 AND o_orderkey % 4 > 0""",
     "export_workflows_json": """
 SELECT namespace, name,
        '{"metadata":{"namespace":"' || namespace || '","name":"' || name || '"},"spec":{'
@@ -426,9 +431,10 @@ SELECT sample_id, image, {_noisy('cpu', 0.2, 2, 10)} AS hist_cpu_m, {_noisy('mem
        {_noisy('mem', 0.15, 10, 8)} AS actual_mem_mib, {_noisy('dur', 0.15, 12, 1)} AS duration_s
 FROM draws JOIN profiles ON pick = CAST(FLOOR(u[1] * 12) AS INT)""",
     "discard_metrics": """
-SELECT DISTINCT image, CAST(0 AS DOUBLE) AS hist_cpu_m, CAST(0 AS DOUBLE) AS hist_mem_mib,
-       CAST(0 AS DOUBLE) AS hist_duration_s, CAST(0 AS BIGINT) AS n_samples
-FROM wf_executions""",
+SELECT e.image, ROUND(COALESCE(hist_cpu_m, 0) + 1e-9, 6) AS hist_cpu_m,
+       ROUND(COALESCE(hist_mem_mib, 0) + 1e-9, 6) AS hist_mem_mib,
+       ROUND(COALESCE(hist_duration_s, 0) + 1e-9, 6) AS hist_duration_s, COALESCE(n_samples, 0) AS n_samples
+FROM (SELECT DISTINCT image FROM wf_executions) e LEFT JOIN history h ON h.image = e.image""",
     "flatten_tasks": """
 SELECT wf_id, name AS workflow_name, idx, task_name, image, dep AS dependencies,
        CAST(hint_cpu_m AS BIGINT) AS hint_cpu_m, CAST(hint_mem_mib AS BIGINT) AS hint_mem_mib
@@ -478,9 +484,9 @@ FROM docs d LEFT JOIN (SELECT key, BOOL_OR(image IS NULL) AS no_image, COALESCE(
                        FROM doc_tasks GROUP BY key) t ON t.key = d.key""",
     "workflow_lookup": "SELECT namespace, name FROM docs WHERE namespace = 'ns-1'",
     "init_status": """
-SELECT wf_id, task_name, 'Pending' AS phase, 'Pending' AS wf_phase,
-       'Workflow initialized with ' || n_tasks || ' tasks' AS message
-FROM doc_tasks""",
+SELECT d.wf_id, t.task_name, CASE WHEN t.task_name IS NOT NULL THEN 'Pending' END AS phase, 'Pending' AS wf_phase,
+       'Workflow initialized with ' || COALESCE(d.n_tasks, 0) || ' tasks' AS message
+FROM docs d LEFT JOIN doc_tasks t ON t.key = d.key""",
     "dependency_edges": "SELECT wf_id, task_name, dep FROM doc_tasks WHERE dep IS NOT NULL",
     "ready_tasks": "SELECT wf_id, idx, task_name FROM ready",
     "sync_pod_status": "SELECT * FROM synced",
@@ -507,19 +513,19 @@ SELECT wf_id, idx, image, ROUND(hist_cpu_m + 1e-9, 6) AS hist_cpu_m, ROUND(hist_
 FROM enriched""",
     "resolve_resources_local": """
 SELECT t.wf_id, t.idx, t.task_name,
-       CASE WHEN t.o_orderstatus = 'P' THEN r.cpu_request_m ELSE l.cpu_request_m END AS cpu_request_m,
-       CASE WHEN t.o_orderstatus = 'P' THEN r.mem_request_mib ELSE l.mem_request_mib END AS mem_request_mib,
-       CASE WHEN t.o_orderstatus = 'P' THEN r.cpu_limit_m ELSE l.cpu_limit_m END AS cpu_limit_m,
-       CASE WHEN t.o_orderstatus = 'P' THEN r.mem_limit_mib ELSE l.mem_limit_mib END AS mem_limit_mib
-FROM wf_tasks t JOIN remote_sizes r ON r.wf_id = t.wf_id AND r.idx = t.idx
+       CASE WHEN t.n_samples > 0 THEN r.cpu_request_m ELSE l.cpu_request_m END AS cpu_request_m,
+       CASE WHEN t.n_samples > 0 THEN r.mem_request_mib ELSE l.mem_request_mib END AS mem_request_mib,
+       CASE WHEN t.n_samples > 0 THEN r.cpu_limit_m ELSE l.cpu_limit_m END AS cpu_limit_m,
+       CASE WHEN t.n_samples > 0 THEN r.mem_limit_mib ELSE l.mem_limit_mib END AS mem_limit_mib
+FROM enriched t JOIN remote_sizes r ON r.wf_id = t.wf_id AND r.idx = t.idx
                 JOIN local_sizes l ON l.wf_id = t.wf_id AND l.idx = t.idx""",
     "resolve_resources": """
 SELECT t.wf_id, t.idx, t.task_name,
-       CASE WHEN t.o_orderstatus = 'P' THEN r.cpu_request_m ELSE l.cpu_request_m END AS cpu_request_m,
-       CASE WHEN t.o_orderstatus = 'P' THEN r.mem_request_mib ELSE l.mem_request_mib END AS mem_request_mib,
-       CASE WHEN t.o_orderstatus = 'P' THEN r.cpu_limit_m ELSE 2 * l.cpu_request_m END AS cpu_limit_m,
-       CASE WHEN t.o_orderstatus = 'P' THEN r.mem_limit_mib ELSE 2 * l.mem_request_mib END AS mem_limit_mib
-FROM wf_tasks t JOIN remote_sizes r ON r.wf_id = t.wf_id AND r.idx = t.idx
+       CASE WHEN t.n_samples > 0 THEN r.cpu_request_m ELSE l.cpu_request_m END AS cpu_request_m,
+       CASE WHEN t.n_samples > 0 THEN r.mem_request_mib ELSE l.mem_request_mib END AS mem_request_mib,
+       CASE WHEN t.n_samples > 0 THEN r.cpu_limit_m ELSE 2 * l.cpu_request_m END AS cpu_limit_m,
+       CASE WHEN t.n_samples > 0 THEN r.mem_limit_mib ELSE 2 * l.mem_request_mib END AS mem_limit_mib
+FROM enriched t JOIN remote_sizes r ON r.wf_id = t.wf_id AND r.idx = t.idx
                 JOIN local_sizes l ON l.wf_id = t.wf_id AND l.idx = t.idx""",
     "predict_baseline": """
 SELECT wf_id, task_name, hint_cpu_m AS cpu_m, hint_mem_mib AS mem_mib, CAST(0 AS DOUBLE) AS duration_s
@@ -538,12 +544,15 @@ SELECT h.wf_id, namespace, name, p.phase, n || ' (' || COALESCE(running_tasks, 0
        COALESCE(running_tasks, 0) AS running_tasks, age AS age_s,
        CASE WHEN age >= 3600 THEN (age // 3600) || 'h' || (age % 3600 // 60) || 'm' || (age % 60) || 's'
             WHEN age >= 60 THEN (age // 60) || 'm' || (age % 60) || 's' ELSE age || 's' END AS age
-FROM (SELECT wf_id, namespace, workflow_name AS name, COUNT(*) AS n,
-             CAST(ROUND((epoch_us(TIMESTAMP '2003-01-01 12:34:56.7') - epoch_us(MIN(l_shipdate))) / 1000000) AS BIGINT) AS age
-      FROM wf_tasks GROUP BY ALL) h LEFT JOIN phases p ON p.wf_id = h.wf_id""",
+FROM (SELECT o_orderkey AS wf_id, 'ns-' || (o_custkey % 5) AS namespace, 'wf-' || o_orderkey AS name,
+             (SELECT COUNT(*) FROM wf_tasks t WHERE t.wf_id = o_orderkey) AS n,
+             CAST(ROUND((epoch_us(TIMESTAMP '2003-01-01 12:34:56.7') - epoch_us(o_orderdate)) / 1000000) AS BIGINT) AS age
+      FROM orders) h LEFT JOIN phases p ON p.wf_id = h.wf_id""",
     "workflow_phase": """
-SELECT p.wf_id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'Completed' ELSE phase END AS phase, failed_task
-FROM phases p JOIN orders o ON o.o_orderkey = p.wf_id""",
+SELECT o_orderkey AS wf_id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'Completed' ELSE phase END AS phase,
+       CASE WHEN o_orderpriority <> '1-URGENT' THEN failed_task END AS failed_task
+FROM orders o LEFT JOIN phases p ON o.o_orderkey = p.wf_id
+WHERE p.wf_id IS NOT NULL OR o_orderpriority = '1-URGENT'""",
     "workflow_conditions": "SELECT * FROM conditions",
     "merge_conditions": """
 SELECT * FROM synced_conditions
@@ -619,7 +628,10 @@ SELECT wf_id, task_name, phase, phase, 0 FROM wf_status s
 WHERE NOT EXISTS (SELECT 1 FROM wf_pod_events e WHERE e.wf_id = s.wf_id AND e.task_name = s.task_name)""",
     "task_phase_stream": """
 SELECT wf_id, task_name, phase, epoch_us(COALESCE(ended, started)) AS changed_us
-FROM fresh_final WHERE phase <> 'Pending'""",
+FROM fresh_final""",
+    "task_phase_stream_text_ids": """
+SELECT 'ns/wf-' || wf_id AS wf_id, task_name, phase, epoch_us(COALESCE(ended, started)) AS changed_us
+FROM fresh_final""",
     "metrics_stream": """
 SELECT t.workflow_name, f.task_name, t.image, COALESCE(s.alloc_cpu_m, 0) AS actual_cpu_m,
        COALESCE(s.alloc_mem_mib, 0) AS actual_mem_mib,
@@ -639,7 +651,7 @@ UNION ALL SELECT wf_id, 'Warning', 'TaskFailed', 'Task "' || task_name || '" fai
 FROM fresh_final WHERE phase = 'Failed'""",
     "event_log": """
 SELECT wf_id, 'Normal' AS type, 'Initialized' AS reason, 'Workflow initialized with ' || COUNT(*) || ' tasks' AS message
-FROM wf_tasks GROUP BY wf_id
+FROM wf_tasks t WHERE NOT EXISTS (SELECT 1 FROM wf_status s WHERE s.wf_id = t.wf_id) GROUP BY wf_id
 UNION ALL SELECT wf_id, 'Normal', 'TaskStarted', 'Started task "' || task_name || '" with pod "wf-' || wf_id || '-' || task_name || '"'
 FROM run_remote_plan
 UNION ALL SELECT wf_id, 'Warning', 'PodCreationFailed',
@@ -653,7 +665,8 @@ UNION ALL SELECT wf_id, CASE WHEN phase = 'Failed' THEN 'Warning' ELSE 'Normal'
        CASE WHEN phase = 'Failed' THEN 'WorkflowFailed' ELSE 'WorkflowCompleted' END,
        CASE WHEN phase = 'Failed' THEN 'Workflow failed because task "' || failed_task || '" failed'
             ELSE 'All tasks completed successfully' END
-FROM synced_phases WHERE phase <> 'Running'""",
+FROM synced_phases n WHERE phase <> 'Running'
+AND NOT EXISTS (SELECT 1 FROM phases b WHERE b.wf_id = n.wf_id AND b.phase <> 'Running')""",
 }
 _CHANGED = "SELECT p.* FROM run_remote_plan p WHERE p.wf_id IN (SELECT wf_id FROM wf_pod_events)"
 ORACLES["plan_changed"] = _CHANGED

@@ -115,8 +115,7 @@ def read_history(f: Fleet) -> DataFrame:
     return _execution_columns(rows)
 
 
-@query
-def record_executions(f: Fleet) -> DataFrame:
+def _recorded(f: Fleet) -> tuple[DataFrame, DataFrame]:
     key = F.col("o_orderkey")
     metric = lambda i: F.struct(
         F.concat(F.lit("t"), i.cast("string")).alias("task_name"),
@@ -125,7 +124,8 @@ def record_executions(f: Fleet) -> DataFrame:
         (64 + i).cast("bigint").alias("actual_mem_mib"),
         (F.lit(1.5) * i).alias("duration_s"),
         F.when(i % 3 == 1, False).when(i % 3 == 2, True).alias("succeeded"),
-        F.when(i % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        F.when((i == 1) & (key % 13 == 0), F.lit("yesterday"))
+        .when(i % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
         .otherwise("")
         .alias("completed_at"),
     )
@@ -133,7 +133,17 @@ def record_executions(f: Fleet) -> DataFrame:
         F.concat(F.lit("wf-"), key.cast("string")).alias("workflow_name"),
         F.transform(F.sequence(F.lit(0), (key % 4).cast("int")), metric).alias("task_metrics"),
     )
-    return _execution_columns(history_source.record_executions(reports, AS_OF))
+    return history_source.record_executions(reports, AS_OF)
+
+
+@query
+def record_executions(f: Fleet) -> DataFrame:
+    return _execution_columns(_recorded(f)[0])
+
+
+@query
+def record_rejects(f: Fleet) -> DataFrame:
+    return _recorded(f)[1].select("workflow_name", F.size("task_metrics").alias("n_tasks"), "reason")
 
 
 @query
@@ -154,10 +164,12 @@ def generate_executions(f: Fleet) -> DataFrame:
 
 @query
 def discard_metrics(f: Fleet) -> DataFrame:
-    """Without a history every image has zero statistics."""
+    """The statistics of the history table after the sink has taken all executions once
+    more: it keeps nothing, so they are those of the table alone."""
     history_source.discard_metrics(f.executions)
-    nothing = history.image_history(f.executions.limit(0), AS_OF)
-    return history.enrich_with_history(f.executions.select("image").distinct(), nothing)
+    stored = history.image_history(history_source.read_history(f.spark, f.history_path, AS_OF), AS_OF)
+    rows = history.enrich_with_history(f.executions.select("image").distinct(), stored)
+    return rows.select("image", six("hist_cpu_m"), six("hist_mem_mib"), six("hist_duration_s"), "n_samples")
 
 
 # Projections and filters
@@ -248,15 +260,14 @@ def workflow_lookup(f: Fleet) -> DataFrame:
 
 @query
 def init_status(f: Fleet) -> DataFrame:
-    docs = f.manifests.where(F.col("spec.tasks").isNotNull())
-    fresh = tasks.init_status(docs.withColumn("status", F.lit(None).cast(S.STATUS)))
+    fresh = tasks.init_status(f.manifests.withColumn("status", F.lit(None).cast(S.STATUS)))
     entries = tasks.flatten_status(fresh).select("wf_id", "task_name", "phase")
     heads = fresh.select(
         F.concat_ws("/", "namespace", "name").alias("wf_id"),
         F.col("status.phase").alias("wf_phase"),
         F.element_at("status.conditions", 1)["message"].alias("message"),
     )
-    return entries.join(heads, "wf_id")
+    return heads.join(entries, "wf_id", "left").select("wf_id", "task_name", "phase", "wf_phase", "message")
 
 
 # Joins
@@ -309,8 +320,9 @@ def enrich_with_history(f: Fleet) -> DataFrame:
 
 def _resolved(f: Fleet, dialect: str) -> DataFrame:
     stats = history.image_history(f.executions, AS_OF)
-    open_orders = f.tasks.where(F.col("o_orderstatus") == "P")
-    predictions = predict.predict_resources(history.enrich_with_history(open_orders, stats))
+    # Every task whose image has a history is predicted; the others go by hint or default.
+    known = history.enrich_with_history(f.tasks, stats).where("n_samples > 0")
+    predictions = predict.predict_resources(known)
     rows = predict.resolve_resources(f.tasks, predictions, dialect)
     return rows.select(
         "wf_id", "idx", "task_name", "cpu_request_m", "mem_request_mib", "cpu_limit_m", "mem_limit_mib"
@@ -362,11 +374,16 @@ def resource_usage(f: Fleet) -> DataFrame:
 
 @query
 def list_workflows(f: Fleet) -> DataFrame:
-    counts = f.tasks.groupBy("wf_id", "namespace", F.col("workflow_name").alias("name")).agg(
-        F.count("*").alias("n_tasks"), F.min("l_shipdate").cast("timestamp").alias("created_at")
-    )
+    counts = f.tasks.groupBy("wf_id").agg(F.count("*").alias("n_tasks"))
     phases_ = status.workflow_phase(f.status).select("wf_id", "phase")
-    heads = counts.join(phases_, "wf_id", "left")
+    key = F.col("o_orderkey")
+    orders = f.table("orders").select(
+        key.alias("wf_id"),
+        F.concat(F.lit("ns-"), (F.col("o_custkey") % 5).cast("string")).alias("namespace"),
+        F.concat(F.lit("wf-"), key.cast("string")).alias("name"),
+        F.col("o_orderdate").cast("timestamp").alias("created_at"),
+    )
+    heads = orders.join(counts, "wf_id", "left").join(phases_, "wf_id", "left").fillna(0, "n_tasks")
     return status.list_workflows(heads, f.status, "2003-01-01 12:34:56.7")
 
 
@@ -620,6 +637,18 @@ def task_phase_stream(f: Fleet) -> DataFrame:
     return current.select("wf_id", "task_name", "phase", F.unix_micros("changed_at").alias("changed_us"))
 
 
+@query
+def task_phase_stream_text_ids(f: Fleet) -> DataFrame:
+    """The same over ids as documents have them, ``namespace/name``."""
+    named = _event_stream(f)
+    number = F.col("wf_id").cast("string")
+    named = named.withColumn("wf_id", F.concat(F.lit("ns/wf-"), number))
+    table = new_path(f, "phases")
+    phases.task_phase_stream(named, table, new_path(f, "offsets")).awaitTermination()
+    current = phases.PhaseTable(f.spark, table, "string").current()
+    return current.select("wf_id", "task_name", "phase", F.unix_micros("changed_at").alias("changed_us"))
+
+
 @query
 def metrics_stream(f: Fleet) -> DataFrame:
     path = new_path(f, "history")
@@ -676,11 +705,11 @@ def event_log(f: Fleet) -> DataFrame:
     wanted = f.edges.where(F.col("dep") == "t999").select("wf_id", F.col("dep").alias("task_name"))
     refused = tasks.pod_spec_rejects(wanted, f.tasks)
     parts = [
-        events.init_transitions(seen),
+        events.init_transitions(seen, f.status),
         events.start_transitions(new),
         events.reject_transitions(refused),
         events.sync_transitions(f.status, synced),
-        events.workflow_transitions(status.workflow_phase(synced)),
+        events.workflow_transitions(status.workflow_phase(synced), status.workflow_phase(f.status)),
     ]
     log = events.event_log(parts[0])
     for part in parts[1:]:

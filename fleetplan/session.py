@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 # operators that fold a workflow inside one row send it down a distributed path.
 MAX_FOLD_TASKS = 4096
 
-# Temporary folders of local applications without ``spark.checkpoint.dir``.
+# Temporary folders, in the system's place for them, of applications with a local master
+# and without ``spark.checkpoint.dir``.
 _LOCAL_DIRS: dict[str, str] = {}
 
 
@@ -42,9 +43,11 @@ def shared_dir(spark: SparkSession) -> str:
     master: on a cluster such a folder would live on one machine.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if folder:
+        if not context.master.startswith("local") and folder.startswith("file:"):
+            raise RuntimeError("spark.checkpoint.dir is a folder of one machine; executors need a shared one")
         return folder.rstrip("/")
-    context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     app = context.applicationId
@@ -79,6 +82,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
+def numbered_folders(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers of the folders ``name=N`` in a folder; none if it does not exist."""
+    files, target = _file_system(spark, path)
+    if not files.exists(target):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(target)]
+    return [int(n.partition("=")[2]) for n in names if n.startswith(f"{name}=")]
+
+
 def _file_system(spark: SparkSession, path: str):
     context = spark.sparkContext
     target = context._jvm.org.apache.hadoop.fs.Path(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from datetime import datetime, timedelta
+from zoneinfo import ZoneInfo
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 from fleetplan import schemas as S
 from fleetplan.functions.frames import instant
 from fleetplan.operators.history import recent
+from fleetplan.session import path_exists
 
 # The history table as stored: execution columns plus the partition columns.
 _STORED = T.StructType(
@@ -37,7 +39,9 @@ def read_history(
     window are listed, so the cost of opening the table does not grow with its
     age; the other predicates reach the Parquet scan.
     """
-    clock = _clock(as_of)
+    if not path_exists(spark, path):
+        raise FileNotFoundError(f"no history table at {path}")
+    clock = _clock(spark, as_of)
     dates = [(clock - timedelta(days=d)).date().isoformat() for d in range(days + 1)]
     table = spark.read.schema(_STORED).option("basePath", path)
     try:
@@ -50,8 +54,13 @@ def read_history(
     return rows if image is None else rows.where(F.col("image") == image)
 
 
-def _clock(as_of: str | datetime) -> datetime:
-    return as_of if isinstance(as_of, datetime) else datetime.fromisoformat(as_of)
+def _clock(spark: SparkSession, as_of: str | datetime) -> datetime:
+    """The clock as local time of the session zone, in which days and times are stored."""
+    clock = as_of if isinstance(as_of, datetime) else datetime.fromisoformat(as_of)
+    if clock.tzinfo is None:
+        return clock
+    zone = ZoneInfo(spark.conf.get("spark.sql.session.timeZone"))
+    return clock.astimezone(zone).replace(tzinfo=None)
 
 
 def read_history_jdbc(
@@ -68,9 +77,10 @@ def read_history_jdbc(
     ``as_of`` must be ISO text or a datetime, since it becomes part of the
     predicates evaluated by the database.
     """
-    predicates = time_slices(_clock(as_of), days, slices)
+    clock = _clock(spark, as_of)
+    predicates = time_slices(clock, days, slices)
     rows = spark.read.jdbc(url, table, predicates=predicates, properties=properties or {})
-    return recent(rows, as_of, days)
+    return recent(rows, clock, days)
 
 
 def time_slices(clock, days: int, slices: int) -> list[str]:
@@ -83,11 +93,21 @@ def time_slices(clock, days: int, slices: int) -> list[str]:
     ]
 
 
-def record_executions(reports: DataFrame, as_of) -> DataFrame:
-    """Reports (workflow + list of task metrics) as history rows.
+def record_executions(reports: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
+    """Reports (workflow + list of task metrics) as history rows, and the refused reports.
 
-    An empty ``completed_at`` becomes ``as_of``, an absent ``succeeded`` True.
+    An empty ``completed_at`` becomes ``as_of``, an absent ``succeeded`` True. A report with a
+    malformed time is refused as a whole and told in ``reason``.
     """
+    stamp_of = lambda m: F.nullif(m["completed_at"].cast("string"), F.lit(""))
+    malformed = F.filter("task_metrics", lambda m: stamp_of(m).isNotNull() & F.try_to_timestamp(stamp_of(m)).isNull())
+    marked = reports.withColumn("__bad", F.coalesce(F.get(malformed, 0)["completed_at"].cast("string"), F.lit("")))
+    refused = marked.where(F.col("__bad") != "")
+    rejects = refused.withColumn("reason", F.concat(F.lit('malformed completed_at "'), "__bad", F.lit('"'))).drop("__bad")
+    return _execution_rows(marked.where(F.col("__bad") == ""), as_of), rejects
+
+
+def _execution_rows(reports: DataFrame, as_of) -> DataFrame:
     m = "m."
     stamp = F.col(m + "completed_at").cast("string")
     return reports.select("workflow_name", F.explode("task_metrics").alias("m")).select(

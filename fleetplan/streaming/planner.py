@@ -77,7 +77,9 @@ def success_rows(folded: DataFrame, status: DataFrame, tasks: DataFrame) -> Data
     task = ["wf_id", "task_name"]
     done = folded.where((F.col("phase") == S.SUCCEEDED) & (F.col("before") != S.SUCCEEDED))
     sizes = status.select(*task, "alloc_cpu_m", "alloc_mem_mib")
-    names = tasks.select(*task, "workflow_name", "image")
+    # of a repeated name the first in the document counts
+    first = F.min_by(F.struct("workflow_name", "image"), F.col("idx"))
+    names = tasks.groupBy(*task).agg(first.alias("t")).select(*task, "t.*")
     seconds = (F.unix_micros("ended_at") - F.unix_micros("started_at")) / F.lit(1e6)
     return (
         done.join(names, task)
