@@ -671,6 +671,7 @@ AND NOT EXISTS (SELECT 1 FROM phases b WHERE b.wf_id = n.wf_id AND b.phase <> 'R
 _CHANGED = "SELECT p.* FROM run_remote_plan p WHERE p.wf_id IN (SELECT wf_id FROM wf_pod_events)"
 ORACLES["plan_changed"] = _CHANGED
 ORACLES["plan_stream"] = _CHANGED
+ORACLES["plan_stream_again"] = _CHANGED
 
 
 def oracle_sql() -> dict[str, str]:

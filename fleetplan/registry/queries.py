@@ -693,6 +693,20 @@ def plan_stream(f: Fleet) -> DataFrame:
     return f.spark.read.parquet(path).select(*admission.PLAN)
 
 
+@query
+def plan_stream_again(f: Fleet) -> DataFrame:
+    """Two micro-batches name the same workflows: each task is started once."""
+    given, path = new_path(f, "changes"), new_path(f, "plans")
+    changed = f.pod_events.select("wf_id").distinct()
+    for _ in range(2):
+        changed.coalesce(1).write.mode("append").parquet(given)
+    stream = f.spark.readStream.schema(changed.schema).option("maxFilesPerTrigger", 1).parquet(given)
+    planner.plan_stream(
+        stream, _plan_tables(f), path, new_path(f, "offsets"), clock=lambda batch: AS_OF, interval=None
+    ).awaitTermination()
+    return f.spark.read.parquet(path).select(*admission.PLAN)
+
+
 @query
 def event_log(f: Fleet) -> DataFrame:
     """Every kind of event: document seen, task started, refused or ended,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from fleetplan.functions import pod_name
 from fleetplan.plans.cycle import plan_cycle
 from fleetplan.sources.history import append_history
 from fleetplan.streaming.events import event_log
-from fleetplan.streaming.phases import _started, task_phase_stream, transitions
+from fleetplan.streaming.phases import ChangeTable, _started, task_phase_stream, transitions
 
 
 @dataclass
@@ -29,6 +29,27 @@ class PlanTables:
     executions: Callable[[], DataFrame]
 
 
+class StartTable(ChangeTable):
+    """Sizes of the tasks that a planning stream has started."""
+
+    BODY = {"cpu_request_m": "bigint", "mem_request_mib": "bigint"}
+
+
+def with_started(status: DataFrame, started: DataFrame) -> DataFrame:
+    """``status`` in which tasks that were started, but still count as Pending or have no row,
+    are Running with the sizes they were started with."""
+    task = ["wf_id", "task_name"]
+    late = F.coalesce("phase", F.lit(S.PENDING)) == S.PENDING
+    known = status.select(*task, "phase", "alloc_cpu_m", "alloc_mem_mib")
+    pick = lambda new, old: F.when(F.col("__started") & late, new).otherwise(F.col(old)).alias(old)
+    return known.join(started.withColumn("__started", F.lit(True)), task, "full").select(
+        *task,
+        pick(F.lit(S.RUNNING), "phase"),
+        pick(F.col("cpu_request_m"), "alloc_cpu_m"),
+        pick(F.col("mem_request_mib"), "alloc_mem_mib"),
+    )
+
+
 def plan_changed(changed: DataFrame, tables: PlanTables, as_of, **options) -> DataFrame:
     """One planning cycle for the workflows named in ``changed``.
 
@@ -62,11 +83,22 @@ def plan_stream(
     ``clock`` gives the planning time of a batch. A batch that is run again
     replaces its own folder, so each plan is stored once. With ``interval`` None
     the available input is planned and the query ends.
+
+    What earlier batches have started counts as Running until the status says
+    more, so that a task is started once however late the status follows; the
+    starts are kept in a :class:`StartTable` beside the plans.
     """
+    spark = changes.sparkSession
+    starts = StartTable(spark, f"{path}-started", changes.schema["wf_id"].dataType.simpleString())
 
     def cycle(rows: DataFrame, batch: int) -> None:
-        plan = plan_changed(rows, tables, clock(batch), **options)
-        plan.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        ids = rows.select("wf_id").distinct()
+        started = starts.current(batch).join(ids, "wf_id", "left_semi")
+        seen = replace(tables, status=lambda: with_started(tables.status(), started))
+        plan_changed(rows, seen, clock(batch), **options).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        plan = spark.read.parquet(f"{path}/batch={batch}")
+        last = F.max_by(F.struct("cpu_request_m", "mem_request_mib"), "admit_seq").alias("p")
+        starts.write(plan.groupBy("wf_id", "task_name").agg(last).select("wf_id", "task_name", "p.*"), batch)
 
     writer = changes.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint)
     return _started(writer, interval)

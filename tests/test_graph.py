@@ -48,6 +48,18 @@ def test_spec_order_ignores_later_dependencies(spark, max_fold):
     assert got[4, "late"] == (0.0, 1.0) and got[5, "self"] == (0.0, 1.0)
 
 
+@pytest.mark.parametrize("order", ["spec", "any"])
+def test_gaps_and_unknown_durations_agree_on_both_routes(spark, order):
+    nodes = [(1, 10, "a", 2.0), (1, 20, "b", 1.0), (1, 35, "c", None), (1, 40, "d", 1.5), (2, 0, "x", None), (2, 1, "y", 4.0)]
+    edges = [(1, "b", "a"), (1, "c", "b"), (1, "d", "c"), (2, "y", "x")]
+    frames = spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES)
+    for max_fold in (4096, 5, 1):
+        got = {(r.wf_id, r.task_name): (r.start, r.end) for r in earliest_start(*frames, order=order, max_fold=max_fold).collect()}
+        assert got == {
+            (1, "a"): (0.0, 2.0), (1, "b"): (2.0, 3.0), (1, "c"): (3.0, 3.0), (1, "d"): (3.0, 4.5), (2, "x"): (0.0, 0.0), (2, "y"): (0.0, 4.0),
+        }
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_random_graphs(spark, seed):
     rng = random.Random(seed)

@@ -70,7 +70,8 @@ def test_record_then_read(spark, tmp_path):
         ],
         S.REPORT,
     )
-    rows = source.record_executions(reports, AS_OF)
+    rows, rejects = source.record_executions(reports, AS_OF)
+    assert rejects.isEmpty()
     got = {(r.workflow_name, r.task_name): (r.succeeded, r.completed_at) for r in rows.collect()}
     assert got == {
         ("w1", "a"): (True, dt.datetime(2024, 2, 20, 10)),
@@ -90,6 +91,24 @@ def test_record_then_read(spark, tmp_path):
     assert source.read_history(spark, path, AS_OF).where("task_name = 'b'").count() == 3
     assert source.read_history(spark, path, AS_OF, image="other").count() == 0
     assert source.read_history(spark, path, "2030-01-01").count() == 0
+    with pytest.raises(FileNotFoundError):
+        source.read_history(spark, path + "-elsewhere", AS_OF)
+
+
+def test_a_clock_with_an_offset_is_the_same_instant(spark, tmp_path):
+    path = str(tmp_path / "history")
+    rows = spark.createDataFrame([("w", "a", "i", 1, 1, 1.0, True, dt.datetime(2024, 5, 31, 19, 0))], S.EXECUTION)
+    source.append_history(rows, path)
+    for clock in ("2024-06-01T00:30:00+05:00", "2024-05-31 19:30:00", dt.datetime.fromisoformat("2024-05-31T14:30:00-05:00")):
+        assert source.read_history(spark, path, clock, days=1).count() == 1
+
+
+def test_a_report_with_a_malformed_time_is_refused(spark):
+    metric = lambda task, at: (task, "i", 1, 1, 1.0, None, at)
+    reports = spark.createDataFrame([("good", [metric("a", ""), metric("b", "2024-01-01T00:00:00Z")]), ("bad", [metric("a", None), metric("b", "soon")])], S.REPORT)
+    rows, rejects = source.record_executions(reports, AS_OF)
+    assert sorted((r.workflow_name, r.task_name) for r in rows.collect()) == [("good", "a"), ("good", "b")]
+    assert [(r.workflow_name, r.reason) for r in rejects.collect()] == [("bad", 'malformed completed_at "soon"')]
 
 
 def test_discard(spark):

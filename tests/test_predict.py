@@ -39,6 +39,13 @@ def test_baseline_omits_tasks_without_hint(spark):
     assert got["a"].duration_s == 0.0 and got["b"].mem_limit_mib == 64
 
 
+def test_a_repeated_name_has_one_prediction(spark):
+    schema = "wf_id long, idx int, task_name string, hint_cpu_m long, hint_mem_mib long"
+    tasks = spark.createDataFrame([(1, 0, "a", 10, 1), (1, 1, "a", 20, 2), (1, 2, "b", 30, 3)], schema)
+    rows = resolve_resources(tasks, predict_baseline(tasks), "local").collect()
+    assert sorted((r.idx, r.cpu_request_m) for r in rows) == [(0, 20), (1, 20), (2, 30)]
+
+
 def test_resolution_priority(spark):
     tasks = spark.createDataFrame(
         [(1, 0, "p", 7, 7), (1, 1, "h", 11, 13), (1, 2, "d", None, None)],

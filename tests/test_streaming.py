@@ -77,11 +77,24 @@ def test_phase_stream_equals_batch(spark, tmp_path, n_files):
     phases.task_phase_stream(stream, table, str(tmp_path / "cp")).awaitTermination()
     store = phases.PhaseTable(spark, table)
     expected = {k: brute_fold(v) for k, v in by_key(rows).items()}
-    moved = {k: p for k, p in expected.items() if p != "Pending"}
-    assert {(r.wf_id, r.task_name): r.phase for r in store.current().collect()} == moved
+    assert {(r.wf_id, r.task_name): r.phase for r in store.current().collect()} == expected
     compacted = store.compact(n_files - 1, str(tmp_path / "small"))
-    assert compacted.log().count() == len(moved)
-    assert {(r.wf_id, r.task_name): r.phase for r in compacted.current().collect()} == moved
+    assert compacted.log().count() == len(expected)
+    assert {(r.wf_id, r.task_name): r.phase for r in compacted.current().collect()} == expected
+
+
+def test_text_ids_over_many_batches_read_few_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(phases.PhaseTable, "SNAPSHOT_EVERY", 4)
+    rows = events(150, seed=5)
+    table = phases.PhaseTable(spark, str(tmp_path / "table"), "string")
+    for batch, part in enumerate(split(rows, 13)):
+        df = spark.createDataFrame(part, S.POD_EVENT).withColumn("wf_id", F.concat(F.lit("ns/w"), "wf_id"))
+        seen = df.select("wf_id", "task_name").distinct()
+        assert len(table.folders(batch)) <= 4
+        folded = phases.fold_phases(table.current(batch, seen), df)
+        table.write(phases.phase_changes(folded), batch)
+    expected = {(f"ns/w{w}", t): brute_fold(v) for (w, t), v in by_key(rows).items()}
+    assert {(r.wf_id, r.task_name): r.phase for r in table.current().collect()} == expected
 
 
 def test_rerun_of_a_batch_changes_nothing(spark, tmp_path):
@@ -95,7 +108,7 @@ def test_rerun_of_a_batch_changes_nothing(spark, tmp_path):
         table.write(phases.phase_changes(phases.fold_phases(table.current(batch, seen), df)), batch)
     expected = {k: brute_fold(v) for k, v in by_key(rows).items()}
     got = {(r.wf_id, r.task_name): r.phase for r in table.current().collect()}
-    assert got == {k: p for k, p in expected.items() if p != "Pending"}
+    assert got == expected
 
 
 def test_history_and_events_of_a_stream(spark, tmp_path):
@@ -106,7 +119,7 @@ def test_history_and_events_of_a_stream(spark, tmp_path):
     ]
     stream = feed(spark, tmp_path, script)
     status = spark.createDataFrame([(1, "a", "Pending", 70, 80)], "wf_id long, task_name string, phase string, alloc_cpu_m long, alloc_mem_mib long")
-    tasks = spark.createDataFrame([(1, "a", "w", "img"), (1, "b", "w", "img")], "wf_id long, task_name string, workflow_name string, image string")
+    tasks = spark.createDataFrame([(1, 0, "a", "w", "img"), (1, 1, "b", "w", "img"), (1, 2, "a", "w", "later")], "wf_id long, idx int, task_name string, workflow_name string, image string")
     history = str(tmp_path / "history")
     planner.metrics_stream(stream, str(tmp_path / "t1"), history, str(tmp_path / "c1"), lambda: status, lambda: tasks).awaitTermination()
     got = read_history(spark, history, BASE + dt.timedelta(days=1)).collect()
@@ -141,3 +154,21 @@ def test_plan_stream_plans_changed_workflows_only(spark, tmp_path):
     ).awaitTermination()
     got = sorted((r.batch, r.wf_id, r.task_name) for r in spark.read.parquet(out).collect())
     assert got == [(0, 1, "t0"), (1, 3, "t0"), (1, 3, "t1")]
+
+
+def test_plan_stream_starts_each_task_once(spark, tmp_path):
+    """Two micro-batches name the same workflow; its status has not changed in between."""
+    nodes = [(1, i, f"t{i}", "img", 100, 100) for i in range(3)]
+    frames = dict(
+        tasks=spark.createDataFrame(nodes, "wf_id long, idx int, task_name string, image string, hint_cpu_m long, hint_mem_mib long"),
+        edges=spark.createDataFrame([], "wf_id long, task_name string, dep string"),
+        status=spark.createDataFrame([(1, "t0", "Pending", None, None)], "wf_id long, task_name string, phase string, alloc_cpu_m long, alloc_mem_mib long"),
+        limits=spark.createDataFrame([(1, 200, 0)], "wf_id long, max_cpu_m long, max_mem_mib long"),
+        executions=spark.createDataFrame([], S.EXECUTION),
+    )
+    tables = planner.PlanTables(**{k: (lambda df=df: df) for k, df in frames.items()})
+    stream = feed(spark, tmp_path, [[(i, BASE, 1, "t0", "Pending")] for i in range(3)])
+    out = str(tmp_path / "plans")
+    planner.plan_stream(stream, tables, out, str(tmp_path / "cp"), clock=lambda batch: BASE, interval=None).awaitTermination()
+    got = sorted((r.batch, r.task_name) for r in spark.read.parquet(out).collect())
+    assert got == [(0, "t0"), (0, "t1")]
