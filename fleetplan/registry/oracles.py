@@ -668,6 +668,33 @@ UNION ALL SELECT wf_id, CASE WHEN phase = 'Failed' THEN 'Warning' ELSE 'Normal'
 FROM synced_phases n WHERE phase <> 'Running'
 AND NOT EXISTS (SELECT 1 FROM phases b WHERE b.wf_id = n.wf_id AND b.phase <> 'Running')""",
 }
+# Three cycles over the documents: t0 always fits, t1 unless it wants 1.5 cores of one.
+VIEWS["cycled"] = """
+SELECT *, n > 0 AND key % 3 = 0 AND n > 1 AND NOT ((key + 1) % 5 = 2 AND key % 4 = 0) AS next_runs,
+       CASE WHEN n = 0 THEN 'Running' WHEN key % 3 = 1 THEN 'Failed'
+            WHEN key % 3 = 0 AND n = 1 THEN 'Completed' ELSE 'Running' END AS phase
+FROM (SELECT *, COALESCE(n_tasks, 0) AS n FROM docs)
+"""
+ORACLES["reconcile_cycle"] = """
+SELECT namespace, name, phase,
+       COALESCE((SELECT STRING_AGG('t' || i || ':' || CASE
+           WHEN i = 0 THEN ['Succeeded', 'Failed', 'Running'][key % 3 + 1] || ':' || name || '-t0'
+           WHEN i = 1 AND next_runs THEN 'Running:' || name || '-t1' ELSE 'Pending:-' END, ',' ORDER BY i)
+         FROM UNNEST(range(0, n)) AS r(i)), '') AS tasks,
+       CASE WHEN n = 0 OR phase = 'Completed' THEN NULL WHEN key % 3 > 0 THEN '100m'
+            WHEN next_runs THEN ['500m', '1000m', '1500m', '250m', '100m'][(key + 1) % 5 + 1] END AS cpu,
+       CASE phase WHEN 'Failed' THEN 'Available:False:TaskFailed:1998-06-03T00:00:00Z,Progressing:False:TaskFailed:1998-06-03T00:00:00Z'
+            WHEN 'Completed' THEN 'Available:True:AllTasksSucceeded:1998-06-03T00:00:00Z,Progressing:False:Completed:1998-06-03T00:00:00Z'
+            ELSE 'Progressing:True:Reconciling:1998-06-01T00:00:00Z' END AS conditions
+FROM cycled"""
+ORACLES["reconcile_events"] = """
+SELECT wf_id, CASE WHEN key % 3 = 1 THEN 'Warning' ELSE 'Normal' END AS type,
+       CASE WHEN key % 3 = 1 THEN 'TaskFailed' ELSE 'TaskSucceeded' END AS reason,
+       CASE WHEN key % 3 = 1 THEN 'Task "t0" failed' ELSE 'Task "t0" completed successfully' END AS message
+FROM cycled WHERE n > 0 AND key % 3 < 2
+UNION ALL SELECT wf_id, 'Warning', 'WorkflowFailed', 'Workflow failed because task "t0" failed' FROM cycled WHERE phase = 'Failed'
+UNION ALL SELECT wf_id, 'Normal', 'WorkflowCompleted', 'All tasks completed successfully' FROM cycled WHERE phase = 'Completed'
+UNION ALL SELECT wf_id, 'Normal', 'TaskStarted', 'Started task "t1" with pod "' || name || '-t1"' FROM cycled WHERE next_runs"""
 _CHANGED = "SELECT p.* FROM run_remote_plan p WHERE p.wf_id IN (SELECT wf_id FROM wf_pod_events)"
 ORACLES["plan_changed"] = _CHANGED
 ORACLES["plan_stream"] = _CHANGED

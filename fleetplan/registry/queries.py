@@ -19,7 +19,7 @@ from fleetplan.functions import (
 )
 from fleetplan.functions.frames import micros
 from fleetplan.operators import graph, history, model, predict, profile, status, tasks
-from fleetplan.plans import admission, cycle
+from fleetplan.plans import admission, cycle, reconcile
 from fleetplan.registry.fleet import AS_OF, Fleet, fleet
 from fleetplan.session import shared_dir, stage
 from fleetplan.sources import history as history_source
@@ -491,6 +491,49 @@ def plan_cycle_local(f: Fleet) -> DataFrame:
     return _plan(f, "local")
 
 
+def _three_cycles(f: Fleet):
+    """Documents that are initialized, started, and then see the pods of their first tasks end."""
+
+    def build():
+        docs = f.manifests.select("namespace", "name", "spec", F.lit(None).cast(S.STATUS).alias("status"))
+        pods = f.pods.limit(0).select(
+            F.lit(None).cast("string").alias("wf_id"), "namespace", "workflow_name", "pod_name", "task_name", "image", "pod_phase", "started_at", "created_at"
+        )
+        run = lambda docs, pods, day: reconcile.reconcile_cycle(docs, pods, f.executions, f"1998-06-0{day} 00:00:00")
+        first = run(docs, pods, 1)
+        second = run(stage(first.documents, "cycle"), pods, 2)
+        key = F.regexp_extract("wf_id", "([0-9]+)$", 1).cast("bigint")
+        ended = second.pods.select(
+            "wf_id", "namespace", F.col("labels")[tasks.WORKFLOW_LABEL].alias("workflow_name"), "pod_name", "task_name", "image",
+            F.when(key % 3 == 0, "Succeeded").when(key % 3 == 1, "Failed").otherwise("Running").alias("pod_phase"),
+            F.lit(None).cast("timestamp").alias("started_at"), F.timestamp_micros(F.lit(896659200000000)).alias("created_at"),
+        )
+        docs = stage(second.documents, "cycle")
+        third = run(docs, stage(ended, "cycle-pods"), 3)
+        return stage(third.documents, "cycle"), third.events
+
+    return f.once("three-cycles", build)
+
+
+@query
+def reconcile_cycle(f: Fleet) -> DataFrame:
+    """The documents after three cycles."""
+    docs, _ = _three_cycles(f)
+    entries = F.map_entries("status.taskStatuses")
+    return docs.select(
+        "namespace", "name", F.col("status.phase").alias("phase"),
+        F.array_join(F.array_sort(F.transform(entries, lambda e: F.concat_ws(":", e["key"], e["value"]["phase"], F.coalesce(e["value"]["podName"], F.lit("-"))))), ",").alias("tasks"),
+        F.element_at("status.currentResourceUsage", "cpu").alias("cpu"),
+        F.array_join(F.transform(F.array_sort("status.conditions"), lambda c: F.concat_ws(":", c["type"], c["status"], c["reason"], c["lastTransitionTime"])), ",").alias("conditions"),
+    )
+
+
+@query
+def reconcile_events(f: Fleet) -> DataFrame:
+    """What the third cycle reports."""
+    return _three_cycles(f)[1]
+
+
 @query
 def apply_plan(f: Fleet) -> DataFrame:
     return cycle.apply_plan(f.status, _plan(f, "remote"), f.names)[0]

@@ -64,6 +64,7 @@ CONDITION = T.StructType(
         T.StructField("status", T.StringType()),
         T.StructField("reason", T.StringType()),
         T.StructField("message", T.StringType()),
+        T.StructField("lastTransitionTime", T.StringType()),
     ]
 )
 
