@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetplan.functions.frames import instant, micros
 from fleetplan.schemas import HISTORY_DAYS
+from fleetplan.session import stage
 
 DAY_US = 86_400_000_000
 HOUR_US = 3_600_000_000
@@ -41,8 +42,11 @@ def image_history(executions: DataFrame, as_of, days: int = HISTORY_DAYS) -> Dat
 def enrich_with_history(tasks: DataFrame, history: DataFrame) -> DataFrame:
     """Attach image statistics, zeros where an image has none.
 
-    No broadcast hint: the number of images has no bound, so the size decides.
+    The statistics, one row per image, are stored first. Their size is then known when the join is
+    planned: while they are few they are broadcast and the tasks stay where they are. No
+    broadcast hint: the number of images has no bound, so the size decides.
     """
+    history = stage(history, "image-history")
     zeros = {"hist_cpu_m": 0.0, "hist_mem_mib": 0.0, "hist_duration_s": 0.0, "n_samples": 0}
     return tasks.join(history, "image", "left").na.fill(zeros)
 

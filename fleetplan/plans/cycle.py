@@ -11,7 +11,7 @@ from fleetplan.operators.predict import DIALECTS, sized, with_prediction
 from fleetplan.operators.status import ready_tasks, resource_usage, workflow_state
 from fleetplan.plans.admission import admit, free_columns, oversized_workflows
 from fleetplan.functions import pod_name
-from fleetplan.session import MAX_FOLD_TASKS
+from fleetplan.session import MAX_FOLD_TASKS, stage
 
 TASK = ["wf_id", "task_name"]
 
@@ -42,12 +42,15 @@ def plan_cycle(
     predictor = predictor or ("history" if dialect == "remote" else "baseline")
 
     state = workflow_state(status).where(F.col("phase") == S.RUNNING)
-    running = state.join(limits, "wf_id", "left").select("wf_id", *free_columns())
+    # Stored, so that its size is known: in a fleet most workflows have ended, and what belongs
+    # to those is left out before anything is shuffled.
+    running = stage(state.join(limits, "wf_id", "left").select("wf_id", *free_columns()), "running")
+    only = lambda df: df.join(running.select("wf_id"), "wf_id", "left_semi")
     optional = [c for c in ("hint_cpu_limit_m", "hint_mem_limit_mib") if c in tasks.columns]
     needed = tasks.select(
         "wf_id", "idx", "task_name", "image", "hint_cpu_m", "hint_mem_mib", *optional
     )
-    rows = ready_tasks(needed, edges, status).join(running, "wf_id")
+    rows = ready_tasks(only(needed), only(edges), only(status)).join(running, "wf_id")
     if predictor == "history":
         history = image_history(executions, as_of, days)
         rows = with_prediction(enrich_with_history(rows, history), model, min_samples)
