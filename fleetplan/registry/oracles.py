@@ -668,6 +668,13 @@ UNION ALL SELECT wf_id, CASE WHEN phase = 'Failed' THEN 'Warning' ELSE 'Normal'
 FROM synced_phases n WHERE phase <> 'Running'
 AND NOT EXISTS (SELECT 1 FROM phases b WHERE b.wf_id = n.wf_id AND b.phase <> 'Running')""",
 }
+ORACLES["score_forest_rules"] = """
+SELECT wf_id, task_name, CASE WHEN n_samples > 0 THEN 'ml' ELSE method END AS method,
+       ROUND(CAST(CASE WHEN n_samples > 0 THEN LEAST(0.9, 0.5 + n_samples * 0.05) ELSE confidence END AS DOUBLE) + 1e-9, 6) AS confidence,
+       TRUE AS above_floors, CASE WHEN n_samples = 0 THEN cpu_m END AS cpu_m, CASE WHEN n_samples = 0 THEN mem_mib END AS mem_mib
+FROM predicted"""
+ORACLES["evaluate_r2_floor"] = """
+SELECT UNNEST(['actual_cpu_m', 'actual_mem_mib', 'duration_s', 'mean']) AS target, TRUE AS most_explained"""
 # Three cycles over the documents: t0 always fits, t1 unless it wants 1.5 cores of one.
 VIEWS["cycled"] = """
 SELECT *, n > 0 AND key % 3 = 0 AND n > 1 AND NOT ((key + 1) % 5 = 2 AND key % 4 = 0) AS next_runs,

@@ -624,6 +624,27 @@ def score_forest(f: Fleet) -> DataFrame:
     return predict.predict_resources(enriched, model=forest)
 
 
+@query
+def score_forest_rules(f: Fleet) -> DataFrame:
+    """What is fixed of a forest's predictions: who is scored, how sure, and the floors. Sizes of tasks that
+    the forest does not score are given as they are."""
+    forest, _ = _trained(f)
+    enriched = history.enrich_with_history(f.tasks, history.image_history(f.executions, AS_OF))
+    rows = predict.predict_resources(enriched, model=forest)
+    scored = F.col("method") == "ml"
+    floors = (F.col("cpu_m") >= 10) & (F.col("mem_mib") >= 8) & (F.col("duration_s") >= 1)
+    other = lambda c: F.when(~scored, F.col(c)).alias(c)
+    return rows.select(
+        "wf_id", "task_name", "method", six("confidence"), (~scored | floors).alias("above_floors"), other("cpu_m"), other("mem_mib")
+    )
+
+
+@query
+def evaluate_r2_floor(f: Fleet) -> DataFrame:
+    """The forest explains most of each target on held-out rows."""
+    return model.evaluate_r2(*_trained(f)).select("target", (F.col("r2") > 0.5).alias("most_explained"))
+
+
 # Ordered reads
 
 
