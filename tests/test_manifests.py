@@ -66,7 +66,8 @@ def test_validation_reasons(spark, tmp_path):
     assert [r.name for r in ok.collect()] == ["good"]
     assert {r.name: set(r.reasons) for r in bad.collect()} == {
         "broken": {"task name missing", "task image missing", "bad maxResources quantity",
-                   "bad request quantity", "bad condition status"},
+                   "bad request quantity", "bad condition status", "bad condition reason",
+                   "condition message missing"},
         "none": {"tasks missing"},
     }
 
