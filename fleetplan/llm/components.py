@@ -12,12 +12,22 @@ from pyspark.sql import functions as F
 from fleetplan.session import stage
 
 
+def contracted(links: DataFrame) -> DataFrame:
+    """Fewer links (a, b) with the same components: each node keeps one of its b, the smallest, and its
+    other ones are linked to that. Members of a large group name few b, so most links become equal."""
+    links = stage(links.select("a", "b").distinct(), "all-links")
+    one = links.groupBy("a").agg(F.min("b").alias("m"))
+    others = links.join(one, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return one.select("a", F.col("m").alias("b")).union(others)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for each node of ``links`` (a, b: bigint): the smallest node it is connected to.
 
-    Each round takes the smallest label of a node's neighbours and then the label of that label, so
+    Links are contracted first. Then each round takes the smallest label of a node's neighbours and then the label of that label, so
     labels travel along chains in strides that double. Each round is a stored table.
     """
+    links = stage(contracted(links), "contracted-links")
     both = stage(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "labels")
     while True:
