@@ -113,7 +113,6 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
 
     more = f", text string, row {rows.schema['row'].dataType.simpleString()}" if carry else ""
     dealt = rows.mapInArrow(deal, "chunk bigint, key bigint, text string" + more.removeprefix(", text string"))
-    slim = dealt.select("chunk", "key", "text")
 
     def send(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
@@ -177,7 +176,8 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
 
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     names = [key, "n_words", "n_removed", "kept", "removed"] + (["text", "row"] if carry else [])
-    messages = slim.groupBy("chunk").applyInArrow(send, "part bigint, chunk bigint, message binary")
+    # of the rows as they are, so that both uses share one exchange of the texts
+    messages = dealt.groupBy("chunk").applyInArrow(send, "part bigint, chunk bigint, message binary")
     answers = messages.groupBy("part").applyInArrow(answer, "chunk bigint, part bigint, reply binary")
     return (
         dealt.groupBy("chunk")
