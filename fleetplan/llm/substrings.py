@@ -34,7 +34,7 @@ from fleetplan.llm.texts import BYTE_VALUES, blocks, short_batches, span_hashes,
 #: Words of a window.
 LENGTH = 13
 #: Bytes of text of a chunk, and windows that one part receives (about one for each six bytes of text).
-CHUNK_BYTES, PART_WINDOWS = 8 << 20, 3_000_000
+CHUNK_BYTES, PART_WINDOWS = 4 << 20, 2_000_000
 
 
 def _sorted(table: pa.Table) -> pa.Table:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Rows of one Arrow batch. Texts can be long, so batches are kept short.
-BATCH_ROWS = 1000
+BATCH_ROWS = 400
 #: Bytes of text handled at a time; one longer row makes a block of its own.
 BLOCK_BYTES = 1 << 18
 
