@@ -139,7 +139,8 @@ def _candidate_links(sets: DataFrame, similarity: float, recall: float) -> DataF
 
 
 def _by_cell(rows: DataFrame) -> DataFrame:
-    return rows.repartition("cell").sortWithinPartitions("cell")
+    # by node as well, so that a cell has one order whenever it is computed again
+    return rows.repartition("cell").sortWithinPartitions("cell", "node")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
