@@ -83,7 +83,8 @@ def nearest(
     short_batches(vectors.sparkSession)
     form = lambda df: df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & _usable(F.col("v")))
     same = Window.partitionBy("v").orderBy("id")
-    rows = form(vectors).withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1).select("id", "v")
+    # rows of one id and vector are one candidate, and must not take the places of other ids
+    rows = form(vectors).distinct().withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1).select("id", "v")
     shards = vectors.count() // shard_rows + 1
     held = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
     # rows of one id and vector are one query

@@ -104,6 +104,13 @@ def test_nearest_on_odd_rows(spark):
     assert neighbours.nearest(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_nearest_of_repeated_rows(spark):
+    rows = [(50, [1.0, 2.0])] * 7 + [(51, [1.0, 2.0]), (52, [2.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = neighbours.nearest(vectors, vectors.where("vec_id <= 51"))
+    assert ordered((r.query_id, r["rank"], r.vec_id) for r in found.collect()) == [(50, 1, 51), (50, 2, 52), (51, 1, 50), (51, 2, 52)]
+
+
 def test_recall_of_the_forest():
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((50, 64))
