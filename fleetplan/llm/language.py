@@ -3,6 +3,7 @@
 An n-gram is four bytes of lower-cased text, with what is not a letter taken as space and letters in its
 middle. The model is one Bloom filter for each language, stored bit-sliced: each place of one table holds a
 bit mask over the languages, and the masks of an n-gram's places, and-ed, name all languages that contain it.
+With more than 64 languages a place has several 64-bit masks, and the table grows by 8 MB for each 64 languages.
 A text is decided by counting for each language the n-grams that carry its bit, less those that a filter as
 full as this one would report by chance.
 
@@ -12,7 +13,7 @@ hash of the key, and the ``GRAMS`` most frequent n-grams of each, less those tha
 Null or odd input: a null text or one without letters is ``und`` with score 0; a text whose letters give no
 n-gram, or none that is known, gets the language with most labelled rows and score 0. Rows without a label are
 not learned from. Without any labelled row every text is ``und``. Repeated rows are each judged; texts are read
-to their end. At most 64 languages can be learned; more raise an error.
+to their end. Any number of languages is learned.
 """
 
 from __future__ import annotations
@@ -68,26 +69,26 @@ class Filters:
     """The bit-sliced filters of all languages."""
 
     def __init__(self, languages: list[str], members: dict[str, np.ndarray]):
-        if len(languages) > 64:
-            raise ValueError("more than 64 languages")
         self.languages = languages
-        kind = next(k for k, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= n)
-        self.table = np.zeros(PLACES, kind)
+        kind = next((k for k, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(languages) <= n), np.uint64)
+        # one row for each 64 languages
+        self.table = np.zeros((-(-len(languages) // 64), PLACES), kind)
+        full = np.zeros(len(languages))
         for i, language in enumerate(languages):
-            for at in _places(members[language]):
-                self.table[np.unique(at)] |= kind(1 << i)
-        full = np.array([(self.table >> kind(i) & kind(1)).mean() for i in range(len(languages))])
+            at = np.unique(np.concatenate(_places(members[language])))
+            self.table[i // 64, at] |= kind(1 << i % 64)
+            full[i] = len(at) / PLACES
         self.false_hits = full**HASHES
 
     def counts(self, values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """For each row and language, the corrected number of n-grams that the language contains."""
-        masks = None
-        for at in _places(values):
-            masks = self.table[at] if masks is None else masks & self.table[at]
+        places, masks = _places(values), None
         total = np.diff(bounds)
         out = np.zeros((len(total), len(self.languages)))
         for i in range(len(self.languages)):
-            sums = np.concatenate([[0], np.cumsum(masks >> masks.dtype.type(i) & masks.dtype.type(1), dtype=np.int64)])
+            if i % 64 == 0:
+                masks = np.bitwise_and.reduce([self.table[i // 64][at] for at in places])
+            sums = np.concatenate([[0], np.cumsum(masks >> masks.dtype.type(i % 64) & masks.dtype.type(1), dtype=np.int64)])
             hits = sums[bounds[1:]] - sums[bounds[:-1]]
             out[:, i] = np.clip((hits - total * self.false_hits[i]) / (1 - self.false_hits[i]), 0, total)
         return out
@@ -97,19 +98,22 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """Filters from a bounded sample of the labelled rows; None without any."""
     short_batches(labelled.sparkSession)
     labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().limit(65).collect()}
+    counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}  # one row for each language
     if not counts:
         return None
     languages = sorted(counts)
-    if len(languages) > 64:
-        raise ValueError("more than 64 languages")
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, sample / n)))])
+    tag_of = {name: i for i, name in enumerate(languages)}
     drawn = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 20)) / float(1 << 20)
-    rows = labelled.where(drawn < F.element_at(share, F.col(lang))).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    # languages of few rows are learned from whole and need no entry
+    large = {k: sample / n for k, n in counts.items() if n > sample}
+    if large:
+        share = F.create_map(*[x for k, n in large.items() for x in (F.lit(k), F.lit(n))])
+        labelled = labelled.where(drawn < F.coalesce(F.element_at(share, F.col(lang)), F.lit(1.0)))
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tags = np.array([languages.index(x) for x in batch.column(0).to_pylist()], np.int64)
+            tags = np.array([tag_of[x] for x in batch.column(0).to_pylist()], np.int64)
             for first, last, data, offsets in blocks(batch.column(1)):
                 values, bounds = grams(data, offsets)
                 tagged = np.repeat(tags[first:last], np.diff(bounds)) << 32 | values
@@ -126,7 +130,9 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     highest = np.zeros(len(values))
     np.maximum.at(highest, at, rate)
     typical = rate >= TYPICAL * highest[at]
-    members = {name: values[typical & (own == i)] for i, name in enumerate(languages)}
+    own, values = own[typical], values[typical]
+    by_own = np.argsort(own, kind="stable")
+    members = dict(zip(languages, np.split(values[by_own], np.searchsorted(own[by_own], np.arange(1, len(languages))))))
     languages.sort(key=lambda k: (-counts[k], k))  # a tie goes to the language with more rows
     return Filters(languages, members)
 

@@ -141,3 +141,14 @@ def test_language(spark, sf_dir):
     assert language.identify_documents(docs.limit(0)).count() == 0
     kept = {r.doc_id for r in language.known_language(rows).collect()}
     assert {r.doc_id for r in docs.collect()} <= kept and not kept & {-1, -2, -3, -6}
+
+
+def test_more_languages_than_bits_of_a_word(spark):
+    """130 languages of invented words; every row is of the language it is labelled with."""
+    word = lambda lang, i: "".join(chr(97 + int(d, 16)) for d in hashlib.sha1(f"{lang} {i % 40}".encode()).hexdigest()[:8])
+    rows = [(i, " ".join(word(i % 130, i // 130 * 7 + j) for j in range(30)), f"l{i % 130:03d}") for i in range(1300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = language.identify_documents(docs).select("lang", "lang_pred", "score").collect()
+    assert len(found) == 1300 and len({r.lang_pred for r in found}) == 130
+    assert all(r.lang_pred == r.lang and r.score > 0.5 for r in found)
+    assert language.known_language(docs).count() == 1300
