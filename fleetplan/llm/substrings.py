@@ -3,10 +3,13 @@
 A window is ``length`` consecutive words of one document. Every word is removed that lies in a window whose
 words also start in a document with a smaller key; windows are judged on the input.
 
-Documents are dealt into chunks of consecutive keys, so that a window repeats an earlier document if it is in
-an earlier chunk, or in an earlier document of its own chunk. A chunk sends the sorted different 64-bit hashes
+Documents are dealt into ranges of consecutive keys, so that a window repeats an earlier document if it is in
+an earlier range, or in an earlier document of its own range. A range is one chunk; one of many bytes (long
+documents, or many rows of one key) is dealt over several chunks by a hash of text and row, and these also send
+the smallest key of each window. Rows without a key have chunks of their own. A chunk holds about twice
+``CHUNK_BYTES`` at most, or one longer document. A chunk sends the sorted different 64-bit hashes
 of its windows to parts of the hash range, in messages of six bytes a window. A part sorts what all chunks
-sent and answers each message with one bit a window: whether an earlier chunk has it. A window
+sent and answers each message with one bit a window: whether a key before the chunk's own has it. A window
 that a chunk holds often, or that a third of all documents share, is one hash in each chunk's message.
 Removal goes by equality of 64-bit hashes of the windows: among n different windows the expected number of wrong
 pairs is n * n / 2^65, about 0.0005 at the 140 million windows of 0.5 GB.
@@ -20,12 +23,13 @@ others; rows with equal keys do not remove each other's words; an empty table gi
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +37,8 @@ from fleetplan.llm.texts import BYTE_VALUES, blocks, short_batches, span_hashes,
 
 #: Words of a window.
 LENGTH = 13
+#: What a row counts besides its text.
+ROW_BYTES = 64
 #: Bytes of text of a chunk, and windows that one part receives (about one for each six bytes of text).
 CHUNK_BYTES, PART_WINDOWS = 4 << 20, 2_000_000
 
@@ -93,22 +99,59 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     short_batches(spark)
     others = [F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != text]).alias("row")] if carry else []
     rows = documents.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), *others)
-    total, least, most = rows.agg(F.sum(F.octet_length("text")), F.min("key"), F.max("key")).first()
-    chunks = int(total or 0) // chunk_bytes + 1
+    total, n_rows = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    chunks = (int(total or 0) + ROW_BYTES * n_rows) // chunk_bytes + 1
     parts = int(total or 0) // (6 * part_windows) + 1
     cuts = np.zeros(0, np.int64)
-    if chunks > 1 and least is not None:
+    if chunks > 1:
         shares = [i / chunks for i in range(1, chunks)]
-        cuts = np.unique(np.array(rows.agg(F.percentile_approx("key", F.array(*[F.lit(s) for s in shares]), 20 * chunks)).first()[0], np.int64))
-    shared = spark.sparkContext.broadcast(cuts)  # one key for each chunk
+        found = rows.agg(F.percentile_approx("key", F.array(*[F.lit(s) for s in shares]), 20 * chunks)).first()[0]
+        cuts = np.unique(np.array(found or [], np.int64))
+    key_cuts = spark.sparkContext.broadcast(cuts)
+
+    def range_of(keys: pa.Array) -> np.ndarray:
+        """Range 0 is of the rows without a key."""
+        at = np.searchsorted(key_cuts.value, keys.fill_null(0).to_numpy(), "right") + 1
+        return np.where(np.asarray(keys.is_null()), 0, at)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = np.iinfo(np.int64)
+        n = len(key_cuts.value) + 2
+        size, least, most = np.zeros(n, np.int64), np.full(n, bounds.max), np.full(n, bounds.min)
+        for batch in batches:
+            at, keys = range_of(batch.column(0)), batch.column(0).fill_null(0).to_numpy()
+            np.add.at(size, at, batch.column(1).to_numpy() + ROW_BYTES)
+            np.minimum.at(least, at, keys)
+            np.maximum.at(most, at, keys)
+        full = np.flatnonzero(size)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (full, size[full], least[full], most[full])], names=["range", "size", "least", "most"])
+
+    sizes = rows.select("key", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size"))
+    weighed = sizes.mapInArrow(weigh, "range bigint, size bigint, least bigint, most bigint").groupBy("range")
+    weighed = weighed.agg(F.sum("size"), F.min("least"), F.max("most")).collect()  # one row for each range
+    split, mixed = np.ones(len(cuts) + 2, np.int64), np.zeros(len(cuts) + 2, bool)
+    for at, size, least, most in weighed:
+        if size > 2 * chunk_bytes:
+            split[at] = -(-size // chunk_bytes)
+            mixed[at] = at > 0 and least < most
+    # chunks of each range, the first one's number, and whether its chunks share keys that differ
+    ranges = spark.sparkContext.broadcast((split, np.cumsum(split) - split, mixed))
+
+    def range_of_chunk(chunk: np.ndarray) -> np.ndarray:
+        return np.searchsorted(ranges.value[1], chunk, "right") - 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, base, _ = ranges.value
+        seen = Counter()
         for batch in batches:
-            keys = batch.column(0)
-            chunk = np.searchsorted(shared.value, keys.fill_null(0).to_numpy(), "right")
-            # rows without a key can be anywhere
-            sizes = np.array(pc.binary_length(batch.column(1)).fill_null(0))
-            chunk = np.where(np.asarray(keys.is_null()), sizes % chunks, chunk)
+            at = range_of(batch.column(0))
+            chunk = base[at]
+            for i in np.flatnonzero(split[at] > 1).tolist():
+                # by the text and how often the task has met it, so that the order of rows does not matter
+                text = zlib.crc32((batch.column(1)[i].as_py() or "").encode())
+                mark = (batch.column(0)[i].as_py(), text)
+                chunk[i] += zlib.crc32(seen[mark].to_bytes(8, "little"), text) % int(split[at[i]])
+                seen[mark] += 1
             yield pa.RecordBatch.from_arrays([pa.array(chunk), *batch.columns], names=["chunk", *batch.schema.names])
 
     more = f", text string, row {rows.schema['row'].dataType.simpleString()}" if carry else ""
@@ -116,8 +159,17 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
 
     def send(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
+        with_keys = bool(ranges.value[2][range_of_chunk(np.array([chunk]))[0]])
+        if with_keys:
+            table = _sorted(table)
         _, hashes, _, n = _windows(table, length)
-        different = np.unique(hashes[_keyed(table, n)])
+        keyed = _keyed(table, n)
+        # rows are in the order of keys where keys are sent, so that a window's first one has its smallest
+        if with_keys:
+            different, own_first = np.unique(hashes[keyed], return_index=True)
+            least = np.repeat(table.column("key").fill_null(0).to_numpy(), n)[keyed][own_first]
+        else:
+            different = np.unique(hashes[keyed])
         at = [0, *np.searchsorted(different, _bounds(parts)).tolist(), len(different)]
         full = [i for i in range(parts) if at[i + 1] > at[i]]
         return pa.table(
@@ -125,18 +177,31 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
                 pa.array(full, pa.int64()),
                 pa.array([chunk] * len(full), pa.int64()),
                 pa.array([pack(different[at[i] : at[i + 1]]) for i in full], pa.binary()),
+                pa.array([least[at[i] : at[i + 1]].tobytes() if with_keys else None for i in full], pa.binary()),
             ],
-            names=["part", "chunk", "message"],
+            names=["part", "chunk", "message", "keys"],
         )
 
     def answer(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk").combine_chunks()
         messages = [unpack(x) for x in table.column("message").to_pylist()]
         hashes = np.concatenate(messages)
-        order = np.argsort(hashes, kind="stable")  # equal hashes in the order of chunks
+        own = range_of_chunk(table.column("chunk").to_numpy())
         known = np.zeros(len(hashes), bool)
-        ordered = hashes[order]
-        known[order[1:]] = ordered[1:] == ordered[:-1]
+        if (own[1:] > own[:-1]).all():
+            order = np.argsort(hashes, kind="stable")  # equal hashes in the order of ranges
+            ordered = hashes[order]
+            known[order[1:]] = ordered[1:] == ordered[:-1]
+        else:
+            sizes = [len(m) for m in messages]
+            keys = np.concatenate([np.zeros(n, np.int64) if x is None else np.frombuffer(x, np.int64) for n, x in zip(sizes, table.column("keys").to_pylist())])
+            own = np.repeat(own, sizes)
+            order = np.lexsort((keys, own, hashes))
+            ordered, own, keys = hashes[order], own[order], keys[order]
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = ordered[1:] != ordered[:-1]
+            head = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+            known[order] = (own != own[head]) | (keys != keys[head])
         ends = np.cumsum([len(m) for m in messages])[:-1]
         replies = [np.packbits(x).tobytes() for x in np.split(known, ends)]
         return pa.table([table.column("chunk"), table.column("part"), pa.array(replies, pa.binary())], names=["chunk", "part", "reply"])
@@ -177,7 +242,7 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     names = [key, "n_words", "n_removed", "kept", "removed"] + (["text", "row"] if carry else [])
     # of the rows as they are, so that both uses share one exchange of the texts
-    messages = dealt.groupBy("chunk").applyInArrow(send, "part bigint, chunk bigint, message binary")
+    messages = dealt.groupBy("chunk").applyInArrow(send, "part bigint, chunk bigint, message binary, keys binary")
     answers = messages.groupBy("part").applyInArrow(answer, "chunk bigint, part bigint, reply binary")
     return (
         dealt.groupBy("chunk")

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +31,8 @@ from fleetplan.llm.texts import mix, short_batches
 from fleetplan.session import stage
 
 MARK = b"TOKENS01"
-#: Bytes of text for one shard.
-SHARD_BYTES = 12 << 20
+#: Bytes of text for one shard, and what a row counts besides its text.
+SHARD_BYTES, ROW_BYTES = 12 << 20, 17
 #: Places of a level's bit array for each key that is left.
 GAMMA = 2.0
 
@@ -151,30 +152,42 @@ def write_tokens(
     spark = documents.sparkSession
     short_batches(spark)
     folder = folder or new_folder(spark, "token-shards")
-    total = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    rows = documents.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
-    ordered = rows.repartitionByRange(int(total // shard_bytes) + 1, F.asc_nulls_first("key"), "tie").sortWithinPartitions(F.asc_nulls_first("key"), "tie")
+    total, n_rows = documents.agg(F.sum(F.octet_length(text)), F.count("*")).first()
+    # a task's rows mostly fit one shard; ``row`` lets even equal rows go to several tasks
+    tasks = (int(total or 0) + ROW_BYTES * n_rows) * 5 // (4 * shard_bytes) + 1
+    rows = documents.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("row"))
+    by = [F.asc_nulls_first("key"), "tie", "row"]
+    ordered = rows.repartitionByRange(tasks, *by).sortWithinPartitions(*by)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(kind, path)
-        ids, counts, keys, nulls = [], [], [], []
+        ids, counts, keys, nulls, size, n_files = [], [], [], [], 0, 0
+
+        def close() -> pa.RecordBatch:
+            parts = [np.concatenate(x) for x in (ids, counts, keys, nulls)]
+            shard = TaskContext.get().partitionId() << 32 | n_files
+            name = write_file(folder, f"shard-{shard >> 32:07d}-{n_files:05d}", Shard.build(*parts).parts())
+            real = parts[2][parts[3] == 0]
+            ends = [int(real[0]), int(real[-1])] if len(real) else [None, None]
+            row = {"shard": [shard], "file": [name], "n_documents": [len(parts[1])], "n_ids": [len(parts[0])], "first_key": ends[:1], "last_key": ends[1:]}
+            return pa.RecordBatch.from_pydict(row, pa.schema([("shard", pa.int64()), ("file", pa.string()), *[(c, pa.int64()) for c in list(row)[2:]]]))
+
         for batch in batches:
             column = batch.column(0)
-            nulls.append(np.asarray(column.is_null(), np.uint8))
-            keys.append(column.fill_null(0).to_numpy())
-            for _, _, n, flat in tool.encode(batch.column(1)):
-                ends = np.cumsum(n)
-                ids.append(np.insert(flat, ends, np.uint16(end)))
+            sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy()
+            for first, last, n, flat in tool.encode(batch.column(1)):
+                more = int(sizes[first:last].sum()) + ROW_BYTES * (last - first)
+                if counts and size + more > shard_bytes:
+                    yield close()
+                    ids, counts, keys, nulls, size, n_files = [], [], [], [], 0, n_files + 1
+                size += more
+                part = column.slice(first, last - first)
+                nulls.append(np.asarray(part.is_null(), np.uint8))
+                keys.append(part.fill_null(0).to_numpy())
+                ids.append(np.insert(flat, np.cumsum(n), np.uint16(end)))
                 counts.append(n + 1)
-        if not counts:
-            return
-        parts = [np.concatenate(x) for x in (ids, counts, keys, nulls)]
-        shard = TaskContext.get().partitionId()
-        name = write_file(folder, f"shard-{shard:07d}", Shard.build(*parts).parts())
-        real = parts[2][parts[3] == 0]
-        ends = [int(real[0]), int(real[-1])] if len(real) else [None, None]
-        row = {"shard": [shard], "file": [name], "n_documents": [len(parts[1])], "n_ids": [len(parts[0])], "first_key": ends[:1], "last_key": ends[1:]}
-        yield pa.RecordBatch.from_pydict(row, pa.schema([("shard", pa.int64()), ("file", pa.string()), *[(c, pa.int64()) for c in list(row)[2:]]]))
+        if counts:
+            yield close()
 
     files = ordered.select("key", "text").mapInArrow(write, "shard bigint, file string, n_documents bigint, n_ids bigint, first_key bigint, last_key bigint")
     files = stage(files, "token-manifest")

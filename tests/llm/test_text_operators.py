@@ -91,6 +91,28 @@ def test_remove_repeats(docs, rows, sizes):
     assert ordered(got) == ordered(without_repeats(rows))
 
 
+def test_remove_repeats_deals_bytes(spark, monkeypatch):
+    """Many rows of one key, a run of long documents, and rows without a key or text make no large chunk."""
+    passage = lambda i: " ".join(f"p{i}w{j}" for j in range(15))
+    rows = [(i, f"{passage(i % 40)} {passage(1000 + i)}") for i in range(200)]
+    rows += [(77, f"{passage(i % 60)} own {i}") for i in range(200)] + [(77, passage(3))] * 100
+    rows += [(500 + i, " ".join(passage(i * 3 + j) for j in range(40))) for i in range(30)]
+    rows += [(None, passage(5))] * 200 + [(None, None)] * 100 + [(None, "")] * 100
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    # a chunk of more than this fails in its task
+    most, whole = 3 * 20_000, substrings._sorted
+
+    def checked(table):
+        assert sum(len(x or "") + 64 for x in table.column("text").to_pylist()) <= most
+        return whole(table)
+
+    monkeypatch.setattr(substrings, "_sorted", checked)
+    for part_windows in (100, 2_000_000):
+        found = substrings.remove_repeats(docs, chunk_bytes=20_000, part_windows=part_windows)
+        got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in found.collect()]
+        assert ordered(got) == ordered(without_repeats(rows))
+
+
 def test_without_repeats(docs, rows):
     found = substrings.without_repeats(docs)
     assert found.columns == docs.columns

@@ -83,6 +83,17 @@ def test_token_store(spark, shard_bytes):
     assert token_store.read_tokens(token_store.write_tokens(docs.limit(0), BYTES, end=0)).count() == 0
 
 
+def test_shards_of_one_key_stay_small(spark):
+    text = "the same words in every row " * 200
+    docs = spark.createDataFrame([(7, text)] * 300 + [(None, text)] * 300, "doc_id long, text string").repartition(3)
+    manifest = token_store.write_tokens(docs, BYTES, end=0, shard_bytes=300_000)
+    files = manifest.collect()
+    assert max(r.n_documents for r in files) <= 300_000 // len(text) and sum(r.n_documents for r in files) == 600
+    got = token_store.read_tokens(manifest).collect()
+    assert len(got) == 600 and len({bytes(r.ids) for r in got}) == 1
+    assert token_store.lookup_tokens(manifest, docs.select("doc_id")).count() == 300
+
+
 def test_perfect_hash():
     for n in (0, 1, 2, 1000):
         keys = np.unique(np.random.default_rng(n).integers(0, 1 << 60, n, np.uint64))
