@@ -1,10 +1,10 @@
-"""Similarity join of texts by word n-grams: a forest of MinHash prefixes, then exact verification.
+"""Similarity join of texts by word n-grams: MinHash banding of one depth, then exact verification.
 
 1. A text becomes the set of its shingles (five words; A-Z lower-cased, punctuation dropped; a text of one to
    four words is one shingle). Texts with equal sets are one class, represented once.
-2. A set's signature is cut into trees, each a string of MinHash digits. Sorted by that string, a tree is a
-   prefix trie. The matched prefix starts at the full depth and is shortened until sets at the threshold
-   share a prefix of some tree with the target recall (``prefix_depth``).
+2. A set's signature is cut into trees, each a string of MinHash digits. Sets meet if the prefixes of some tree
+   have equal hashes. The prefix has one depth, computed from the threshold and the target recall and not from
+   the data (``prefix_depth``); the digits after it serve step 3 alone.
 3. Sets below one prefix are compared by whole signatures, which drops nearly all chance meetings without
    dropping a pair at the threshold (5 standard deviations are allowed). What is left links sets into groups.
 4. Inside a group all pairs are verified on their full shingle sets.
