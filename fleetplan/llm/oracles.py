@@ -109,10 +109,73 @@ fits AS (
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM h LEFT JOIN fits USING (page_id)
 """
 
+
+
+def _tree_levels(name: str, nodes: str, depth: int) -> str:
+    """CTEs name0 ... of a tree's levels (tree, pos, n, h), and nameN_of: what stands left and right of each node."""
+    parts = [f"{name}0 AS ({nodes})"]
+    for i in range(1, depth + 1):
+        parts.append(
+            f"{name}{i} AS (SELECT tree, pos // 8 AS pos, (n + 7) // 8 AS n,"
+            f" CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE min(h) END AS h FROM {name}{i - 1} GROUP BY tree, pos // 8, n)"
+        )
+    for i in range(depth):
+        parts.append(
+            f"{name}{i}_of AS (SELECT tree, pos, n, coalesce(string_agg(h, '') OVER (PARTITION BY tree, pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,"
+            f" coalesce(string_agg(h, '') OVER (PARTITION BY tree, pos // 8 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{i})"
+        )
+    return ",\n".join(parts)
+
+
+def _climbed(source: str, name: str, depth: int) -> str:
+    """CTEs that carry (tree, place, up: hash so far, sib: siblings so far) of ``source`` to the top of the tree."""
+    parts, last = [], source
+    for i in range(depth):
+        parts.append(
+            f"{source}_{name}{i} AS (SELECT x.* EXCLUDE (up, sib), CASE WHEN o.n > 1 THEN sha256(o.l || x.up || o.r) ELSE x.up END AS up, x.sib || o.l || o.r AS sib"
+            f" FROM {last} x JOIN {name}{i}_of o ON o.tree = x.tree AND o.pos = x.place // {8**i})"
+        )
+        last = f"{source}_{name}{i}"
+    return ",\n".join(parts)
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FIELD = lambda v: f"coalesce(strlen({v}::VARCHAR) || ':' || ({v}::VARCHAR), '-')"
+_LEAF = lambda text: "sha256(" + " || ".join(map(_FIELD, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+#: crc32 of the decimal digits of doc_id.
+_CRC = """xor(4294967295::UBIGINT, list_reduce(
+  list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)::UBIGINT[]),
+    lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))))"""
+#: Levels of a language's tree (2,097,152 leaves) and of the tree over languages (512).
+_DEPTH, _ROOT_DEPTH = 7, 3
+
+OP11 = f"""
+WITH leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, {_LEAF("text")} AS leaf,
+    CASE WHEN {_CRC} % 3 = 0 THEN {_LEAF(_LOWER)} END AS tampered FROM documents
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+),
+{_tree_levels("t", "SELECT tree, place AS pos, n, leaf AS h FROM placed", _DEPTH)},
+tops AS (SELECT '' AS tree, tree AS lang, row_number() OVER (ORDER BY encode(tree)) - 1 AS place, count(*) OVER () AS n, h AS subroot FROM t{_DEPTH}),
+{_tree_levels("g", "SELECT tree, place AS pos, n, subroot AS h FROM tops", _ROOT_DEPTH)},
+begin_ AS (SELECT doc_id, tree, place, leaf, coalesce(tampered, leaf) AS up, '' AS sib FROM placed),
+{_climbed("begin_", "t", _DEPTH)},
+upper_ AS (
+  SELECT x.doc_id, x.leaf, '' AS tree, p.place, p.subroot, x.up, x.sib FROM begin__t{_DEPTH - 1} x JOIN tops p ON p.lang = x.tree
+),
+{_climbed("upper_", "g", _ROOT_DEPTH)}
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(sib) AS proof_sha256, up AS folded_root, up = r.h AS verified
+FROM upper__g{_ROOT_DEPTH - 1}, g{_ROOT_DEPTH} r
+"""
+
 ORACLES = {
     "op1_decontaminate": OP1,
     "op2_jaccard_join": OP2,
     "op5_substrings": OP5,
     "op7_neighbours": OP7,
     "op9_url_filter": OP9,
+    "op11_merkle": OP11,
 }
