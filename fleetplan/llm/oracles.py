@@ -171,6 +171,35 @@ SELECT doc_id, leaf, subroot, r.h AS root, sha256(sib) AS proof_sha256, up AS fo
 FROM upper__g{_ROOT_DEPTH - 1}, g{_ROOT_DEPTH} r
 """
 
+def _assign(number: int) -> str:
+    """CTEs of one assignment to the centroids c<number>, and of the centroids after it."""
+    return f"""
+a{number} AS (
+  SELECT rid, vec_id, e, list_sum(list_transform(range(1, 65), lambda i: (e[i] - c[i]) * (e[i] - c[i])))::BIGINT AS distance, cluster,
+    row_number() OVER (PARTITION BY rid ORDER BY list_sum(list_transform(range(1, 65), lambda i: (e[i] - c[i]) * (e[i] - c[i]))), cluster) AS r
+  FROM v, c{number}
+),
+n{number} AS (SELECT * FROM a{number} WHERE r = 1),
+m{number} AS (
+  SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM (
+    SELECT cluster, i, sum(e[i])::HUGEINT AS s, count(*)::HUGEINT AS n FROM n{number}, unnest(range(1, 65)) AS t(i) GROUP BY cluster, i
+  ) GROUP BY cluster
+),
+c{number + 1} AS (SELECT cluster, coalesce(m{number}.c, c{number}.c) AS c FROM c{number} LEFT JOIN m{number} USING (cluster))"""
+
+
+OP12 = f"""
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+f AS (SELECT *, row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, e) - 1 AS cluster FROM v),
+c0 AS (SELECT cluster, e AS c FROM f WHERE cluster < 16),{",".join(map(_assign, range(4)))}
+SELECT vec_id, cluster::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+  sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c3.c, ',')) AS centroid_sha256
+FROM n3 JOIN c3 USING (cluster)
+"""
+
 ORACLES = {
     "op1_decontaminate": OP1,
     "op2_jaccard_join": OP2,
@@ -178,4 +207,5 @@ ORACLES = {
     "op7_neighbours": OP7,
     "op9_url_filter": OP9,
     "op11_merkle": OP11,
+    "op12_centroids": OP12,
 }

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetplan.llm import decontaminate, jaccard, language, merkle, neighbours, packing, substrings, token_counts, token_store, url_filter, warc
+from fleetplan.llm import centroids, decontaminate, jaccard, language, merkle, neighbours, packing, substrings, token_counts, token_store, url_filter, warc
 
 #: The rules of the URL query: host, path, verdict.
 URL_RULES = [
@@ -99,6 +99,13 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, clusters = centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+    # as many rows as clusters, a parameter
+    sums = F.broadcast(clusters.select("cluster", "cluster_inertia", "inertia", centroids.centroid_digest(F.col("centroid")).alias("centroid_sha256")))
+    return vectors.join(sums, "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_jaccard_join": op2_jaccard_join,
@@ -111,4 +118,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_language": op10_language,
     "op11_merkle": op11_merkle,
+    "op12_centroids": op12_centroids,
 }
