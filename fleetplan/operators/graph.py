@@ -1,38 +1,30 @@
 """Longest paths and lint checks on the dependency graph.
 
-Two exact routes, as in admission. A workflow of ordinary size whose
-dependencies precede their dependents in the document needs one pass over its
-tasks in spec order, done inside one row. Workflows that are larger, or list a
-dependency after its dependent, go level by level through the cluster; each
-level is written out, so the lineage stays one level deep.
+A workflow of ordinary size whose dependencies precede their dependents in the document needs one pass over its
+tasks in spec order, done inside one row. All others (larger ones, and those that list a dependency after its
+dependent or repeat a position) are solved together by elimination, in rounds that grow with the logarithm of a chain's
+length (``maxplus``). Times are added as decimals of nine places, so both routes give the same numbers.
+
+A task is a row: rows that repeat a position follow each other by name and duration, and a dependency means each task of
+its name.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetplan.plans.admission import oversized_workflows
-from fleetplan.session import MAX_FOLD_TASKS, stage
+from fleetplan.functions.numbering import positions
+from fleetplan.operators.maxplus import ENDLESS, VALUE, gathered, is_endless, on_cycles, solve, value_of
+from fleetplan.session import MAX_FOLD_TASKS, large_groups, stage
 
 ORDERS = ("any", "spec")
 
 
-def _arcs(tasks: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges with both ends as positions; ``src`` is null for a dangling one."""
-    at = tasks.select("wf_id", "task_name", F.col("idx").alias("dst"))
-    dep = tasks.select("wf_id", F.col("task_name").alias("dep"), F.col("idx").alias("src"))
-    return (
-        edges.join(dep, ["wf_id", "dep"], "left")
-        .join(at, ["wf_id", "task_name"])
-        .select("wf_id", "dst", "src")
-    )
-
-
-def _spec_order(arcs: DataFrame) -> DataFrame:
-    return arcs.where(F.col("src").isNull() | (F.col("src") < F.col("dst")))
+#: Tasks of the inner lists of a fold: a step copies one of them, not all that came before.
+BLOCK = 64
+#: Tasks whose ancestors are the bits of one number.
+MASK_NODES = 64
 
 
 def _nodes(tasks: DataFrame, edges: DataFrame) -> DataFrame:
@@ -55,21 +47,22 @@ def _nodes(tasks: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _known_durations(tasks: DataFrame) -> DataFrame:
     """An unknown duration counts as 0."""
-    return tasks.withColumn("duration", F.coalesce("duration", F.lit(0)).cast("double"))
+    return tasks.withColumn("duration", value_of(F.col("duration")))
 
 
 def _forward_pass(nodes: DataFrame) -> DataFrame:
     """Fold each workflow in spec order; a dependency counts only if it comes
-    earlier. Adds start, end, stuck (dangling, or behind such a task) and
-    ``in_order`` (no dependency comes later)."""
+    earlier. Adds start, end, stuck (dangling, or behind such a task),
+    ``in_order`` (no dependency comes later) and ``repeats`` (a position that occurs twice)."""
     body = F.struct("idx", "task_name", "duration", "deps", "dangling", "last_dep")
     groups = nodes.groupBy("wf_id").agg(F.sort_array(F.collect_list(body)).alias("queue"))
-    node = "struct<end:double,stuck:boolean,start:double>"
-    out = F.array().cast(f"array<{node}>")
+    node = f"struct<end:{VALUE},stuck:boolean,start:{VALUE}>"
+    state = f"struct<blocks:array<array<{node}>>,open:array<{node}>>"
 
     # Positions are usually dense from 0, so that the place in the array is the
     # position; in a document with gaps the places are looked up.
-    dense = F.element_at("queue", -1)["idx"] == F.size("queue") - 1
+    dense = (F.element_at("queue", -1)["idx"] == F.size("queue") - 1) & (F.element_at("queue", 1)["idx"] == 0)
+    repeats = F.size(F.array_distinct(F.col("queue.idx"))) < F.size("queue")
     places = lambda deps: F.transform(
         deps, lambda p: (F.array_position(F.col("queue.idx"), p) - 1).cast("int")
     )
@@ -78,24 +71,30 @@ def _forward_pass(nodes: DataFrame) -> DataFrame:
         "queue",
         lambda t: t.withField("deps", F.when(F.col("dense"), F.coalesce(t["deps"], no_deps)).otherwise(places(F.coalesce(t["deps"], no_deps)))),
     )
-    groups = groups.withColumn("dense", dense).withColumn("queue", in_places)
+    groups = groups.withColumn("repeats", repeats).withColumn("dense", dense & ~F.col("repeats")).withColumn("queue", in_places)
+    start_of = F.struct(F.array().alias("blocks"), F.array().alias("open")).cast(state)
 
     def step(done: Column, task: Column) -> Column:
-        earlier = F.filter(task["deps"], lambda p: p < F.size(done))
-        found = F.transform(earlier, lambda p: F.get(done, p))
-        start = F.coalesce(F.array_max(F.transform(found, lambda d: d["end"])), F.lit(0.0))
+        full = F.size(done["blocks"]) * BLOCK
+        at = lambda p: F.when(p < full, F.get(F.get(done["blocks"], F.floor(p / BLOCK).cast("int")), p % BLOCK)).otherwise(F.get(done["open"], p - full))
+        earlier = F.filter(task["deps"], lambda p: p < full + F.size(done["open"]))
+        found = F.transform(earlier, at)
+        start = F.coalesce(F.array_max(F.transform(found, lambda d: d["end"])), F.lit(0).cast(VALUE))
         stuck = F.coalesce(task["dangling"], F.lit(False)) | F.exists(found, lambda d: d["stuck"])
-        here = F.struct(
-            (start + task["duration"]).alias("end"), stuck.alias("stuck"), start.alias("start")
-        )
-        return F.concat(done, F.array(here).cast(f"array<{node}>"))
+        here = F.struct((start + task["duration"]).cast(VALUE).alias("end"), stuck.alias("stuck"), start.alias("start")).cast(node)
+        grown = F.concat(done["open"], F.array(here))
+        closed = F.struct(F.concat(done["blocks"], F.array(grown)).alias("blocks"), F.array().cast(f"array<{node}>").alias("open")).cast(state)
+        kept = F.struct(done["blocks"].alias("blocks"), grown.alias("open")).cast(state)
+        return F.when(F.size(done["open"]) == BLOCK - 1, closed).otherwise(kept)
 
     late = F.exists("queue", lambda t: F.coalesce(t["last_dep"] >= t["idx"], F.lit(False)))
+    all_done = lambda done: F.concat(F.flatten(done["blocks"]), done["open"])
     return (
         groups.select(
             "wf_id",
             (~late).alias("in_order"),
-            F.explode(F.arrays_zip("queue", F.aggregate("queue", out, step).alias("done"))).alias("t"),
+            "repeats",
+            F.explode(F.arrays_zip("queue", F.aggregate("queue", start_of, step, all_done).alias("done"))).alias("t"),
         )
         .select(
             "wf_id",
@@ -105,56 +104,36 @@ def _forward_pass(nodes: DataFrame) -> DataFrame:
             F.col("t.done.end").alias("end"),
             F.col("t.done.stuck").alias("stuck"),
             "in_order",
+            "repeats",
         )
     )
 
 
-def _levels(tasks: DataFrame, arcs: DataFrame, dangling_blocks: bool) -> DataFrame:
-    """Peel the graph level by level: (wf_id, idx, start, end, level) of every
-    task that becomes free. Tasks on or behind a cycle never do.
+def _routes(tasks: DataFrame, edges: DataFrame, max_fold: int, order: str) -> tuple[DataFrame, DataFrame | None]:
+    """The forward pass of the workflows it holds for, and the ids of all others (None if there are none)."""
+    large = large_groups(tasks, "wf_id", max_fold)
+    ordinary, foldable = tasks, edges
+    if large is not None:
+        ordinary = tasks.join(large, "wf_id", "left_anti")
+        foldable = edges.join(large, "wf_id", "left_anti")
+    passed = stage(_forward_pass(_nodes(ordinary, foldable)), "forward")
+    holds = ~F.col("repeats") if order == "spec" else F.col("in_order") & ~F.col("repeats")
+    rest = passed.where(~holds).select("wf_id").distinct()
+    rest = stage(rest if large is None else rest.unionByName(large.select("wf_id")), "to-solve")
+    return passed.where(holds), None if rest.isEmpty() else rest
+
 
-    Each level joins the arcs once with the tasks freed last, sums the messages
-    per task, and frees the tasks that have heard from all dependencies.
-    """
-    durations = stage(tasks.select("wf_id", "idx", "duration"), "durations")
-    arcs = stage(arcs if dangling_blocks else arcs.where(F.col("src").isNotNull()), "arcs")
-    needs = stage(arcs.groupBy("wf_id", F.col("dst").alias("idx")).agg(F.count("*").alias("need")), "needs")
-    freed = stage(
-        durations.join(needs, ["wf_id", "idx"], "left_anti").select(
-            "wf_id", "idx", F.lit(0.0).alias("start"), F.col("duration").cast("double").alias("end")
-        ),
-        "level",
-    )
-    levels, heard, depth = [], None, 0
-    while not freed.isEmpty():
-        levels.append(freed.withColumn("level", F.lit(depth)))
-        news = arcs.join(
-            freed.select("wf_id", F.col("idx").alias("src"), "end"), ["wf_id", "src"]
-        ).select("wf_id", F.col("dst").alias("idx"), F.lit(1).cast("long").alias("n"), "end")
-        merged = news if heard is None else heard.unionByName(news)
-        merged = merged.groupBy("wf_id", "idx").agg(F.sum("n").alias("n"), F.max("end").alias("end"))
-        marked = stage(
-            merged.join(needs, ["wf_id", "idx"]).select(
-                "wf_id", "idx", "n", "end", (F.col("n") == F.col("need")).alias("free")
-            ),
-            "heard",
-        )
-        heard = marked.where(~F.col("free")).drop("free")
-        freed = stage(
-            marked.where("free")
-            .join(durations, ["wf_id", "idx"])
-            .select(
-                "wf_id",
-                "idx",
-                F.col("end").alias("start"),
-                (F.col("end") + F.col("duration")).alias("end"),
-            ),
-            "level",
-        )
-        depth += 1
-    if not levels:
-        return freed.withColumn("level", F.lit(0))
-    return reduce(DataFrame.unionByName, levels)
+def _graphs(tasks: DataFrame, edges: DataFrame, rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The workflows of ``rest``: tasks with their place in the workflow as ``node``, and arcs (wf_id, src, dst, w);
+    ``src`` is null for a dangling dependency. ``rest`` is a stored table: where it is small, it is broadcast by its
+    known size, and tasks and edges are cut down before they are shuffled."""
+    some = tasks.select("wf_id", "idx", "task_name", "duration").join(rest, "wf_id", "left_semi")
+    some = stage(positions(some, "wf_id", ["idx", "task_name", "duration"], "node").withColumn("node", F.col("node").cast("bigint")), "placed")
+    dep = some.select("wf_id", F.col("task_name").alias("dep"), F.col("node").alias("src"), F.col("duration").alias("w"))
+    at = some.select("wf_id", "task_name", F.col("node").alias("dst"))
+    named = edges.select("wf_id", "task_name", "dep").join(rest, "wf_id", "left_semi")
+    arcs = named.join(dep, ["wf_id", "dep"], "left").join(at, ["wf_id", "task_name"]).select("wf_id", "src", "dst", "w")
+    return some, stage(arcs, "placed-arcs")
 
 
 def earliest_start(
@@ -162,85 +141,96 @@ def earliest_start(
 ) -> DataFrame:
     """Start = latest end over the dependencies (0 if none), end = start + duration.
 
-    ``tasks`` has wf_id, idx, task_name, duration; positions may have gaps, and an
-    unknown duration counts as 0. A dependency that is not in
+    ``tasks`` has wf_id, idx, task_name, duration; positions may have gaps and repeats, and an
+    unknown duration counts as 0, as does one that is no number. A dependency that is not in
     the workflow counts as 0. With ``order="spec"`` so does one listed at or
     after its dependent (one forward pass over the document); with ``"any"`` the
     order of the document does not matter, and tasks on or behind a cycle get
-    null times.
+    null times. Durations count to nine places.
     """
     if order not in ORDERS:
         raise ValueError(f"order must be one of {ORDERS}")
-    columns = ["wf_id", "idx", "task_name", "start", "end"]
+    timed = lambda df, start, end: df.select("wf_id", "idx", "task_name", start.cast("double").alias("start"), end.cast("double").alias("end"))
     tasks = _known_durations(tasks)
-    large = oversized_workflows(tasks, max_fold)
-    has_large = not large.isEmpty()
-    ordinary, foldable = tasks, edges
-    if has_large:
-        large = stage(large, "oversized")
-        ordinary = tasks.join(large, "wf_id", "left_anti")
-        foldable = edges.join(large, "wf_id", "left_anti")
-    passed = _forward_pass(_nodes(ordinary, foldable))
-    if order == "spec":
-        good, rest = passed.select(*columns), large
-        if not has_large:
-            return good
-    else:
-        passed = stage(passed, "forward")
-        good = passed.where("in_order").select(*columns)
-        rest = passed.where(~F.col("in_order")).select("wf_id").distinct()
-        rest = stage(rest.unionByName(large) if has_large else rest, "by-level")
-        if rest.isEmpty():
-            return good
-    # ``rest`` is a stored table: where it is small, it is broadcast by its known
-    # size, and tasks and edges are cut down before they are shuffled.
-    some = tasks.join(rest, "wf_id", "left_semi")
-    arcs = _arcs(some, edges.join(rest, "wf_id", "left_semi"))
-    if order == "spec":
-        arcs = _spec_order(arcs)
-    levels = _levels(some, arcs, dangling_blocks=False)
-    slow = some.select("wf_id", "idx", "task_name").join(
-        levels.select("wf_id", "idx", "start", "end"), ["wf_id", "idx"], "left"
-    )
-    return good.unionByName(slow.select(*columns))
+    passed, rest = _routes(tasks, edges, max_fold, order)
+    good = timed(passed, F.col("start"), F.col("end"))
+    if rest is None:
+        return good
+    some, arcs = _graphs(tasks, edges, rest)
+    arcs = arcs.where(F.col("src") < F.col("dst")) if order == "spec" else arcs.where(F.col("src").isNotNull())
+    values = solve(some.select("wf_id", "node", F.lit(0).cast(VALUE).alias("base")), arcs)
+    start = F.when(~is_endless(F.col("value")), F.col("value"))
+    return good.unionByName(timed(some.join(values, ["wf_id", "node"]), start, start + F.col("duration")))
 
 
 def stuck_tasks(tasks: DataFrame, edges: DataFrame, max_fold: int = MAX_FOLD_TASKS) -> DataFrame:
-    """Tasks that can never become ready: on or behind a cycle or a dangling edge."""
-    nodes = tasks.select("wf_id", "idx", "task_name", F.lit(0.0).alias("duration"))
-    large = oversized_workflows(tasks, max_fold)
-    has_large = not large.isEmpty()
-    ordinary, foldable = nodes, edges
-    if has_large:
-        large = stage(large, "oversized")
-        ordinary = nodes.join(large, "wf_id", "left_anti")
-        foldable = edges.join(large, "wf_id", "left_anti")
-    passed = stage(_forward_pass(_nodes(ordinary, foldable)), "forward")
-    stuck = passed.where(F.col("in_order") & F.col("stuck")).select("wf_id", "idx", "task_name")
-    rest = passed.where(~F.col("in_order")).select("wf_id").distinct()
-    if has_large:
-        rest = rest.unionByName(large)
-    rest = stage(rest, "by-level")
-    if rest.isEmpty():
+    """Tasks (wf_id, idx, task_name, reason) that can never become ready: ``cycle`` for those on a cycle, ``blocked`` for those
+    with a dangling dependency and all that are behind a cycle or a dangling dependency."""
+    nodes = tasks.select("wf_id", "idx", "task_name", F.lit(0).cast(VALUE).alias("duration"))
+    passed, rest = _routes(nodes, edges, max_fold, "any")
+    reasons = lambda df, reason: df.select("wf_id", "idx", "task_name", reason.alias("reason"))
+    stuck = reasons(passed.where("stuck"), F.lit("blocked"))
+    if rest is None:
         return stuck
-    some = nodes.join(rest, "wf_id", "left_semi")
-    levels = _levels(some, _arcs(some, edges.join(rest, "wf_id", "left_semi")), dangling_blocks=True)
-    left = some.select("wf_id", "idx", "task_name").join(levels, ["wf_id", "idx"], "left_anti")
-    return stuck.unionByName(left)
+    some, arcs = _graphs(nodes, edges, rest)
+    dangling = arcs.where("src IS NULL").select("wf_id", F.col("dst").alias("node"), F.lit(True).alias("dangling")).distinct()
+    marked = some.join(dangling, ["wf_id", "node"], "left").withColumn("dangling", F.coalesce("dangling", F.lit(False)))
+    marked = stage(marked, "marked-tasks")
+    arcs = arcs.where("src IS NOT NULL")
+    sizes = stage(marked.groupBy("wf_id").agg(F.count("*").alias("n")), "sizes")
+    few = sizes.where(F.col("n") <= MASK_NODES).select("wf_id")
+    many = sizes.where(F.col("n") > MASK_NODES).select("wf_id")
+    found = _reasons_in_row(marked.join(few, "wf_id", "left_semi"), arcs.join(few, "wf_id", "left_semi"))
+    if not many.isEmpty():
+        nodes, arcs = marked.join(many, "wf_id", "left_semi"), arcs.join(many, "wf_id", "left_semi")
+        found = found.unionByName(_reasons_by_solving(nodes, arcs))
+    return stuck.unionByName(reasons(some.join(found, ["wf_id", "node"]), F.col("reason")))
+
+
+def _reasons_by_solving(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(wf_id, node, reason) of stuck tasks, in graphs of any size."""
+    base = F.when(F.col("dangling"), F.lit(ENDLESS)).otherwise(F.lit(0)).cast(VALUE)
+    values = solve(nodes.withColumn("base", base), arcs)
+    stuck = stage(values.where(is_endless(F.col("value"))).select("wf_id", "node"), "stuck")
+    inside = arcs
+    for end in ("src", "dst"):
+        inside = inside.join(stuck.withColumnRenamed("node", end), ["wf_id", end], "left_semi")
+    cycles = on_cycles(stuck, inside).withColumn("reason", F.lit("cycle"))
+    return stuck.join(cycles, ["wf_id", "node"], "left").select("wf_id", "node", F.coalesce("reason", F.lit("blocked")).alias("reason"))
+
+
+def _reasons_in_row(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+    """The same for graphs of at most 64 nodes: the ancestors of a node are the bits of one number, and six times the
+    ancestors of all ancestors are added."""
+    rows = gathered(nodes, arcs, ["dangling"])
+    bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("bigint"), p)
+    has = lambda mask, p: mask.bitwiseAND(bit(p)) != 0
+    either = lambda masks: F.aggregate(masks, F.lit(0).cast("bigint"), lambda a, m: a.bitwiseOR(m))
+    parents = F.transform("queue", lambda t: either(F.transform(t["ins"], lambda a: bit(a["p"]))))
+    grown = lambda all_: F.transform(all_, lambda own: own.bitwiseOR(either(F.transform(all_, lambda m, p: F.when(has(own, p), m).otherwise(F.lit(0).cast("bigint"))))))
+    above = F.aggregate(F.sequence(F.lit(1), F.lit(6)), parents, lambda masks, _: F.when(F.exists(masks, lambda m: m != 0), grown(masks)).otherwise(masks))
+    rows = rows.withColumn("above", above)
+    cycles = F.transform("above", lambda m, p: F.when(has(m, p), bit(p)).otherwise(F.lit(0).cast("bigint")))
+    missing = F.transform("queue", lambda t, p: F.when(t["dangling"], bit(p)).otherwise(F.lit(0).cast("bigint")))
+    rows = rows.withColumn("on_cycle", either(cycles)).withColumn("without", either(missing))
+    each = rows.select("wf_id", "on_cycle", "without", F.posexplode(F.arrays_zip("queue", "above")).alias("p", "t"))
+    blocked = F.col("t.above").bitwiseOR(bit(F.col("p"))).bitwiseAND(F.col("on_cycle").bitwiseOR(F.col("without"))) != 0
+    reason = F.when(has(F.col("on_cycle"), F.col("p")), "cycle").when(blocked, "blocked")
+    return each.select("wf_id", F.col("t.queue.node").alias("node"), reason.alias("reason")).where("reason IS NOT NULL")
 
 
 def dag_lint(tasks: DataFrame, edges: DataFrame, max_fold: int = MAX_FOLD_TASKS) -> DataFrame:
     """Findings (wf_id, task_name, issue, detail): ``dangling`` dependency,
-    ``duplicate`` task name, ``stuck`` task."""
+    ``duplicate`` task name, task on a ``cycle``, task ``blocked`` by one of these before it."""
     known = tasks.select("wf_id", F.col("task_name").alias("dep"))
     finding = lambda df, issue, detail: df.select(
-        "wf_id", "task_name", F.lit(issue).alias("issue"), detail.alias("detail")
+        "wf_id", "task_name", issue.alias("issue"), detail.alias("detail")
     )
-    dangling = edges.distinct().join(known, ["wf_id", "dep"], "left_anti")
+    dangling = edges.select("wf_id", "task_name", "dep").distinct().join(known, ["wf_id", "dep"], "left_anti")
     repeated = tasks.groupBy("wf_id", "task_name").count().where(F.col("count") > 1)
     stuck = stuck_tasks(tasks, edges, max_fold)
     return (
-        finding(dangling, "dangling", F.col("dep"))
-        .unionByName(finding(repeated, "duplicate", F.col("count").cast("string")))
-        .unionByName(finding(stuck, "stuck", F.lit(None).cast("string")))
+        finding(dangling, F.lit("dangling"), F.col("dep"))
+        .unionByName(finding(repeated, F.lit("duplicate"), F.col("count").cast("string")))
+        .unionByName(finding(stuck, F.col("reason"), F.lit(None).cast("string")))
     )

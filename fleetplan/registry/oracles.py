@@ -598,7 +598,8 @@ WHERE NOT EXISTS (SELECT 1 FROM wf_tasks t WHERE t.wf_id = d.wf_id AND t.task_na
 UNION ALL
 SELECT wf_id, task_name, 'duplicate', CAST(COUNT(*) AS STRING) FROM wf_tasks GROUP BY wf_id, task_name HAVING COUNT(*) > 1
 UNION ALL
-SELECT s.wf_id, 't' || s.idx, 'stuck', CAST(NULL AS STRING) FROM stuck s""",
+SELECT s.wf_id, 't' || s.idx, CASE WHEN c.src IS NULL THEN 'blocked' ELSE 'cycle' END, CAST(NULL AS STRING)
+FROM stuck s LEFT JOIN (SELECT DISTINCT wf_id, src FROM reach WHERE src = dst) c ON c.wf_id = s.wf_id AND c.src = s.idx""",
     "training_set": """
 SELECT e.workflow_name, e.task_name, e.image, epoch_us(e.completed_at) AS completed_us,
        CAST(CAST('0x' || SUBSTR(SHA256(e.image), 1, 8) AS BIGINT) AS DOUBLE) / CAST(4294967296 AS DOUBLE) AS image_hash,

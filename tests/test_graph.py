@@ -4,6 +4,7 @@ import pytest
 from brute import longest
 from brute import stuck as brute_stuck
 
+from fleetplan.operators import maxplus
 from fleetplan.operators.graph import dag_lint, earliest_start, stuck_tasks
 
 NODES = "wf_id long, idx int, task_name string, duration double"
@@ -89,5 +90,97 @@ def test_lint(spark):
     nodes, edges = frames(spark, workflows)
     got = sorted((r.issue, r.task_name, r.detail) for r in dag_lint(nodes, edges).collect())
     assert got == [
-        ("dangling", "b", "gone"), ("duplicate", "a", "2"), ("stuck", "b", None), ("stuck", "c", None)
+        ("blocked", "b", None), ("blocked", "c", None), ("dangling", "b", "gone"), ("duplicate", "a", "2")
     ]
+
+
+def plain(rows, edges, spec=False):
+    """Start and reason of each task of one workflow; rows: (idx, name, duration), also with repeated positions and names."""
+    rows = sorted(rows, key=lambda r: (r[0], r[1], r[2] or 0))
+    named = {}
+    for i, (_, name, _) in enumerate(rows):
+        named.setdefault(name, []).append(i)
+    deps = [[j for n, d in edges if n == name for j in named.get(d, [])] for _, name, _ in rows]
+    if spec:
+        deps = [[j for j in ds if j < i] for i, ds in enumerate(deps)]
+    above = [set(ds) for ds in deps]
+    for _ in rows:
+        above = [a.union(*(above[j] for j in a)) for a in above]
+    cyclic = {i for i, a in enumerate(above) if i in a}
+    lost = {i for i, (_, name, _) in enumerate(rows) if any(n == name and d not in named for n, d in edges)}
+    reason = ["cycle" if i in cyclic else "blocked" if above[i] & (cyclic | lost) or i in lost else None for i in range(len(rows))]
+    start = [None] * len(rows)
+    for _ in rows:
+        for i, ds in enumerate(deps):
+            if i not in cyclic and not above[i] & cyclic and all(start[j] is not None for j in ds):
+                start[i] = max([start[j] + (rows[j][2] or 0) for j in ds], default=0.0)
+    return [(idx, name, d, start[i], reason[i]) for i, (idx, name, d) in enumerate(rows)]
+
+
+def random_workflow(rng, n):
+    gaps, repeats = rng.random() < 0.5, rng.random() < 0.5
+    at = sorted(rng.randint(0, n // 2) if repeats else i * 3 if gaps else i for i in range(n))
+    names = [f"t{rng.randint(0, n - 2)}" if rng.random() < 0.1 else f"t{i}" for i in range(n)]
+    rows = [(at[i], names[i], rng.choice([None, 0.0, rng.randint(1, 40) / 10])) for i in range(n)]
+    order = list(range(n))
+    if rng.random() < 0.6:
+        rng.shuffle(order)
+    edges = []
+    for k in range(1, n):
+        for j in rng.sample(range(max(0, k - 4), k), min(k, rng.randint(0, 2))):
+            edges.append((names[order[k]], names[order[j]]))
+    if rng.random() < 0.5:
+        edges += [(rng.choice(names), rng.choice(names)) for _ in range(rng.randint(1, 3))]
+    if rng.random() < 0.3:
+        edges.append((rng.choice(names), "nowhere"))
+    return rows, edges
+
+
+@pytest.mark.parametrize("max_fold, close", [(4096, 64), (5, 64), (5, 6)])
+def test_gaps_repeats_cycles_and_doubles_on_all_routes(spark, monkeypatch, max_fold, close):
+    from fleetplan.operators import graph
+
+    monkeypatch.setattr(maxplus.solve, "__defaults__", (True, close))
+    monkeypatch.setattr(graph, "MASK_NODES", close)
+    rng = random.Random(11)
+    workflows = {w: random_workflow(rng, rng.choice([2, 3, 6, 12, 20])) for w in range(40 if close == 64 else 12)}
+    nodes = spark.createDataFrame([(w, *r) for w, (rows, _) in workflows.items() for r in rows], NODES).repartition(4)
+    edges = spark.createDataFrame([(w, *e) for w, (_, es) in workflows.items() for e in es], EDGES).repartition(4)
+    near = lambda x: None if x is None else round(x, 6)
+    for order in ("any", "spec"):
+        got = sorted(((r.wf_id, r.idx, r.task_name, near(r.start), near(r.end)) for r in earliest_start(nodes, edges, order, max_fold).collect()), key=repr)
+        expected = sorted(
+            ((w, idx, name, near(s), near(None if s is None else s + (d or 0))) for w, (rows, es) in workflows.items() for idx, name, d, s, _ in plain(rows, es, order == "spec")),
+            key=repr,
+        )
+        assert got == expected
+    got = sorted(map(tuple, stuck_tasks(nodes, edges, max_fold).collect()))
+    assert got == sorted((w, idx, name, reason) for w, (rows, es) in workflows.items() for idx, name, _, _, reason in plain(rows, es) if reason)
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """20,000 tasks in one chain whose tasks stand in the document in any order."""
+    rounds = []
+    chosen = maxplus._chosen
+    monkeypatch.setattr(maxplus, "_chosen", lambda *a: rounds.append(1) or chosen(*a))
+    n = 20_000
+    order = list(range(n))
+    random.Random(5).shuffle(order)
+    nodes = spark.createDataFrame([(1, order[i], f"t{i}", 0.1) for i in range(n)], NODES).repartition(4)
+    edges = spark.createDataFrame([(1, f"t{i}", f"t{i - 1}") for i in range(1, n)], EDGES).repartition(4)
+    got = {r.task_name: r.start for r in earliest_start(nodes, edges).collect()}
+    assert got == {f"t{i}": i / 10 for i in range(n)}
+    # each of them goes forward once and back once
+    assert 2 * len(rounds) <= 40
+
+
+def test_cycles_in_a_large_graph(spark):
+    """Loops in a row, with chains before, between and behind them."""
+    n, edges = 560, []
+    edges += [(1, f"t{i}", f"t{i - 1}") for i in range(1, n)]
+    back = [(40, 20), (41, 41), (90, 60), (300, 200), (250, 210), (501, 500)]
+    edges += [(1, f"t{lo}", f"t{hi}") for hi, lo in back]
+    nodes = spark.createDataFrame([(1, i, f"t{i}", 1.0) for i in range(n)], NODES)
+    got = {r.idx: r.reason for r in stuck_tasks(nodes, spark.createDataFrame(edges, EDGES)).collect()}
+    on = {i for hi, lo in back for i in range(lo, hi + 1)}
+    assert got == {i: "cycle" if i in on else "blocked" for i in range(20, n)}
