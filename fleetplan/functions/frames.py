@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 
 def optional(df: DataFrame, name: str, type_: str) -> Column:
@@ -40,8 +41,11 @@ def prefix_sums(
 
     ``bucket`` must be monotone in ``order``. Rows are windowed per
     (key, bucket); totals of the earlier buckets, one row per bucket, are added
-    as offsets. ``sums`` maps output name -> summed column.
+    as offsets. ``sums`` maps output name -> summed column. Sums of decimals keep
+    the type of the column, so that no place is lost.
     """
+    decimals = {o: df.schema[c].dataType for o, c in sums.items() if isinstance(df.schema[c].dataType, DecimalType)}
+    typed = lambda value, o: value.cast(decimals[o]) if o in decimals else value
     cell = [*keys, bucket]
     totals = df.groupBy(*cell).agg(*[F.sum(c).alias(f"__t_{o}") for o, c in sums.items()])
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
@@ -55,8 +59,8 @@ def prefix_sums(
     return df.join(offsets, cell, "left").select(
         *[F.col(c) for c in df.columns],
         *[
-            (
-                F.coalesce(F.sum(c).over(inside), zero) + F.coalesce(F.col(f"__o_{o}"), zero)
+            typed(
+                typed(F.coalesce(F.sum(c).over(inside), zero), o) + typed(F.coalesce(F.col(f"__o_{o}"), zero), o), o
             ).alias(o)
             for o, c in sums.items()
         ],

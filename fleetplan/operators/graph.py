@@ -14,8 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetplan.functions.exact import VALUE, value_of
 from fleetplan.functions.numbering import positions
-from fleetplan.operators.maxplus import ENDLESS, VALUE, gathered, is_endless, on_cycles, solve, value_of
+from fleetplan.operators.maxplus import ENDLESS, gathered, is_endless, on_cycles, solve
 from fleetplan.session import MAX_FOLD_TASKS, large_groups, stage
 
 ORDERS = ("any", "spec")

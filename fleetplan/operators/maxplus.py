@@ -21,9 +21,9 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetplan.functions.exact import VALUE
 from fleetplan.session import shared_dir, stage
 
-VALUE = "decimal(28,9)"
 #: Stands for no value; values stay below half of it.
 ENDLESS = 10**18
 #: Nodes of a graph that is closed inside one row.
@@ -34,12 +34,6 @@ FILL = 16
 _GRAPH = "wf_id"
 
 
-def value_of(number: Column) -> Column:
-    """A number as a value; what is no number, or beyond the range, is 0."""
-    value = number.try_cast(VALUE)
-    return F.coalesce(F.when(F.abs(value) < ENDLESS // 10, value), F.lit(0).cast(VALUE))
-
-
 def is_endless(value: Column) -> Column:
     return value > ENDLESS // 2
 

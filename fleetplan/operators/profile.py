@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
+from fleetplan.functions.exact import exact
 from fleetplan.functions.frames import prefix_sums
-from fleetplan.plans.admission import oversized_workflows
+from fleetplan.functions.numbering import positions
 from fleetplan.session import MAX_FOLD_TASKS, large_groups, stage
 
 # Intervals of one workflow that one task runs up.
@@ -20,21 +22,29 @@ def stack_by_start(
 
     ``starts`` has wf_id, idx, start, size and, unless ``limit`` is given, a
     ``limit`` per row. ``bottom`` is the size of the earlier tasks at the same
-    start, ``crashed`` marks a top above the limit.
+    start, ``crashed`` marks a top above the limit. Tasks that repeat a position
+    follow each other by size. Doubles are added as decimals of nine places, so
+    both routes give the same numbers.
     """
     cap = F.lit(limit) if limit is not None else F.col("limit")
-    if oversized_workflows(starts, max_fold).isEmpty():
-        earlier = Window.partitionBy("wf_id", "start").orderBy("idx")
+    starts, back = exact(starts, "size")
+    order = ["idx", "size"]
+    large = large_groups(starts, "wf_id", max_fold)
+    if large is None:
+        earlier = Window.partitionBy("wf_id", "start").orderBy(*order)
         earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
         below = F.coalesce(F.sum("size").over(earlier), F.lit(0))
         stacked = starts.withColumn("bottom", below)
     else:
-        rows = starts.withColumn("__cell", F.floor(F.col("idx") / F.lit(max_fold)))
-        stacked = prefix_sums(rows, ["wf_id", "start"], "__cell", ["idx"], {"bottom": "size"})
-        stacked = stacked.drop("__cell")
-    return stacked.withColumn(
-        "crashed", F.coalesce(F.col("bottom") + F.col("size") > cap, F.lit(False))
-    )
+        rows = positions(starts, "wf_id", order, "__place", max_fold)
+        rows = rows.withColumn("__cell", F.floor(F.col("__place") / F.lit(max_fold)))
+        stacked = prefix_sums(rows, ["wf_id", "start"], "__cell", ["__place"], {"bottom": "size"})
+        stacked = stacked.drop("__cell", "__place")
+    top = F.col("bottom") + F.col("size")
+    crashed = F.coalesce((top.cast(back) if back else top) > cap, F.lit(False))
+    if back:
+        return stacked.select(*[F.col(c).cast(back).alias(c) if c in ("bottom", "size") else F.col(c) for c in stacked.columns], crashed.alias("crashed"))
+    return stacked.withColumn("crashed", crashed)
 
 
 def stack_crashes(stacked: DataFrame) -> DataFrame:
@@ -52,9 +62,10 @@ def usage_profile(
     over_limit (against ``limit`` or a ``limit`` column). Instead of joining
     intervals to instants, the changes at each instant are summed first and then
     run up. A workflow of up to ``max_group`` intervals is run up in one task,
-    a larger one in as many pieces of time as it has such groups of rows.
+    a larger one in pieces of so many instants each, wherever in time they lie. Doubles are
+    added as decimals of nine places, so the pieces do not change a sum.
     """
-    intervals = intervals.where(F.col("end") > F.col("start"))
+    intervals, back = exact(intervals.where(F.col("end") > F.col("start")), "size")
     large = large_groups(intervals, "wf_id", max_group)
     if large is None:
         steps = _steps(intervals)
@@ -63,6 +74,8 @@ def usage_profile(
         steps = _steps(ordinary).unionByName(_wide_steps(intervals, large, max_group))
     has_column = "limit" in intervals.columns
     cap = F.lit(limit) if limit is not None else (F.col("limit") if has_column else F.lit(None))
+    if back:
+        steps = steps.withColumn("in_use", F.col("in_use").cast(back))
     over = F.coalesce(F.col("in_use") > cap, F.lit(False))
     return steps.select("wf_id", "at", "until", "in_use", over.alias("over_limit"))
 
@@ -81,7 +94,13 @@ def _changes(intervals: DataFrame) -> DataFrame:
 
 def _by_instant(changes: DataFrame) -> DataFrame:
     carried = [F.max(c).alias(c) for c in _carried(changes)]
-    return changes.groupBy("wf_id", "at").agg(F.sum("delta").alias("delta"), *carried)
+    return changes.groupBy("wf_id", "at").agg(_sum("delta", changes).alias("delta"), *carried)
+
+
+def _sum(name: str, df: DataFrame) -> Column:
+    """A sum in the type of its column where that is a decimal."""
+    kind = df.schema[name].dataType
+    return F.sum(name).cast(kind) if isinstance(kind, DecimalType) else F.sum(name)
 
 
 def _steps(intervals: DataFrame) -> DataFrame:
@@ -94,25 +113,18 @@ def _steps(intervals: DataFrame) -> DataFrame:
         "wf_id",
         "at",
         F.lead("at").over(order).alias("until"),
-        F.sum("delta").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("in_use"),
+        F.sum("delta").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast(deltas.schema["delta"].dataType).alias("in_use"),
         *_carried(deltas),
     )
 
 
 def _wide_steps(intervals: DataFrame, large: DataFrame, max_group: int) -> DataFrame:
-    """Steps of workflows that are run up in pieces of time."""
+    """Steps of workflows that are run up in pieces of ``max_group`` instants."""
     # Summed per instant before the shuffle, so that a hot instant is no burden.
     deltas = stage(_by_instant(_changes(intervals.join(large, "wf_id", "left_semi"))), "deltas")
-    spans = deltas.groupBy("wf_id").agg(
-        F.min("at").alias("__from"), (F.max("at") - F.min("at") + 1).alias("__span")
-    )
-    pieces = stage(
-        spans.join(large, "wf_id").withColumn("__pieces", F.ceil(F.col("n_rows") / F.lit(max_group))),
-        "pieces",
-    )
-    cell = F.floor((F.col("at") - F.col("__from")) / F.col("__span") * F.col("__pieces"))
     columns = ["wf_id", "at", "delta", *_carried(deltas)]
-    deltas = deltas.join(pieces, "wf_id").select(*columns, cell.alias("__cell"))
+    placed = positions(deltas, "wf_id", ["at"], "__place", max_group)
+    deltas = stage(placed.select(*columns, F.floor(F.col("__place") / F.lit(max_group)).alias("__cell")), "pieces")
     run = prefix_sums(deltas, ["wf_id"], "__cell", ["at"], {"__before": "delta"})
     # The end of a step is the next instant: inside the piece, else the first
     # instant of the next piece that has one.
@@ -124,7 +136,7 @@ def _wide_steps(intervals: DataFrame, large: DataFrame, max_group: int) -> DataF
         "wf_id",
         "at",
         F.coalesce(F.lead("at").over(inside), F.col("__next")).alias("until"),
-        (F.col("__before") + F.col("delta")).alias("in_use"),
+        (F.col("__before") + F.col("delta")).cast(deltas.schema["delta"].dataType).alias("in_use"),
         *_carried(deltas),
     )
 

@@ -143,7 +143,7 @@ def test_gaps_repeats_cycles_and_doubles_on_all_routes(spark, monkeypatch, max_f
     monkeypatch.setattr(maxplus.solve, "__defaults__", (True, close))
     monkeypatch.setattr(graph, "MASK_NODES", close)
     rng = random.Random(11)
-    workflows = {w: random_workflow(rng, rng.choice([2, 3, 6, 12, 20])) for w in range(40 if close == 64 else 12)}
+    workflows = {w: random_workflow(rng, rng.choice([2, 3, 6, 12, 20])) for w in range(40 if close == 64 else 6)}
     nodes = spark.createDataFrame([(w, *r) for w, (rows, _) in workflows.items() for r in rows], NODES).repartition(4)
     edges = spark.createDataFrame([(w, *e) for w, (_, es) in workflows.items() for e in es], EDGES).repartition(4)
     near = lambda x: None if x is None else round(x, 6)
@@ -176,9 +176,9 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
 
 def test_cycles_in_a_large_graph(spark):
     """Loops in a row, with chains before, between and behind them."""
-    n, edges = 560, []
+    n, edges = 520, []
     edges += [(1, f"t{i}", f"t{i - 1}") for i in range(1, n)]
-    back = [(40, 20), (41, 41), (90, 60), (300, 200), (250, 210), (501, 500)]
+    back = [(40, 20), (41, 41), (300, 200), (250, 210), (501, 500)]
     edges += [(1, f"t{lo}", f"t{hi}") for hi, lo in back]
     nodes = spark.createDataFrame([(1, i, f"t{i}", 1.0) for i in range(n)], NODES)
     got = {r.idx: r.reason for r in stuck_tasks(nodes, spark.createDataFrame(edges, EDGES)).collect()}

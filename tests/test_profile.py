@@ -52,3 +52,39 @@ def test_stack(spark, max_fold):
         below = 65 * (i % 4)
         assert got[w, i] == ((below, below + 65 > 150) if w == 1 else (0, False))
     assert {r.wf_id: r.is_crasher for r in stack_crashes(stacked).collect()} == {1: True, 2: False}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_doubles_are_the_same_in_pieces_of_any_size(spark, seed):
+    """All instants of the large workflow lie in one hour of a long time."""
+    rng = random.Random(seed)
+    rows = [(1, 0, 10**9, 0.1)] + [(1, (s := rng.randint(5000, 8600)), s + rng.randint(1, 400), rng.choice([0.1, 0.2, 0.3, 0.7])) for _ in range(400)]
+    rows += [(2, 0, 5, float("nan")), (2, 1, 4, 0.4), (3, 1, 2, None)]
+    df = spark.createDataFrame(rows, "wf_id long, start long, end long, size double").repartition(3)
+    seen = [sorted(map(tuple, usage_profile(df, limit=0.4, max_group=n).collect()), key=repr) for n in (10**6, 100, 7)]
+    assert seen[0] == seen[1] == seen[2]
+    assert (2, 1, 4, 0.4, False) in seen[0]
+    hundredths = lambda x: round(x * 10)
+    for w, at, until, use, _ in seen[0]:
+        if w == 1:
+            assert hundredths(use) == sum(hundredths(r[3]) for r in rows if r[0] == 1 and r[1] <= at < r[2])
+
+
+def test_pieces_hold_so_many_instants(spark, monkeypatch):
+    from fleetplan.operators import profile
+
+    kept = []
+    real = profile.stage
+    monkeypatch.setattr(profile, "stage", lambda df, label: kept.append((label, real(df, label))) or kept[-1][1])
+    rows = [(1, 0, 10**12, 1)] + [(1, 10**6 + i, 10**6 + i + 50, 1) for i in range(500)]
+    profile.usage_profile(spark.createDataFrame(rows, INTERVALS), max_group=50).count()
+    pieces = dict(kept)["pieces"].groupBy("__cell").count().collect()
+    assert len(pieces) == 12 and max(r["count"] for r in pieces) <= 50
+
+
+def test_stacks_of_doubles_and_repeats_are_the_same_on_both_routes(spark):
+    rng = random.Random(4)
+    rows = [(1, rng.randint(0, 30), rng.randint(0, 2), rng.choice([0.1, 0.2, 0.3])) for _ in range(90)]
+    df = spark.createDataFrame(rows, "wf_id long, idx int, start long, size double").repartition(4)
+    seen = [sorted(map(tuple, stack_by_start(df, limit=2.6, max_fold=n).collect())) for n in (4096, 7)]
+    assert seen[0] == seen[1]
