@@ -68,11 +68,11 @@ def _forward_pass(nodes: DataFrame) -> DataFrame:
         deps, lambda p: (F.array_position(F.col("queue.idx"), p) - 1).cast("int")
     )
     no_deps = F.array().cast("array<int>")
-    in_places = F.transform(
-        "queue",
-        lambda t: t.withField("deps", F.when(F.col("dense"), F.coalesce(t["deps"], no_deps)).otherwise(places(F.coalesce(t["deps"], no_deps)))),
-    )
-    groups = groups.withColumn("repeats", repeats).withColumn("dense", dense & ~F.col("repeats")).withColumn("queue", in_places)
+    # The condition stands outside of the lambda functions: inside, it would be evaluated for each task.
+    in_places = F.when(
+        dense & ~repeats, F.transform("queue", lambda t: t.withField("deps", F.coalesce(t["deps"], no_deps)))
+    ).otherwise(F.transform("queue", lambda t: t.withField("deps", places(F.coalesce(t["deps"], no_deps)))))
+    groups = groups.withColumn("repeats", repeats).withColumn("queue", in_places)
     start_of = F.struct(F.array().alias("blocks"), F.array().alias("open")).cast(state)
 
     def step(done: Column, task: Column) -> Column:
@@ -84,19 +84,21 @@ def _forward_pass(nodes: DataFrame) -> DataFrame:
         stuck = F.coalesce(task["dangling"], F.lit(False)) | F.exists(found, lambda d: d["stuck"])
         here = F.struct((start + task["duration"]).cast(VALUE).alias("end"), stuck.alias("stuck"), start.alias("start")).cast(node)
         grown = F.concat(done["open"], F.array(here))
-        closed = F.struct(F.concat(done["blocks"], F.array(grown)).alias("blocks"), F.array().cast(f"array<{node}>").alias("open")).cast(state)
-        kept = F.struct(done["blocks"].alias("blocks"), grown.alias("open")).cast(state)
+        closed = F.struct(F.concat(done["blocks"], F.array(grown)).alias("blocks"), F.array().cast(f"array<{node}>").alias("open"))
+        kept = F.struct(done["blocks"].alias("blocks"), grown.alias("open"))
         return F.when(F.size(done["open"]) == BLOCK - 1, closed).otherwise(kept)
 
     late = F.exists("queue", lambda t: F.coalesce(t["last_dep"] >= t["idx"], F.lit(False)))
     all_done = lambda done: F.concat(F.flatten(done["blocks"]), done["open"])
+    # All of a workflow is worked out before the explode: beside it, an expression is evaluated for each task.
+    whole = groups.select(
+        "wf_id",
+        (~late).alias("in_order"),
+        "repeats",
+        F.arrays_zip("queue", F.aggregate("queue", start_of, step, all_done).alias("done")).alias("all"),
+    )
     return (
-        groups.select(
-            "wf_id",
-            (~late).alias("in_order"),
-            "repeats",
-            F.explode(F.arrays_zip("queue", F.aggregate("queue", start_of, step, all_done).alias("done"))).alias("t"),
-        )
+        whole.select("wf_id", "in_order", "repeats", F.explode("all").alias("t"))
         .select(
             "wf_id",
             F.col("t.queue.idx").alias("idx"),
