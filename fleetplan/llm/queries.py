@@ -74,7 +74,7 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(_table(spark, sf_dir, "pages"))
-    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

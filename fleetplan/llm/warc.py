@@ -74,13 +74,19 @@ def record(fields: dict[str, object], block: bytes) -> bytes:
     return packer.compress(b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The headers and blocks of an archive of gzip members."""
-    while data:
-        opener = zlib.decompressobj(31)
-        whole = opener.decompress(data) + opener.flush()
-        data = opener.unused_data
-        head, _, rest = whole.partition(b"\r\n\r\n")
+def records(data: bytes, block: int = 16 << 10) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The headers and blocks of an archive of gzip members. The archive is handed on in small blocks, so that what
+    follows a member is not copied for each of them."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        opener, parts = zlib.decompressobj(31), []
+        while not opener.eof:
+            piece = view[at : at + block]
+            if not len(piece):
+                raise ValueError("a record is cut short")
+            parts.append(opener.decompress(piece))
+            at += len(piece) - len(opener.unused_data)
+        head, _, rest = b"".join(parts).partition(b"\r\n\r\n")
         fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
         yield fields, rest[: int(fields["Content-Length"])]
 
@@ -93,15 +99,15 @@ def _new_id() -> str:
     return f"<urn:uuid:{uuid.uuid4()}>"
 
 
-def page_records(page: object, url: str | None, payload: bytes, first: object, revisit: bool, segment: int = SEGMENT_BYTES) -> list[bytes]:
-    """The records of one page: itself, and continuations if its message is long."""
+def page_records(page: object, url: str | None, payload: bytes, digest: str, first: object, revisit: bool, segment: int = SEGMENT_BYTES) -> list[bytes]:
+    """The records of one page of this payload digest: itself, and continuations if its message is long."""
     name = _new_id()
     fields = {
         "WARC-Type": "revisit" if revisit else "response",
         "WARC-Record-ID": name,
         "WARC-Date": _DATE,
         "WARC-Target-URI": None if url is None else _safe(url),
-        "WARC-Payload-Digest": f"sha1:{digest_of(payload)}",
+        "WARC-Payload-Digest": f"sha1:{digest}",
         "Content-Type": "application/http; msgtype=response",
         "Page-ID": page,
     }
@@ -127,9 +133,10 @@ def message_payload(block: bytes) -> bytes:
 
 
 def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, folder: str | None = None) -> DataFrame:
-    """Write all pages and return the stored list of archives (folder, file).
+    """Write all pages and return the stored list of archives (folder, file, segmented).
 
-    Pages with equal payloads of at least ``min_bytes`` bytes refer to the one with the smallest id.
+    Records of messages that fit one segment are in files of their own, all segments of longer ones in others, so that a reader
+    takes each file once. Pages with equal payloads of at least ``min_bytes`` bytes refer to the one with the smallest id.
     """
     spark = pages.sparkSession
     short_batches(spark)
@@ -138,30 +145,28 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", pay
     rows = rows.withColumn("digest", F.sha1(F.encode("payload", "utf-8")))
     firsts = rows.groupBy("digest").agg(F.min("page").alias("first"))
     revisit = (F.octet_length("payload") >= min_bytes) & ~F.col("page").eqNullSafe(F.col("first"))
-    marked = rows.join(firsts, "digest").select("page", "url", "payload", "first", revisit.alias("revisit"))
+    marked = rows.join(firsts, "digest").select("page", "url", "payload", "digest", "first", revisit.alias("revisit"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, main, more, size, n = TaskContext.get().partitionId(), [], [], 0, 0
 
         def close():
-            names = [write_file(folder, f"pages-{task:07d}-{n}.warc.gz", main)]
-            if more:
-                names.append(write_file(folder, f"pages-{task:07d}-{n}-more.warc.gz", more))
-            return pa.RecordBatch.from_pydict({"folder": [folder] * len(names), "file": names})
+            names = [write_file(folder, f"pages-{task:07d}-{n}{end}.warc.gz", part) for end, part in (("", main), ("-segments", more)) if part]
+            return pa.RecordBatch.from_pydict({"folder": [folder] * len(names), "file": names, "segmented": ["-segments" in name for name in names]})
 
         for batch in batches:
-            for page, at, text, first, again in zip(*[c.to_pylist() for c in batch.columns]):
-                own, *rest = page_records(page, at, text.encode(), first, again)
-                main.append(own)
-                more += rest
-                size += len(text)
+            for page, at, text, digest, first, again in zip(*[c.to_pylist() for c in batch.columns]):
+                payload = text.encode()
+                own = page_records(page, at, payload, base64.b32encode(bytes.fromhex(digest)).decode(), first, again)
+                (main if len(own) == 1 else more).extend(own)
+                size += len(payload)
                 if size > FILE_BYTES:
                     yield close()
                     main, more, size, n = [], [], 0, n + 1
-        if main:
+        if main or more:
             yield close()
 
-    return stage(marked.mapInArrow(write, "folder string, file string"), "warc-list")
+    return stage(marked.mapInArrow(write, "folder string, file string, segmented boolean"), "warc-list")
 
 
 def _row(fields: dict[str, str], payload: bytes | None, number) -> dict:
@@ -179,10 +184,11 @@ def _row(fields: dict[str, str], payload: bytes | None, number) -> dict:
     }
 
 
-def read_archives(archives: DataFrame, key: str = "page_id", key_type: str = "bigint") -> DataFrame:
+def read_archives(archives: DataFrame, key: str = "page_id", key_type: str = "bigint", payloads: bool = True) -> DataFrame:
     """One row for each page: (``key``, url, record_type, refers_to, payload, payload_bytes, payload_digest).
 
-    A revisit has no payload of its own; its bytes and digest are those of the full payload.
+    A revisit has no payload of its own; its bytes and digest are those of the full payload. Without ``payloads`` that
+    column is absent, and payloads that need no other record do not leave the task that has checked them.
     """
     kinds = _KINDS.format(id=key_type)
     number = str if key_type == "string" else int
@@ -198,7 +204,7 @@ def read_archives(archives: DataFrame, key: str = "page_id", key_type: str = "bi
                     for fields, block in records(read_file(folder, file)):
                         part = fields.get("WARC-Segment-Number")
                         if (part is not None) != segmented:
-                            continue
+                            raise ValueError(f"{file}: a record does not belong there")
                         if fields["WARC-Type"] == "continuation":
                             row = {"origin": fields["WARC-Segment-Origin-ID"], "segment": int(part), "total": cast_total(fields), "payload": block}
                         elif segmented:
@@ -208,8 +214,9 @@ def read_archives(archives: DataFrame, key: str = "page_id", key_type: str = "bi
                             row = _row(fields, None, cast) | {"payload_bytes": int(length[1])}
                         else:
                             row = _row(fields, message_payload(block), cast)
+                            row = row if payloads else row | {"payload": None}
                         rows.append(row)
-                        size += len(block)
+                        size += len(row.get("payload") or b"") + 500
                         if size > 4 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, size = [], 0
@@ -230,9 +237,10 @@ def read_archives(archives: DataFrame, key: str = "page_id", key_type: str = "bi
         payload = message_payload(block)
         if digest_of(payload) != parts[0]["payload_digest"]:
             raise ValueError(f"{parts[0]['origin']}: the payload does not have its digest")
-        return pa.Table.from_pylist([parts[0] | {"payload": payload, "payload_bytes": len(payload)}], schema)
+        return pa.Table.from_pylist([parts[0] | {"payload": payload if payloads else None, "payload_bytes": len(payload)}], schema)
 
     listed = archives.repartition(max(1, archives.count()), "file")
-    whole = listed.mapInArrow(parse(False), kinds)
-    joined = listed.mapInArrow(parse(True), kinds).groupBy("origin").applyInArrow(join, kinds)
-    return whole.unionByName(joined).drop("origin", "segment", "total").withColumnRenamed("page_id", key)
+    whole = listed.where("NOT segmented").mapInArrow(parse(False), kinds)
+    joined = listed.where("segmented").mapInArrow(parse(True), kinds).groupBy("origin").applyInArrow(join, kinds)
+    found = whole.unionByName(joined).drop("origin", "segment", "total", *([] if payloads else ["payload"]))
+    return found.withColumnRenamed("page_id", key)

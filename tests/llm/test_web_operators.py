@@ -41,6 +41,29 @@ def test_archives(spark, min_bytes):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_reading_takes_time_with_the_bytes(spark):
+    """32 MB of payload, the size at which files end, in records of 2,500 bytes."""
+    import time
+
+    rng = np.random.default_rng(0)
+    pages = [rng.integers(0, 256, 2500, np.uint8).tobytes() for _ in range(13_000)]
+    data = b"".join(x for i, p in enumerate(pages) for x in warc.page_records(i, None, p, warc.digest_of(p), None, False))
+    began = time.process_time()
+    blocks = [warc.message_payload(block) for _, block in warc.records(data)]
+    assert time.process_time() - began < 4
+    assert blocks == pages
+    with pytest.raises(ValueError):
+        list(warc.records(data[:-5]))
+
+
+def test_payloads_can_be_left_out(spark):
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "u", "b" * 300_000), (3, "u", "a")], "page_id long, url string, html string")
+    archives = warc.write_archives(pages)
+    assert sorted(r.segmented for r in archives.select("segmented").distinct().collect()) == [False, True]
+    whole, less = warc.read_archives(archives), warc.read_archives(archives, payloads=False)
+    assert "payload" not in less.columns and ordered(less.collect()) == ordered(whole.drop("payload").collect())
+
+
 def test_chunks():
     for payload in (b"", b"a", b"\r\n0\r\n\r\n" * 50):
         assert warc.unchunked(warc.chunked(payload, 7)) == payload
