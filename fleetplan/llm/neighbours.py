@@ -61,7 +61,10 @@ class Forest:
             if not going.any():
                 break
         for i in range(n):
-            yield np.unique(np.concatenate([self.order[t, low[t, i] : high[t, i]] for t in range(trees)]))
+            below = np.zeros(self.order.shape[1], bool)
+            for t in range(trees):
+                below[self.order[t, low[t, i] : high[t, i]]] = True
+            yield np.flatnonzero(below)
 
 
 def cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -71,6 +74,19 @@ def cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return dots / (np.sqrt(np.cumsum(query * query)[-1]) * np.sqrt(norms))
 
 
+def _leading(query: np.ndarray, vectors: np.ndarray, norms: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Those of the candidates ``at`` that can be among the nearest ``k``: by products in any order of terms, with a
+    margin far above their rounding. Where products leave the range of doubles, all of them."""
+    if len(at) <= k:
+        return at
+    with np.errstate(all="ignore"):
+        rough = vectors[at] @ query / norms[at]
+        margin = 1e-9 * np.sqrt(query @ query)
+    if not (np.isfinite(rough).all() and np.isfinite(margin)):
+        return at
+    return at[rough >= np.partition(rough, len(at) - k)[len(at) - k] - margin]
+
+
 def _usable(vector: Column) -> Column:
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return vector.isNotNull() & (F.size(vector) > 0) & ~bad & F.exists(vector, lambda x: x != 0)
@@ -102,9 +118,10 @@ def nearest(
                 continue
             ids, values = own.column("id").to_numpy(), matrix(own.column("v"), len(own))
             forest = Forest(values)
+            norms = np.sqrt(np.einsum("ij,ij->i", values, values))
             q_ids, q_values = ask.column("id").to_numpy(), matrix(ask.column("v"), len(ask))
             for i, at in enumerate(forest.candidates(q_values, enough)):
-                at = at[ids[at] != q_ids[i]]
+                at = _leading(q_values[i], values, norms, at[ids[at] != q_ids[i]], k)
                 score = cosines(q_values[i], values[at])
                 best = np.lexsort((ids[at], -score))[:k]
                 found["query_id"] += [int(q_ids[i])] * len(best)
