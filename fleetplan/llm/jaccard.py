@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetplan.llm.components import cells, components, roots, sorted_groups
-from fleetplan.llm.texts import ALNUM, LOWER_VALUES, blocks, short_batches, span_hashes, words
+from fleetplan.llm.texts import ALNUM, LOWER_VALUES, blocks, short_batches, span_hashes, word_hashes, words
 from fleetplan.session import stage
 
 #: Words of a shingle, and the least Jaccard similarity of a link.
@@ -56,7 +56,7 @@ def prefix_depth(similarity: float = SIMILARITY, recall: float = RECALL, trees:
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, length: int = SHINGLE) -> Iterator[np.ndarray]:
     """For each row the sorted different 64-bit hashes of its shingles."""
     starts, ends, first = words(data, offsets, ALNUM)
-    hashed = span_hashes(LOWER_VALUES[data], starts, ends)
+    hashed = word_hashes(LOWER_VALUES[data], starts, ends)
     at = np.arange(max(0, len(hashed) - length + 1))
     shingles = span_hashes(hashed, at, at + length)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):

@@ -13,7 +13,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from fleetplan.llm.texts import BYTE_VALUES, blocks, mix, span_hashes
+from fleetplan.llm.texts import BYTE_VALUES, blocks, mix, word_hashes
 
 #: Pre-tokens kept in a worker's table; a full table is emptied.
 WORKER_TABLE = 1_000_000
@@ -282,7 +282,7 @@ class ByteLevelEncoder(_Library):
             skip[odd] = True
             chosen &= ~skip[np.searchsorted(offsets, starts, "right") - 1]
         starts, ends = starts[chosen], ends[chosen]
-        return data, starts, ends, span_hashes(BYTE_VALUES[data], starts, ends), odd
+        return data, starts, ends, word_hashes(BYTE_VALUES[data], starts, ends), odd
 
 
 class WordEncoder(ByteLevelEncoder):
@@ -346,7 +346,7 @@ class PieceEncoder(Encoder):
             skip[odd] = True
             chosen = ~skip[np.searchsorted(offsets, starts, "right") - 1]
             starts, ends = starts[chosen], ends[chosen]
-        hashes = span_hashes(BYTE_VALUES[data], starts, ends)
+        hashes = word_hashes(BYTE_VALUES[data], starts, ends)
         head = np.zeros(n + 1, bool)
         head[heads] = True
         self._heads = head

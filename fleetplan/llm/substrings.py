@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetplan.llm.texts import BYTE_VALUES, blocks, short_batches, span_hashes, window_places, words
+from fleetplan.llm.texts import BYTE_VALUES, blocks, short_batches, span_hashes, window_places, word_hashes, words
 
 #: Words of a window.
 LENGTH = 13
@@ -52,7 +52,7 @@ def _windows(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     hashes, counts = [np.zeros(0, np.uint64)], []
     for _, _, data, offsets in blocks(table.column("text")):
         starts, ends, first = words(data, offsets)
-        hashes.append(span_hashes(BYTE_VALUES[data], starts, ends))
+        hashes.append(word_hashes(BYTE_VALUES[data], starts, ends))
         counts.append(np.diff(first))
     of_words = np.concatenate(hashes)
     first = np.concatenate([[0], np.cumsum(np.concatenate(counts))])

@@ -6,6 +6,7 @@ their hashes and hashes of word windows come from array operations, never from a
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,6 +87,19 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix(found)
 
 
+#: Longest span that a polynomial hash stands for. From 1,024 bytes on there are different spans whose polynomials are equal
+#: for any odd base.
+LONG_SPAN = 64
+
+
+def word_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes' values that do not overlap; long ones by BLAKE2."""
+    found = span_hashes(values, starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_SPAN).tolist():
+        found[i] = int.from_bytes(hashlib.blake2b(values[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return found
+
+
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of true places that do not cross a row's bounds."""
     n = len(inside)
