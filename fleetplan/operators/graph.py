@@ -58,7 +58,6 @@ def _forward_pass(nodes: DataFrame) -> DataFrame:
     body = F.struct("idx", "task_name", "duration", "deps", "dangling", "last_dep")
     groups = nodes.groupBy("wf_id").agg(F.sort_array(F.collect_list(body)).alias("queue"))
     node = f"struct<end:{VALUE},stuck:boolean,start:{VALUE}>"
-    state = f"struct<blocks:array<array<{node}>>,open:array<{node}>>"
 
     # Positions are usually dense from 0, so that the place in the array is the
     # position; in a document with gaps the places are looked up.
@@ -73,32 +72,35 @@ def _forward_pass(nodes: DataFrame) -> DataFrame:
         dense & ~repeats, F.transform("queue", lambda t: t.withField("deps", F.coalesce(t["deps"], no_deps)))
     ).otherwise(F.transform("queue", lambda t: t.withField("deps", places(F.coalesce(t["deps"], no_deps)))))
     groups = groups.withColumn("repeats", repeats).withColumn("queue", in_places)
-    start_of = F.struct(F.array().alias("blocks"), F.array().alias("open")).cast(state)
-
-    def step(done: Column, task: Column) -> Column:
-        full = F.size(done["blocks"]) * BLOCK
-        at = lambda p: F.when(p < full, F.get(F.get(done["blocks"], F.floor(p / BLOCK).cast("int")), p % BLOCK)).otherwise(F.get(done["open"], p - full))
-        earlier = F.filter(task["deps"], lambda p: p < full + F.size(done["open"]))
+    def step(blocks: Column, open_: Column, task: Column) -> Column:
+        full = F.size(blocks) * BLOCK
+        at = lambda p: F.when(p < full, F.get(F.get(blocks, F.floor(p / BLOCK).cast("int")), p % BLOCK)).otherwise(F.get(open_, p - full))
+        earlier = F.filter(task["deps"], lambda p: p < full + F.size(open_))
         found = F.transform(earlier, at)
         start = F.coalesce(F.array_max(F.transform(found, lambda d: d["end"])), F.lit(0).cast(VALUE))
         stuck = F.coalesce(task["dangling"], F.lit(False)) | F.exists(found, lambda d: d["stuck"])
         here = F.struct((start + task["duration"]).cast(VALUE).alias("end"), stuck.alias("stuck"), start.alias("start")).cast(node)
-        grown = F.concat(done["open"], F.array(here))
-        closed = F.struct(F.concat(done["blocks"], F.array(grown)).alias("blocks"), F.array().cast(f"array<{node}>").alias("open"))
-        kept = F.struct(done["blocks"].alias("blocks"), grown.alias("open"))
-        return F.when(F.size(done["open"]) == BLOCK - 1, closed).otherwise(kept)
+        return F.concat(open_, F.array(here))
+
+    # A step of ``aggregate`` copies its state. So tasks are folded block by block, the state of which is the block alone;
+    # what came before is copied once for each block.
+    last = F.floor((F.size("queue") - 1) / BLOCK).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("queue", i * BLOCK + 1, F.lit(BLOCK)))
+    none = F.array().cast(f"array<{node}>")
+    block = lambda blocks, tasks: F.concat(blocks, F.array(F.aggregate(tasks, none, lambda open_, task: step(blocks, open_, task))))
+    done = F.aggregate(cut, F.array().cast(f"array<array<{node}>>"), block, F.flatten)
 
     late = F.exists("queue", lambda t: F.coalesce(t["last_dep"] >= t["idx"], F.lit(False)))
-    all_done = lambda done: F.concat(F.flatten(done["blocks"]), done["open"])
-    # All of a workflow is worked out before the explode: beside it, an expression is evaluated for each task.
+    # All of a workflow is worked out before the explode: beside it, an expression is evaluated for each task. No array is
+    # empty; an inner explode would work everything out once more to see that.
     whole = groups.select(
         "wf_id",
         (~late).alias("in_order"),
         "repeats",
-        F.arrays_zip("queue", F.aggregate("queue", start_of, step, all_done).alias("done")).alias("all"),
+        F.arrays_zip("queue", done.alias("done")).alias("all"),
     )
     return (
-        whole.select("wf_id", "in_order", "repeats", F.explode("all").alias("t"))
+        whole.select("wf_id", "in_order", "repeats", F.explode_outer("all").alias("t"))
         .select(
             "wf_id",
             F.col("t.queue.idx").alias("idx"),
@@ -216,7 +218,7 @@ def _reasons_in_row(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     cycles = F.transform("above", lambda m, p: F.when(has(m, p), bit(p)).otherwise(F.lit(0).cast("bigint")))
     missing = F.transform("queue", lambda t, p: F.when(t["dangling"], bit(p)).otherwise(F.lit(0).cast("bigint")))
     rows = rows.withColumn("on_cycle", either(cycles)).withColumn("without", either(missing))
-    each = rows.select("wf_id", "on_cycle", "without", F.posexplode(F.arrays_zip("queue", "above")).alias("p", "t"))
+    each = rows.select("wf_id", "on_cycle", "without", F.posexplode_outer(F.arrays_zip("queue", "above")).alias("p", "t"))
     blocked = F.col("t.above").bitwiseOR(bit(F.col("p"))).bitwiseAND(F.col("on_cycle").bitwiseOR(F.col("without"))) != 0
     reason = F.when(has(F.col("on_cycle"), F.col("p")), "cycle").when(blocked, "blocked")
     return each.select("wf_id", F.col("t.queue.node").alias("node"), reason.alias("reason")).where("reason IS NOT NULL")

@@ -179,7 +179,7 @@ def _closed(nodes: DataFrame, arcs: DataFrame, cyclic: bool) -> DataFrame:
 
     done = F.aggregate(F.sequence(F.lit(1), F.size("queue")), start, sweep)["at"]
     solved = rows.select(_GRAPH, F.size("queue").alias("n"), F.arrays_zip("queue", done.alias("at")).alias("all"))
-    solved = solved.select(_GRAPH, "n", F.explode("all").alias("t"))
+    solved = solved.select(_GRAPH, "n", F.explode_outer("all").alias("t"))
     value = F.col("t.at.v")
     if cyclic:
         value = F.when(F.col("t.at.hops") >= F.col("n"), _endless()).otherwise(value)
