@@ -64,6 +64,7 @@ def nest_status(documents: DataFrame, status: DataFrame, phases: DataFrame, cond
     ``documents`` have wf_id; ``status`` has the tasks' phases, pods and sizes, ``phases`` the workflows'.
     Entries of tasks in ``started`` (with limits) get new allocations, all others keep theirs. The
     usage is that of the Running tasks; a Completed workflow has none, a Failed one keeps what it had.
+    New conditions follow each other by type.
     """
     sizes = ["cpu_request_m", "mem_request_mib", "cpu_limit_m", "mem_limit_mib"]
     rows = status.select(*TASK, "phase", "pod_name")
@@ -74,7 +75,7 @@ def nest_status(documents: DataFrame, status: DataFrame, phases: DataFrame, cond
         rows = rows.withColumn("new", F.lit(None).cast("struct<" + ",".join(f"{c}:bigint" for c in sizes) + ">"))
     entries = rows.groupBy("wf_id").agg(F.collect_list(F.struct("task_name", "phase", "pod_name", "new")).alias("__entries"))
     usage = resource_usage(status).select("wf_id", "used_cpu_m", "used_mem_mib")
-    updates = conditions.groupBy("wf_id").agg(F.collect_list(F.struct("type", "status", "reason", "message")).alias("__updates"))
+    updates = conditions.groupBy("wf_id").agg(F.sort_array(F.collect_list(F.struct("type", "status", "reason", "message"))).alias("__updates"))
     heads = phases.select("wf_id", F.col("phase").alias("__phase"))
     joined = documents.join(entries, "wf_id", "left").join(usage, "wf_id", "left").join(updates, "wf_id", "left").join(heads, "wf_id", "left")
 

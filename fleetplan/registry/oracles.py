@@ -676,6 +676,13 @@ SELECT wf_id, task_name, CASE WHEN n_samples > 0 THEN 'ml' ELSE method END AS me
 FROM predicted"""
 ORACLES["evaluate_r2_floor"] = """
 SELECT UNNEST(['actual_cpu_m', 'actual_mem_mib', 'duration_s', 'mean']) AS target, TRUE AS most_explained"""
+ORACLES["forest_on_history"] = """
+SELECT target, COUNT(*) AS n_held_out, TRUE AS no_worse_than_mean
+FROM wf_executions e JOIN rolling r ON r.image = e.image AND r.completed_at = e.completed_at,
+     (SELECT UNNEST(['actual_cpu_m', 'actual_mem_mib', 'duration_s', 'mean']) AS target) t
+WHERE e.succeeded AND r.n_samples > 0
+  AND CAST('0x' || SUBSTR(SHA256('42|' || workflow_name || '|' || task_name || '|' || e.image || '|' || epoch_us(e.completed_at)), 1, 8) AS BIGINT) % 100 >= 80
+GROUP BY target"""
 # Three cycles over the documents: t0 always fits, t1 unless it wants 1.5 cores of one.
 VIEWS["cycled"] = """
 SELECT *, n > 0 AND key % 3 = 0 AND n > 1 AND NOT ((key + 1) % 5 = 2 AND key % 4 = 0) AS next_runs,

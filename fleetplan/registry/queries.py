@@ -645,6 +645,21 @@ def evaluate_r2_floor(f: Fleet) -> DataFrame:
     return model.evaluate_r2(*_trained(f)).select("target", (F.col("r2") > 0.5).alias("most_explained"))
 
 
+@query
+def forest_on_history(f: Fleet) -> DataFrame:
+    """A forest fitted on the fleet's own runs, each with the statistics its image had at that time, and judged on runs
+    held out: it is no worse than the mean of these."""
+
+    def build():
+        train, test = model.split_train_test(stage(model.training_set(f.executions), "training-set"))
+        return model.train_forest(train, trees=20, depth=6), test
+
+    forest, test = f.once("history-forest", build)
+    scores = model.evaluate_r2(forest, test)
+    held_out = F.lit(test.count())
+    return scores.select("target", held_out.alias("n_held_out"), (F.col("r2") > -0.05).alias("no_worse_than_mean"))
+
+
 # Ordered reads
 
 
