@@ -1,12 +1,14 @@
-"""Similarity join of texts by word n-grams: MinHash banding of one depth, then exact verification.
+"""Similarity join of texts by word n-grams: a forest of MinHash strings, then exact verification.
 
 1. A text becomes the set of its shingles (five words; A-Z lower-cased, punctuation dropped; a text of one to
    four words is one shingle). Texts with equal sets are one class, represented once.
-2. A set's signature is cut into trees, each a string of MinHash digits. Sets meet if the prefixes of some tree
-   have equal hashes. The prefix has one depth, computed from the threshold and the target recall and not from
-   the data (``prefix_depth``); the digits after it serve step 3 alone.
-3. Sets below one prefix are compared by whole signatures, which drops nearly all chance meetings without
-   dropping a pair at the threshold (5 standard deviations are allowed). What is left links sets into groups.
+2. A set's signature is cut into trees, each a string of MinHash digits. The strings of a tree are stored in their
+   order: a trie, whose nodes of a depth are the runs of equal prefixes. Sets that share a whole string meet first.
+3. Sets that meet are compared by whole signatures, which drops nearly all chance meetings without
+   dropping a pair at the threshold (5 standard deviations are allowed). Pairs that pass are links, and tell how
+   many links there are like them: one of similarity s is found at depth d with chance 1 - (1 - s^d)^trees. While the
+   share found is below the target, the matched prefix is shortened by one digit, and trie nodes that have grown
+   by that are compared too. Links join sets into groups.
 4. Inside a group all pairs are verified on their full shingle sets.
 
 A group that is too large for a task is dealt into blocks, and each pair of blocks is compared in a task of its own; only
@@ -47,12 +49,17 @@ _TIMES = _DRAW.integers(0, 1 << 63, _DIGITS, np.uint64) * np.uint64(2) + np.uint
 
 
 def prefix_depth(similarity: float = SIMILARITY, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix at which two sets of this similarity meet in some tree with the target recall."""
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
+    """The longest prefix that finds the target share of the pairs of this similarity, and more of those above: no shorter one is ever needed."""
+    while depth > 1 and found_share(similarity, depth, trees) < recall:
         depth -= 1
     return depth
 
 
+def found_share(similarity, depth: int, trees: int = TREES):
+    """The chance that two sets of this similarity share a prefix of this depth in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, length: int = SHINGLE) -> Iterator[np.ndarray]:
     """For each row the sorted different 64-bit hashes of its shingles."""
     starts, ends, first = words(data, offsets, ALNUM)
@@ -101,17 +108,46 @@ def _sketches(documents: DataFrame) -> DataFrame:
     return documents.mapInArrow(run, f"id {documents.schema['id'].dataType.simpleString()}, tag bigint, set binary, n bigint, sign binary")
 
 
+def _forest(sets: DataFrame) -> DataFrame:
+    """Stored: the strings of all trees, (tree, label, node), in order of tree and label."""
+    label = f"substring(sign, {2 * DEPTH} * t + 1, {2 * DEPTH})"
+    strings = sets.select("node", F.inline(F.expr(f"transform(sequence(0, {TREES - 1}), t -> struct(t AS tree, {label} AS label))")))
+    # with the node, so that a label that many sets share is dealt to several tasks
+    ordered = strings.select("tree", "label", "node").repartitionByRange("tree", "label", "node")
+    return stage(ordered.sortWithinPartitions("tree", "label", "node"), "forest")
+
+
+def _level(forest: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """The sets below each trie node of a depth, (node, bucket), and the different nodes with two or more."""
+    below = forest.select("node", F.xxhash64("tree", F.substring("label", 1, 2 * depth)).alias("bucket"))
+    nodes = below.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("head"), F.bit_xor(F.xxhash64("node")).alias("who")).where("members > 1")
+    # the same sets meet below many nodes: one of those is enough
+    return below, nodes.groupBy("members", "head", "who").agg(F.min("bucket").alias("bucket"))
+
+
 def _candidate_links(sets: DataFrame, similarity: float, recall: float) -> DataFrame:
     """Links (a, b) that join all sets which may be similar into one group."""
-    depth = prefix_depth(similarity, recall)
-    prefixes = sets.select(
-        "node",
-        F.explode(F.expr(f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(sign, {2 * DEPTH} * t + 1, {2 * depth})))")).alias("bucket"),
-    )
-    buckets = prefixes.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("head"), F.bit_xor(F.xxhash64("node")).alias("who")).where("members > 1")
-    # the same sets meet below many prefixes: one of those is enough
-    buckets = buckets.groupBy("members", "head", "who").agg(F.min("bucket").alias("bucket")).select("bucket", "members")
-    members = cells(prefixes.join(buckets, "bucket"), "bucket", "node", "members", SIGNATURE_BLOCK)
+    forest = _forest(sets)
+    links = None
+    for depth in range(DEPTH, prefix_depth(similarity, recall) - 1, -1):
+        below, nodes = _level(forest, depth)
+        if depth < DEPTH:  # what has not grown since was compared one digit before
+            nodes = nodes.join(_level(forest, depth + 1)[1].drop("bucket"), ["members", "head", "who"], "left_anti")
+        met = stage(_compared(sets, below.join(nodes.select("bucket", "members"), "bucket"), similarity, depth), f"met-{depth}")
+        found = met.where("a IS NOT NULL").select("a", "b")
+        links = found if links is None else links.unionByName(found)
+        # of all links like those met at this depth, the share that it finds
+        seen = met.agg(F.sum("found").alias("found"), F.sum("like").alias("like")).first()
+        if seen["like"] and seen["found"] >= recall * seen["like"]:
+            break
+    return links
+
+
+def _compared(sets: DataFrame, meetings: DataFrame, similarity: float, depth: int) -> DataFrame:
+    """Links (a, b) of sets that meet in (node, bucket, members) and have like signatures. A row without link
+    has sums over the pairs of a cell: ``found``, pairs by the share of their meetings that lies there, and ``like``,
+    the number of pairs that these stand for."""
+    members = cells(meetings, "bucket", "node", "members", SIGNATURE_BLOCK)
     rows = members.select("cell", "side", "node").join(sets.select("node", "n", "sign"), "node").select("cell", "side", "node", "n", "sign")
     # five standard deviations of the share of equal digits below the threshold
     least = similarity - 5 * (similarity * (1 - similarity) / _DIGITS) ** 0.5
@@ -124,18 +160,36 @@ def _candidate_links(sets: DataFrame, similarity: float, recall: float) -> DataF
             side, node, n = (group.column(i).to_numpy() for i in (1, 2, 3))
             signs = np.frombuffer(b"".join(group.column(4).to_pylist()), np.uint16).reshape(m, _DIGITS)
             linked = np.zeros((m, m), bool)
+            found = like = 0.0
             for i in range(m - 1):
-                near = (signs[i + 1 :] == signs[i]).sum(1) >= least * _DIGITS
+                same = signs[i + 1 :] == signs[i]
+                equal = same.sum(1)
+                near = equal >= least * _DIGITS
                 near &= np.minimum(n[i + 1 :], n[i]) >= similarity * np.maximum(n[i + 1 :], n[i]) - 1e-9
+                near &= (side[i] < 0) | (side[i + 1 :] != side[i])
                 linked[i, i + 1 :] = near
-            linked &= (side[:, None] < 0) | (side[:, None] != side[None, :])
+                if near.any():
+                    # a pair is met once for each tree in which its prefixes agree
+                    met = same[near].reshape(-1, TREES, DEPTH)[:, :, :depth].all(2).sum(1)
+                    share = 1 / np.maximum(met, 1)
+                    found += share.sum()
+                    like += (share / found_share(np.maximum(equal[near] / _DIGITS, similarity), depth)).sum()
             linked |= linked.T
             root = roots(linked)
             tied = np.flatnonzero(root != np.arange(m))
-            if len(tied):
-                yield pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(node[root[tied]])], names=["a", "b"])
-
-    return _by_cell(rows).mapInArrow(compare, "a bigint, b bigint")
+            links = len(tied)
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([*node[tied].tolist(), None], pa.int64()),
+                        pa.array([*node[root[tied]].tolist(), None], pa.int64()),
+                        pa.array([0.0] * links + [found]),
+                        pa.array([0.0] * links + [like]),
+                    ],
+                    names=["a", "b", "found", "like"],
+                )
+
+    return _by_cell(rows).mapInArrow(compare, "a bigint, b bigint, found double, like double")
 
 
 def _by_cell(rows: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 import pytest
 from plain import classes, clashing, decontaminated, ordered, texts, without_repeats
 
+from pyspark.sql import functions as F
+
 from fleetplan.llm import components, decontaminate, jaccard, substrings
 from fleetplan.llm.automaton import remove_known
 
@@ -150,3 +152,39 @@ def test_suffix_automata(spark, docs, rows, monkeypatch):
 
 def plain_words(text):
     return (text or "").split()
+
+
+def near_pairs(swaps, pairs=120):
+    """Pairs of texts of 200 words that differ in some words, each of which changes five shingles."""
+    out = []
+    for p in range(pairs):
+        words = [f"p{p}w{i}" for i in range(200)]
+        other = [w if i % (200 // swaps) != 7 else f"x{w}" for i, w in enumerate(words)]
+        out += [(2 * p, " ".join(words)), (2 * p + 1, " ".join(other))]
+    return out
+
+
+@pytest.mark.parametrize("swaps, depths", [(1, [6]), (4, [6, 5])])
+def test_forest_shortens_where_the_data_ask(spark, swaps, depths, monkeypatch):
+    """Pairs far above the threshold are found by whole strings; pairs at it ask for a shorter prefix. None is lost."""
+    seen = []
+    compared = jaccard._compared
+    monkeypatch.setattr(jaccard, "_compared", lambda *args: seen.append(args[3]) or compared(*args))
+    rows = near_pairs(swaps)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.similar_documents(docs).collect()}
+    assert seen == depths
+    assert found == {key: (key - key % 2, 1) for key, _ in rows}
+
+
+def test_forest_estimate_counts_each_pair_once(spark):
+    """The sum over all meetings of a pair is one, in however many trees it meets."""
+    rows = near_pairs(1, 50)
+    sets = jaccard._sketches(spark.createDataFrame(rows, "id long, text string").selectExpr("id", "text", "id AS tag"))
+    sets = sets.withColumn("node", F.col("id"))
+    below, nodes = jaccard._level(jaccard._forest(sets), 6)
+    every = below.join(below.groupBy("bucket").count().where("count > 1").withColumnRenamed("count", "members"), "bucket")
+    met = jaccard._compared(sets, every, 0.8, 6)
+    total = met.agg(F.sum("found").alias("found"), F.sum("like").alias("like")).first()
+    assert abs(total["found"] - 50) < 1e-6 and 50 <= total["like"] < 50.01
+    assert nodes.count() <= 50
