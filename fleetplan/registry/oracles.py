@@ -629,6 +629,9 @@ SELECT wf_id, task_name, phase, phase, 0 FROM wf_status s
 WHERE NOT EXISTS (SELECT 1 FROM wf_pod_events e WHERE e.wf_id = s.wf_id AND e.task_name = s.task_name)""",
     "task_phase_stream": """
 SELECT wf_id, task_name, phase, epoch_us(COALESCE(ended, started)) AS changed_us
+FROM fresh_final""",
+    "task_phase_stream_rolling": """
+SELECT wf_id, task_name, phase, epoch_us(COALESCE(ended, started)) AS changed_us
 FROM fresh_final""",
     "task_phase_stream_text_ids": """
 SELECT 'ns/wf-' || wf_id AS wf_id, task_name, phase, epoch_us(COALESCE(ended, started)) AS changed_us

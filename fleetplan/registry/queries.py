@@ -20,11 +20,12 @@ from fleetplan.functions import (
 from fleetplan.functions.frames import micros
 from fleetplan.operators import graph, history, model, predict, profile, status, tasks
 from fleetplan.plans import admission, cycle, reconcile
+from datetime import timedelta
 from fleetplan.registry.fleet import AS_OF, Fleet, fleet
 from fleetplan.session import shared_dir, stage
 from fleetplan.sources import history as history_source
 from fleetplan.sources import manifests, synthetic
-from fleetplan.streaming import events, phases, planner
+from fleetplan.streaming import events, phases, planner, rolling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -728,6 +729,21 @@ def task_phase_stream_text_ids(f: Fleet) -> DataFrame:
     return current.select("wf_id", "task_name", "phase", F.unix_micros("changed_at").alias("changed_us"))
 
 
+@query
+def task_phase_stream_rolling(f: Fleet) -> DataFrame:
+    """The events arrive in eight stretches of time, one micro-batch each; tasks leave the state two weeks after their end."""
+    given, path, offsets = new_path(f, "pod-events"), new_path(f, "phases"), new_path(f, "offsets")
+    table = rolling.RollingPhaseTable(f.spark, path, keep=timedelta(days=14), buckets=3)
+    first, last = f.pod_events.agg(F.min("ts"), F.max("ts")).first()
+    step = (last - first) / 8 if first else timedelta(0)
+    stretch = F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(first))) / F.lit(max(1, step // timedelta(microseconds=1))))
+    for n in range(8):
+        f.pod_events.where(F.least(stretch, F.lit(7)) == n).write.mode("append").parquet(given)
+        stream = f.spark.readStream.schema(f.pod_events.schema).parquet(given)
+        phases.task_phase_stream(stream, path, offsets, table=table).awaitTermination()
+    return table.states().select("wf_id", "task_name", "phase", F.unix_micros("changed_at").alias("changed_us"))
+
+
 @query
 def metrics_stream(f: Fleet) -> DataFrame:
     path = new_path(f, "history")

@@ -77,6 +77,12 @@ def clear_staged(spark: SparkSession) -> None:
     files.delete(path, True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a table that replaces its own parts."""
+    files, target = _file_system(spark, path)
+    files.delete(target, True)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     files, target = _file_system(spark, path)
     return files.exists(target)
