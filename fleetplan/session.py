@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +84,40 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(target, True)
 
 
+def create_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a file with this text, unless there is one: False then. The text is written beside and takes its
+    name in one step that never replaces a file, so of several writers one succeeds and no reader sees half of it."""
+    files, target = _file_system(spark, path)
+    files.mkdirs(target.getParent())
+    jvm = spark.sparkContext._jvm
+    _, draft = _file_system(spark, f"{target.getParent()}/.draft-{uuid.uuid4().hex}")
+    out = files.create(draft, False)
+    out.write(text.encode())
+    out.close()
+    fs = jvm.org.apache.hadoop.fs
+    context = fs.FileContext.getFileContext(files.makeQualified(target).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    keep = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+    keep[0] = getattr(fs, "Options$Rename").NONE
+    try:
+        context.rename(draft, target, keep)
+        return True
+    except Py4JJavaError as error:
+        files.delete(draft, False)
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    files, target = _file_system(spark, path)
+    stream = files.open(target)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     files, target = _file_system(spark, path)
     return files.exists(target)
