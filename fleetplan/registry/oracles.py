@@ -391,6 +391,13 @@ FROM docs d""",
 SELECT namespace, name,
        CASE WHEN o_orderstatus = 'F' THEN goal WHEN o_orderpriority = '1-URGENT' THEN 'second' ELSE 'first' END AS goal,
        n_tasks, CASE WHEN o_orderstatus <> 'O' THEN 'Running' END AS phase
+FROM docs""",
+    "document_versions": """
+SELECT namespace, name,
+       CASE WHEN o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' THEN 'late' ELSE goal END AS goal,
+       CASE WHEN o_orderstatus <> 'O' THEN 'Running' END AS phase,
+       CAST(CASE WHEN o_orderstatus <> 'O' THEN 2 WHEN o_orderpriority = '1-URGENT' THEN 3 ELSE 1 END AS BIGINT) AS resource_version,
+       o_orderstatus <> 'O' AND o_orderpriority = '1-URGENT' AS refused
 FROM docs""",
     "delete_cascade": """
 SELECT 'workflow' AS kind, namespace, name FROM docs WHERE o_orderpriority <> '1-URGENT'

@@ -24,7 +24,7 @@ from datetime import timedelta
 from fleetplan.registry.fleet import AS_OF, Fleet, fleet
 from fleetplan.session import shared_dir, stage
 from fleetplan.sources import history as history_source
-from fleetplan.sources import manifests, synthetic
+from fleetplan.sources import documents, manifests, synthetic
 from fleetplan.streaming import events, phases, planner, rolling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,29 @@ def upsert_manifests(f: Fleet) -> DataFrame:
     )
 
 
+@query
+def document_versions(f: Fleet) -> DataFrame:
+    """Two writers read the first version of each document: the status writer is first, so the spec writer is refused
+    where both write one."""
+    table = documents.DocumentTable(f.spark, new_path(f, "document-table"))
+    docs = f.manifests.withColumn("resource_version", F.lit(None).cast("bigint"))
+    table.write(docs, "spec")
+    seen = docs.withColumn("resource_version", F.lit(1))
+    running = F.from_json(F.lit('{"phase": "Running"}'), S.STATUS)
+    table.write(seen.where(F.col("o_orderstatus") != "O").withColumn("status", running), "status")
+    late = F.col("spec").withField("optimizationGoal", F.lit("late"))
+    refused = table.write(seen.where(F.col("o_orderpriority") == "1-URGENT").withColumn("spec", late), "spec")
+    refused = refused.select("namespace", "name", F.lit(True).alias("refused"))
+    return table.read().join(refused, ["namespace", "name"], "left").select(
+        "namespace",
+        "name",
+        F.col("spec.optimizationGoal").alias("goal"),
+        F.col("status.phase").alias("phase"),
+        "resource_version",
+        F.coalesce("refused", F.lit(False)).alias("refused"),
+    )
+
+
 @query
 def delete_cascade(f: Fleet) -> DataFrame:
     urgent = f.manifests.where(F.col("o_orderpriority") == "1-URGENT")

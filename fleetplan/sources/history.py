@@ -16,6 +16,9 @@ from fleetplan.functions.frames import instant
 from fleetplan.operators.history import recent
 from fleetplan.session import path_exists
 
+#: Columns that readers look up by value.
+INDEXED = ("image", "workflow_name", "task_name")
+
 # The history table as stored: execution columns plus the partition columns.
 _STORED = T.StructType(
     [
@@ -132,6 +135,9 @@ def append_history(executions: DataFrame, path: str, batch: str | None = None) -
     Rows are range-partitioned by time and name into ``spark.sql.shuffle.partitions``
     equal parts: a day goes to few files, a hot day to as many tasks as its share
     of the rows, and each file covers a short stretch of time.
+
+    Files carry Bloom filters of the columns that readers look up (``INDEXED``): a reader of one
+    image, or of one task of a workflow, skips the row groups that do not hold it.
     """
     rows = executions.withColumns(
         {"completed_date": F.to_date("completed_at"), "batch": F.lit(batch or uuid.uuid4().hex)}
@@ -142,6 +148,10 @@ def append_history(executions: DataFrame, path: str, batch: str | None = None) -
         writer = writer.mode("append")
     else:
         writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    # as large as the different values of a row group ask
+    writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
+    for column in INDEXED:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
     writer.partitionBy("completed_date", "batch").parquet(path)
 
 

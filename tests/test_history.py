@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetplan import schemas as S
 from fleetplan.operators.history import (
     enrich_with_history,
+    executions_of,
     image_history,
     recent_executions,
     rolling_image_history,
@@ -127,3 +129,34 @@ def test_recent_is_newest_first(spark):
     top = recent_executions(df, 2)
     assert [r.workflow_name for r in top.collect()] == ["w1", "w2"]
     assert "TakeOrdered" in top._jdf.queryExecution().executedPlan().toString()
+
+
+def rows_read(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaf = plan.collectLeaves().head()
+    return leaf.metrics().apply("numOutputRows").value()
+
+
+def test_lookups_skip_the_files_of_other_keys(spark, tmp_path):
+    """Each batch has every range of names, so that only the filters in the files tell where a key is."""
+    path = str(tmp_path / "history")
+    at = dt.datetime(2024, 1, 1)
+    for part in range(6):
+        rows = [(f"wf-{i:05d}", "t0", f"img-{i:05d}", 1, 1, 1.0, True, at) for i in range(part, 6000, 6)]
+        source.append_history(spark.createDataFrame(rows, S.EXECUTION).coalesce(1), path, f"b{part}")
+    files = [os.path.join(d, x) for d, _, names in os.walk(path) for x in names if x.endswith(".parquet")]
+    assert all(os.path.getsize(x) < 200_000 for x in files)
+    spark.conf.set("parquet.filter.dictionary.enabled", "false")
+    try:
+        stored = spark.read.parquet(path)
+        read = rows_read(executions_of(stored, "wf-03333", "t0"))
+        image = rows_read(stored.where(F.col("image") == "img-00017"))
+        spark.conf.set("parquet.filter.bloom.enabled", "false")
+        without = rows_read(executions_of(spark.read.parquet(path), "wf-03333", "t0"))
+    finally:
+        spark.conf.unset("parquet.filter.bloom.enabled")
+        spark.conf.unset("parquet.filter.dictionary.enabled")
+    # one of 24 files; by the ranges of names alone it would be six
+    assert read <= 300 and image <= 300 and without >= 1200
+    assert executions_of(stored, "wf-03333", "t0").count() == 1
