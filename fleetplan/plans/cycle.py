@@ -29,6 +29,8 @@ def plan_cycle(
     days: int = S.HISTORY_DAYS,
     min_samples: int = 1,
     max_fold: int = MAX_FOLD_TASKS,
+    ready: DataFrame | None = None,
+    statistics: DataFrame | None = None,
 ) -> DataFrame:
     """Which ready tasks of the Running workflows start now, and at what size.
 
@@ -36,6 +38,9 @@ def plan_cycle(
     ``none``; by default ``history`` for the remote dialect and ``baseline`` for
     the local one. Predictions are row-level once the image statistics are
     attached, so they are computed for ready tasks only and need no join back.
+
+    Who keeps the names of the ready tasks, or the image statistics, gives them as ``ready`` (wf_id, task_name) and
+    ``statistics``; edges, or executions, are not read then.
     """
     if dialect not in DIALECTS:
         raise ValueError(f"dialect must be one of {DIALECTS}")
@@ -50,9 +55,13 @@ def plan_cycle(
     needed = tasks.select(
         "wf_id", "idx", "task_name", "image", "hint_cpu_m", "hint_mem_mib", *optional
     )
-    rows = ready_tasks(only(needed), only(edges), only(status)).join(running, "wf_id")
+    if ready is None:
+        rows = ready_tasks(only(needed), only(edges), only(status))
+    else:
+        rows = needed.join(only(ready), TASK, "left_semi")
+    rows = rows.join(running, "wf_id")
     if predictor == "history":
-        history = image_history(executions, as_of, days)
+        history = image_history(executions, as_of, days) if statistics is None else statistics
         rows = with_prediction(enrich_with_history(rows, history), model, min_samples)
         rows = rows.withColumn("predicted", F.lit(True))
     elif predictor == "baseline" and dialect == "remote":

@@ -361,6 +361,13 @@ def _noisy(base: str, noise: float, draw: int, floor: int) -> str:
     return f"ROUND(GREATEST(CAST({floor} AS DOUBLE), CAST({base} AS DOUBLE) * (1 + {noise} * {normal})) + 1e-9, 6)"
 
 
+VIEWS["after_events"] = """
+SELECT wf_id, task_name, phase FROM stored_final
+UNION ALL SELECT wf_id, task_name, phase FROM wf_status s
+WHERE NOT EXISTS (SELECT 1 FROM wf_pod_events e WHERE e.wf_id = s.wf_id AND e.task_name = s.task_name)
+"""
+
+
 def sql(body: str) -> str:
     """``body`` with the views it needs in front."""
     needed: set[str] = set()
@@ -724,6 +731,14 @@ _CHANGED = "SELECT p.* FROM run_remote_plan p WHERE p.wf_id IN (SELECT wf_id FRO
 ORACLES["plan_changed"] = _CHANGED
 ORACLES["plan_stream"] = _CHANGED
 ORACLES["plan_stream_again"] = _CHANGED
+ORACLES["plan_changed_kept"] = _CHANGED
+ORACLES["image_history_cells"] = ORACLES["image_history"]
+ORACLES["ready_stream"] = """
+SELECT DISTINCT t.wf_id, t.task_name FROM wf_tasks t
+LEFT JOIN after_events p ON p.wf_id = t.wf_id AND p.task_name = t.task_name
+WHERE COALESCE(p.phase, 'Pending') = 'Pending' AND NOT EXISTS (
+  SELECT 1 FROM wf_deps d LEFT JOIN after_events a ON a.wf_id = d.wf_id AND a.task_name = d.dep
+  WHERE d.wf_id = t.wf_id AND d.task_name = t.task_name AND COALESCE(a.phase, 'Pending') <> 'Succeeded')"""
 
 
 def oracle_sql() -> dict[str, str]:

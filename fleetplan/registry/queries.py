@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from fleetplan.registry.fleet import AS_OF, Fleet, fleet
 from fleetplan.session import shared_dir, stage
 from fleetplan.sources import history as history_source
 from fleetplan.sources import documents, manifests, synthetic
-from fleetplan.streaming import events, phases, planner, rolling
+from fleetplan.streaming import cells, events, phases, planner, rolling, wakeups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -825,6 +826,59 @@ def plan_stream_again(f: Fleet) -> DataFrame:
     return f.spark.read.parquet(path).select(*admission.PLAN)
 
 
+def _by_time(rows: DataFrame, column: str, n: int) -> list[DataFrame]:
+    """The rows in ``n`` equal stretches of time; rows without a time come last."""
+    first, last = rows.agg(F.min(column), F.max(column)).first()
+    step = (last - first) / n if first else timedelta(0)
+    stretch = F.floor((F.unix_micros(column) - F.unix_micros(F.lit(first))) / F.lit(max(1, step // timedelta(microseconds=1))))
+    return [rows.where(F.coalesce(F.least(stretch, F.lit(n - 1)), F.lit(n - 1)) == i) for i in range(n)]
+
+
+def _cells(f: Fleet) -> cells.CellTable:
+    """Image statistics of the executions, which arrive in six stretches of time; the clock stands still, so that
+    only what has left the last window is dropped."""
+
+    def build():
+        table = cells.CellTable(f.spark, new_path(f, "cells"), buckets=4)
+        for n, part in enumerate(_by_time(stage(f.executions, "executions"), "completed_at", 6)):
+            table.write(part, n, AS_OF)
+        return table
+
+    return f.once("cells", build)
+
+
+@query
+def image_history_cells(f: Fleet) -> DataFrame:
+    """Image statistics from kept cells; of the history only the window's first and last hour are read."""
+    kept = _cells(f).history(f.spark.read.parquet(f.history_path), AS_OF)
+    return kept.select("image", six("hist_cpu_m"), six("hist_mem_mib"), six("hist_duration_s"), "n_samples")
+
+
+@query
+def ready_stream(f: Fleet) -> DataFrame:
+    """The ready tasks after the pod events, which arrive in four stretches of time on top of the stored statuses."""
+    table, given, offsets = wakeups.WakeTable(f.spark, new_path(f, "counters"), buckets=3), new_path(f, "pod-events"), new_path(f, "offsets")
+    table.load(f.tasks, f.edges, f.status)
+    for part in _by_time(f.pod_events, "ts", 4):
+        part.write.mode("append").parquet(given)
+        stream = f.spark.readStream.schema(f.pod_events.schema).parquet(given)
+        wakeups.wake_stream(stream, table, offsets).awaitTermination()
+    return table.ready()
+
+
+@query
+def plan_changed_kept(f: Fleet) -> DataFrame:
+    """The cycle of the changed workflows on kept counters and kept image statistics: no edges, two hours of history."""
+    table = wakeups.WakeTable(f.spark, new_path(f, "counters"), buckets=3)
+    table.load(f.tasks, f.edges, f.status)
+    kept = replace(
+        _plan_tables(f),
+        ready=table.ready,
+        statistics=lambda as_of: _cells(f).history(f.spark.read.parquet(f.history_path), as_of),
+    )
+    return planner.plan_changed(f.pod_events, kept, AS_OF)
+
+
 @query
 def event_log(f: Fleet) -> DataFrame:
     """Every kind of event: document seen, task started, refused or ended,

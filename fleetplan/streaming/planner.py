@@ -13,6 +13,7 @@ from fleetplan import schemas as S
 from fleetplan.functions import pod_name
 from fleetplan.plans.cycle import plan_cycle
 from fleetplan.sources.history import append_history
+from fleetplan.streaming.cells import CellTable
 from fleetplan.streaming.events import event_log
 from fleetplan.streaming.phases import ChangeTable, _started, task_phase_stream, transitions
 
@@ -20,13 +21,19 @@ from fleetplan.streaming.phases import ChangeTable, _started, task_phase_stream,
 @dataclass
 class PlanTables:
     """Readers of the tables a planning cycle needs, called once per batch so
-    that each cycle sees their present state."""
+    that each cycle sees their present state.
+
+    ``ready`` reads kept names of ready tasks (``streaming.wakeups``), ``statistics`` kept image statistics at a
+    clock (``streaming.cells``). With them a cycle reads neither the edges nor the history of the fleet.
+    """
 
     tasks: Callable[[], DataFrame]
     edges: Callable[[], DataFrame]
     status: Callable[[], DataFrame]
     limits: Callable[[], DataFrame]
     executions: Callable[[], DataFrame]
+    ready: Callable[[], DataFrame] | None = None
+    statistics: Callable[[object], DataFrame] | None = None
 
 
 class StartTable(ChangeTable):
@@ -65,6 +72,8 @@ def plan_changed(changed: DataFrame, tables: PlanTables, as_of, **options) -> Da
         only(tables.limits()),
         tables.executions(),
         as_of,
+        ready=None if tables.ready is None else only(tables.ready()),
+        statistics=None if tables.statistics is None else tables.statistics(as_of),
         **options,
     )
 
@@ -95,6 +104,8 @@ def plan_stream(
         ids = rows.select("wf_id").distinct()
         started = starts.current(batch).join(ids, "wf_id", "left_semi")
         seen = replace(tables, status=lambda: with_started(tables.status(), started))
+        if tables.ready is not None:
+            seen = replace(seen, ready=lambda: tables.ready().join(started, ["wf_id", "task_name"], "left_anti"))
         plan_changed(rows, seen, clock(batch), **options).write.mode("overwrite").parquet(f"{path}/batch={batch}")
         plan = spark.read.parquet(f"{path}/batch={batch}")
         last = F.max_by(F.struct("cpu_request_m", "mem_request_mib"), "admit_seq").alias("p")
@@ -108,10 +119,12 @@ def success_rows(folded: DataFrame, status: DataFrame, tasks: DataFrame) -> Data
     """History rows of the tasks that succeeded, with requested sizes as usage."""
     task = ["wf_id", "task_name"]
     done = folded.where((F.col("phase") == S.SUCCEEDED) & (F.col("before") != S.SUCCEEDED))
-    sizes = status.select(*task, "alloc_cpu_m", "alloc_mem_mib")
+    # cut down to the tasks of the batch before anything is grouped
+    only = lambda df: df.join(done.select(*task), task, "left_semi")
+    sizes = only(status).select(*task, "alloc_cpu_m", "alloc_mem_mib")
     # of a repeated name the first in the document counts
     first = F.min_by(F.struct("workflow_name", "image"), F.col("idx"))
-    names = tasks.groupBy(*task).agg(first.alias("t")).select(*task, "t.*")
+    names = only(tasks).groupBy(*task).agg(first.alias("t")).select(*task, "t.*")
     seconds = (F.unix_micros("ended_at") - F.unix_micros("started_at")) / F.lit(1e6)
     return (
         done.join(names, task)
@@ -138,16 +151,24 @@ def metrics_stream(
     tasks: Callable[[], DataFrame],
     interval: str | None = None,
     label: str = "stream",
+    cells: CellTable | None = None,
+    clock: Callable[[int], object] | None = None,
 ) -> StreamingQuery:
     """Track phases and append each success to the history table, exactly once.
 
     A micro-batch writes under its own name, ``label`` and number; running it
     again after a failure replaces its rows. Streams that share a history table
-    need different labels.
+    need different labels. With ``cells`` the image statistics follow the history; ``clock`` then gives the time of
+    a batch.
     """
+    if cells is not None and clock is None:
+        raise ValueError("cells need a clock")
 
     def append(folded: DataFrame, batch: int) -> None:
-        append_history(success_rows(folded, status(), tasks()), history_path, f"{label}-{batch}")
+        rows = success_rows(folded, status(), tasks())
+        append_history(rows, history_path, f"{label}-{batch}")
+        if cells is not None:
+            cells.write(rows, batch, clock(batch))
 
     return task_phase_stream(pod_events, table_path, checkpoint, interval, append)
 

@@ -26,19 +26,21 @@ from fleetplan.session import numbered_folders, path_exists, remove
 from fleetplan.streaming.phases import TASK, PhaseTable
 
 BUCKETS = 16
+#: Before all batches.
+NEVER = -(2**31)
 
 
-class RollingPhaseTable(PhaseTable):
-    """Phases of the tasks that have not ended, or not long ago."""
+class Rolled:
+    """Folders of a table that is rolled bucket by bucket: changes by batch, and the last base of each bucket.
 
-    def __init__(self, spark, path: str, id_type: str = "bigint", keep: timedelta = timedelta(days=1), buckets: int = BUCKETS):
-        super().__init__(spark, path, id_type)
-        self.keep = keep
-        self.buckets = buckets
-        self._clock: tuple[int, object] | None = None
+    A table has ``spark``, ``path``, ``schema`` (with ``batch``), ``buckets`` and ``KEY``, the columns that make its key.
+    """
+
+    KEY = TASK
+    buckets = BUCKETS
 
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*TASK), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*self.KEY), F.lit(self.buckets)).cast("int")
 
     def _rolls(self, before: int | float) -> dict[int, int]:
         """The batch in which each bucket was rolled last."""
@@ -68,9 +70,35 @@ class RollingPhaseTable(PhaseTable):
         rows = read.parquet(*[f"{self.path}/batch={n}" for n in batches]) if batches else self.spark.createDataFrame([], self.schema)
         if not rolls:
             return rows
-        rolled = F.get(F.array(*[F.lit(rolls.get(b, -1)) for b in range(self.buckets)]), self._bucket())
+        rolled = F.get(F.array(*[F.lit(rolls.get(b, NEVER)) for b in range(self.buckets)]), self._bucket())
         return rows.where(F.col("batch") > rolled).unionByName(read.parquet(*[f"{self.path}-base/roll={n}" for n in rolls.values()]))
 
+    def _mine(self, batch: int) -> DataFrame:
+        """The rows of the bucket that a batch rolls, its own among them. On earlier rolls alone: a batch that is run
+        again finds its own roll, from which what has ended is gone."""
+        return self._rows(*self._parts(batch + 1, batch)).where(self._bucket() == batch % self.buckets)
+
+    def _prune(self, before: int) -> None:
+        """Remove what no reader needs that began after batch ``before``, nor a batch from there on that is run again."""
+        rolls = self._rolls(before)
+        needed = set(rolls.values())
+        for n in numbered_folders(self.spark, f"{self.path}-base", "roll"):
+            if n < before and n not in needed:
+                remove(self.spark, f"{self.path}-base/roll={n}")
+        for n in numbered_folders(self.spark, self.path, "batch"):
+            if n <= self._oldest(rolls):
+                remove(self.spark, f"{self.path}/batch={n}")
+
+
+class RollingPhaseTable(Rolled, PhaseTable):
+    """Phases of the tasks that have not ended, or not long ago."""
+
+    def __init__(self, spark, path: str, id_type: str = "bigint", keep: timedelta = timedelta(days=1), buckets: int = BUCKETS):
+        super().__init__(spark, path, id_type)
+        self.keep = keep
+        self.buckets = buckets
+        self._clock: tuple[int, object] | None = None
+
     def horizon(self, batch: int):
         """Changes up to this time are old for ``batch``; None before the first change."""
         if self._clock is None or self._clock[0] != batch:
@@ -96,27 +124,14 @@ class RollingPhaseTable(PhaseTable):
 
     def _roll(self, batch: int) -> None:
         horizon = self.horizon(batch)
-        mine = self._bucket() == batch % self.buckets
         last = F.max_by(F.struct(*self.BODY, "batch"), F.col("batch")).alias("l")
-        # on earlier rolls alone: a batch that is run again finds its own roll, from which the ended are gone
-        state = self._rows(*self._parts(batch + 1, batch)).where(mine).groupBy(*TASK).agg(last).select(*TASK, "l.*")
+        state = self._mine(batch).groupBy(*TASK).agg(last).select(*TASK, "l.*")
         gone = F.lit(False) if horizon is None else F.col("phase").isin(S.SUCCEEDED, S.FAILED) & (F.col("changed_at") <= F.lit(horizon))
         # the archive first: a task is in both for a moment, but never in neither
         if horizon is not None:
             state.where(gone).write.mode("overwrite").parquet(f"{self.path}-ended/batch={batch}")
         state.where(~F.coalesce(gone, F.lit(False))).write.mode("overwrite").parquet(f"{self.path}-base/roll={batch}")
 
-    def _prune(self, before: int) -> None:
-        """Remove what no reader needs that began after batch ``before``, nor a batch from there on that is run again."""
-        rolls = self._rolls(before)
-        needed = set(rolls.values())
-        for n in numbered_folders(self.spark, f"{self.path}-base", "roll"):
-            if n < before and n not in needed:
-                remove(self.spark, f"{self.path}-base/roll={n}")
-        for n in numbered_folders(self.spark, self.path, "batch"):
-            if n <= self._oldest(rolls):
-                remove(self.spark, f"{self.path}/batch={n}")
-
     def ended(self) -> DataFrame:
         """The archive: the first end of each task that has left the state."""
         folder = f"{self.path}-ended"
