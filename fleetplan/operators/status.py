@@ -29,13 +29,13 @@ def ready_tasks(tasks: DataFrame, edges: DataFrame, status: DataFrame) -> DataFr
 
 
 def sync_pod_status(
-    status: DataFrame, pods: DataFrame, as_of
+    status: DataFrame, pods: DataFrame, as_of, with_id: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Fold pod phases into task statuses; returns (status, executions).
 
     Only Running tasks move. Pods without a task label and pods of unknown tasks
     do not match. Of several finished pods of one task the first by name counts.
-    A success yields one history row with the requested sizes as usage.
+    A success yields one history row with the requested sizes as usage; ``with_id`` puts its wf_id in front.
     """
     finished = (
         pods.where(F.col("task_name").isNotNull() & F.col("pod_phase").isin(S.SUCCEEDED, S.FAILED))
@@ -63,6 +63,7 @@ def sync_pod_status(
         status.where(running)
         .join(finished.where(F.col("pod.pod_phase") == S.SUCCEEDED), TASK)
         .select(
+            *(["wf_id"] if with_id else []),
             F.col("pod.workflow_name").alias("workflow_name"),
             "task_name",
             F.coalesce("pod.image", F.lit("unknown")).alias("image"),

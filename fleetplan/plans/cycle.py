@@ -31,6 +31,7 @@ def plan_cycle(
     max_fold: int = MAX_FOLD_TASKS,
     ready: DataFrame | None = None,
     statistics: DataFrame | None = None,
+    unpredicted: DataFrame | None = None,
 ) -> DataFrame:
     """Which ready tasks of the Running workflows start now, and at what size.
 
@@ -40,7 +41,8 @@ def plan_cycle(
     attached, so they are computed for ready tasks only and need no join back.
 
     Who keeps the names of the ready tasks, or the image statistics, gives them as ``ready`` (wf_id, task_name) and
-    ``statistics``; edges, or executions, are not read then.
+    ``statistics``; edges, or executions, are not read then. The workflows in ``unpredicted`` (wf_id), whose prediction
+    has failed, are planned without one: on hints and defaults.
     """
     if dialect not in DIALECTS:
         raise ValueError(f"dialect must be one of {DIALECTS}")
@@ -88,6 +90,9 @@ def plan_cycle(
                 "mem_limit_mib": null,
             }
         )
+    if unpredicted is not None:
+        failed = unpredicted.select("wf_id").distinct().withColumn("__failed", F.lit(True))
+        rows = rows.join(failed, "wf_id", "left").withColumn("predicted", F.col("predicted") & F.col("__failed").isNull()).drop("__failed")
     return admit(sized(rows, dialect), oversized_workflows(tasks, max_fold), max_fold)
 
 

@@ -7,6 +7,7 @@ started, and usage and conditions are computed anew. The new status is written b
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,7 +27,7 @@ TASK = ["wf_id", "task_name"]
 
 @dataclass
 class Cycle:
-    """What a cycle returns: documents with their new status, pods to create, history rows, event records."""
+    """What a cycle returns: documents with their new status, pods to create, history rows (with wf_id), event records."""
 
     documents: DataFrame
     pods: DataFrame
@@ -114,10 +115,12 @@ def nest_status(documents: DataFrame, status: DataFrame, phases: DataFrame, cond
     return joined.withColumn("status", new.cast(S.STATUS)).select(*documents.columns)
 
 
-def reconcile_cycle(documents: DataFrame, pods: DataFrame, executions: DataFrame | None, as_of, dialect: str = "remote", **options) -> Cycle:
+def reconcile_cycle(documents: DataFrame, pods: DataFrame, executions: DataFrame | None, as_of, dialect: str = "remote", create: Callable[[DataFrame], DataFrame] | None = None, **options) -> Cycle:
     """One cycle for all ``documents``; ``pods`` has the pods that exist (of any workflow).
 
-    ``options`` go to ``plan_cycle``.
+    ``create`` makes pods, or tries to: it gets the pods to create and returns those that could not be made
+    (namespace, pod_name, error). Their tasks stay as they were, for a later cycle, and are told as events; what the
+    plan has charged for them is not dealt again. Without it all pods count as made. ``options`` go to ``plan_cycle``.
     """
     columns = documents.columns
     docs = documents if "wf_id" in columns else documents.withColumn("wf_id", workflow_id(F.col("namespace"), F.col("name")))
@@ -130,11 +133,20 @@ def reconcile_cycle(documents: DataFrame, pods: DataFrame, executions: DataFrame
 
     tasks = flatten_tasks(live)
     before = flatten_status(live)
-    synced, history = sync_pod_status(before, pods, as_of)
+    synced, history = sync_pod_status(before, pods, as_of, with_id=True)
     synced = stage(synced, "synced-status")
     plan = stage(
         plan_cycle(tasks, dependency_edges(tasks), synced, workflow_limits(live), executions, as_of, dialect, **options), "plan"
     )
+    made = pods_to_create(pod_spec(plan, tasks), pods)
+    refused = None
+    if create is not None:
+        made = stage(made, "pods")
+        errors = create(made).groupBy("namespace", "pod_name").agg(F.min("error").alias("error"))
+        errors = stage(errors, "refused-pods")  # asked once: making pods has effects
+        refused = made.join(errors, ["namespace", "pod_name"]).select(*TASK, "error")
+        made = made.join(errors, ["namespace", "pod_name"], "left_anti")
+        plan = plan.join(refused, TASK, "left_anti")
     names = live.select("wf_id", F.col("name").alias("workflow_name"))
     after = stage(apply_plan(synced, plan, names)[0], "status")
     # a workflow without any task is Running, and so are those that have no entries
@@ -148,5 +160,7 @@ def reconcile_cycle(documents: DataFrame, pods: DataFrame, executions: DataFrame
     log = events.event_log(events.init_transitions(seen))
     for part in (events.sync_transitions(before, synced), events.workflow_transitions(phases), events.start_transitions(started)):
         log = log.unionByName(events.event_log(part))
+    if refused is not None:
+        log = log.unionByName(events.event_log(events.reject_transitions(refused)))
     result = fresh.unionByName(docs.where(~new & over)).unionByName(nested)
-    return Cycle(result.select(*columns), pods_to_create(pod_spec(plan, tasks), pods), history, log)
+    return Cycle(result.select(*columns), made, history, log)

@@ -731,6 +731,14 @@ _CHANGED = "SELECT p.* FROM run_remote_plan p WHERE p.wf_id IN (SELECT wf_id FRO
 ORACLES["plan_changed"] = _CHANGED
 ORACLES["plan_stream"] = _CHANGED
 ORACLES["plan_stream_again"] = _CHANGED
+ORACLES["reconcile_stream"] = ORACLES["reconcile_cycle"]
+ORACLES["reconcile_refused"] = """
+SELECT wf_id, CASE WHEN n > 0 THEN CASE WHEN key % 4 = 0 THEN 'Pending' ELSE 'Running' END END AS phase,
+       CASE WHEN n > 0 AND key % 4 > 0 THEN name || '-t0' END AS pod_name, CASE WHEN n > 0 AND key % 4 > 0 THEN '100m' END AS cpu,
+       CASE WHEN n > 0 THEN CASE WHEN key % 4 = 0 THEN 'Warning' ELSE 'Normal' END END AS type,
+       CASE WHEN n > 0 AND key % 4 = 0 THEN 'Failed to create pod for task "t0": quota exceeded'
+            WHEN n > 0 THEN 'Started task "t0" with pod "' || name || '-t0"' END AS message
+FROM cycled"""
 ORACLES["plan_changed_kept"] = _CHANGED
 ORACLES["image_history_cells"] = ORACLES["image_history"]
 ORACLES["ready_stream"] = """

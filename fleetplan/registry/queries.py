@@ -26,7 +26,7 @@ from fleetplan.registry.fleet import AS_OF, Fleet, fleet
 from fleetplan.session import shared_dir, stage
 from fleetplan.sources import history as history_source
 from fleetplan.sources import documents, manifests, synthetic
-from fleetplan.streaming import cells, events, phases, planner, rolling, wakeups
+from fleetplan.streaming import cells, events, phases, planner, reconciler, rolling, wakeups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -516,6 +516,25 @@ def plan_cycle_local(f: Fleet) -> DataFrame:
     return _plan(f, "local")
 
 
+def _ended(pods: DataFrame, key: Column) -> DataFrame:
+    """Created pods, of which a third each has succeeded, failed and goes on."""
+    return pods.select(
+        "wf_id", "namespace", F.col("labels")[tasks.WORKFLOW_LABEL].alias("workflow_name"), "pod_name", "task_name", "image",
+        F.when(key % 3 == 0, "Succeeded").when(key % 3 == 1, "Failed").otherwise("Running").alias("pod_phase"),
+        F.lit(None).cast("timestamp").alias("started_at"), F.timestamp_micros(F.lit(896659200000000)).alias("created_at"),
+    )
+
+
+def _document_rows(docs: DataFrame) -> DataFrame:
+    entries = F.map_entries("status.taskStatuses")
+    return docs.select(
+        "namespace", "name", F.col("status.phase").alias("phase"),
+        F.array_join(F.array_sort(F.transform(entries, lambda e: F.concat_ws(":", e["key"], e["value"]["phase"], F.coalesce(e["value"]["podName"], F.lit("-"))))), ",").alias("tasks"),
+        F.element_at("status.currentResourceUsage", "cpu").alias("cpu"),
+        F.array_join(F.transform(F.array_sort("status.conditions"), lambda c: F.concat_ws(":", c["type"], c["status"], c["reason"], c["lastTransitionTime"])), ",").alias("conditions"),
+    )
+
+
 def _three_cycles(f: Fleet):
     """Documents that are initialized, started, and then see the pods of their first tasks end."""
 
@@ -527,12 +546,7 @@ def _three_cycles(f: Fleet):
         run = lambda docs, pods, day: reconcile.reconcile_cycle(docs, pods, f.executions, f"1998-06-0{day} 00:00:00")
         first = run(docs, pods, 1)
         second = run(stage(first.documents, "cycle"), pods, 2)
-        key = F.regexp_extract("wf_id", "([0-9]+)$", 1).cast("bigint")
-        ended = second.pods.select(
-            "wf_id", "namespace", F.col("labels")[tasks.WORKFLOW_LABEL].alias("workflow_name"), "pod_name", "task_name", "image",
-            F.when(key % 3 == 0, "Succeeded").when(key % 3 == 1, "Failed").otherwise("Running").alias("pod_phase"),
-            F.lit(None).cast("timestamp").alias("started_at"), F.timestamp_micros(F.lit(896659200000000)).alias("created_at"),
-        )
+        ended = _ended(second.pods, F.regexp_extract("wf_id", "([0-9]+)$", 1).cast("bigint"))
         docs = stage(second.documents, "cycle")
         third = run(docs, stage(ended, "cycle-pods"), 3)
         return stage(third.documents, "cycle"), third.events
@@ -544,13 +558,7 @@ def _three_cycles(f: Fleet):
 def reconcile_cycle(f: Fleet) -> DataFrame:
     """The documents after three cycles."""
     docs, _ = _three_cycles(f)
-    entries = F.map_entries("status.taskStatuses")
-    return docs.select(
-        "namespace", "name", F.col("status.phase").alias("phase"),
-        F.array_join(F.array_sort(F.transform(entries, lambda e: F.concat_ws(":", e["key"], e["value"]["phase"], F.coalesce(e["value"]["podName"], F.lit("-"))))), ",").alias("tasks"),
-        F.element_at("status.currentResourceUsage", "cpu").alias("cpu"),
-        F.array_join(F.transform(F.array_sort("status.conditions"), lambda c: F.concat_ws(":", c["type"], c["status"], c["reason"], c["lastTransitionTime"])), ",").alias("conditions"),
-    )
+    return _document_rows(docs)
 
 
 @query
@@ -559,6 +567,43 @@ def reconcile_events(f: Fleet) -> DataFrame:
     return _three_cycles(f)[1]
 
 
+@query
+def reconcile_stream(f: Fleet) -> DataFrame:
+    """The three cycles as batches of a stream over the document table; the pods that exist are the published ones."""
+    table, path, given, offsets = documents.DocumentTable(f.spark, new_path(f, "document-table")), new_path(f, "reconciled"), new_path(f, "changes"), new_path(f, "offsets")
+    table.write(f.manifests.withColumn("resource_version", F.lit(None).cast("bigint")), "spec")
+    number = F.regexp_extract("wf_id", "([0-9]+)$", 1).cast("bigint")
+
+    def pods(batch: int) -> DataFrame:
+        none = f.pods.limit(0).withColumn("wf_id", F.lit(None).cast("string"))
+        return none if batch < 2 else _ended(f.spark.read.parquet(f"{path}/pods/batch=1"), number)
+
+    for _ in range(3):
+        f.manifests.select("namespace", "name").coalesce(1).write.mode("append").parquet(given)
+    changes = f.spark.readStream.schema("namespace string, name string").option("maxFilesPerTrigger", 1).parquet(given)
+    reconciler.reconcile_stream(
+        changes, table, pods, lambda batch: f.executions, path, offsets, clock=lambda batch: f"1998-06-0{batch + 1} 00:00:00"
+    ).awaitTermination()
+    return _document_rows(table.read())
+
+
+@query
+def reconcile_refused(f: Fleet) -> DataFrame:
+    """A second cycle in which the pods of every fourth workflow cannot be made: its tasks stay Pending."""
+    docs = f.manifests.select("namespace", "name", "spec", F.lit(None).cast(S.STATUS).alias("status"))
+    none = f.pods.limit(0).withColumn("wf_id", F.lit(None).cast("string"))
+    first = reconcile.reconcile_cycle(docs, none, f.executions, "1998-06-01 00:00:00")
+    number = F.regexp_extract("wf_id", "([0-9]+)$", 1).cast("bigint")
+    create = lambda pods: pods.where(number % 4 == 0).select("namespace", "pod_name", F.lit("quota exceeded").alias("error"))
+    second = reconcile.reconcile_cycle(stage(first.documents, "cycle"), none, f.executions, "1998-06-02 00:00:00", create=create)
+    entry = F.try_element_at("status.taskStatuses", F.lit("t0"))
+    rows = second.documents.select(
+        F.concat_ws("/", "namespace", "name").alias("wf_id"), entry["phase"].alias("phase"), entry["podName"].alias("pod_name"),
+        F.element_at("status.currentResourceUsage", "cpu").alias("cpu"),
+    )
+    return rows.join(second.events.select("wf_id", "type", "message"), "wf_id", "left")
+
+
 @query
 def apply_plan(f: Fleet) -> DataFrame:
     return cycle.apply_plan(f.status, _plan(f, "remote"), f.names)[0]

@@ -1,11 +1,16 @@
 """The reconcile cycle over a few documents, from first sight to the end."""
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetplan import schemas as S
+from fleetplan.plans.cycle import plan_cycle
 from fleetplan.plans.reconcile import reconcile_cycle
+from fleetplan.registry.fleet import AS_OF, fleet
 from fleetplan.session import stage
+from fleetplan.sources.documents import DocumentTable
+from fleetplan.streaming import reconciler
 
 PODS = "wf_id string, namespace string, workflow_name string, pod_name string, task_name string, image string, pod_phase string, started_at timestamp, created_at timestamp"
 
@@ -59,3 +64,92 @@ def test_two_tasks_run_and_complete(spark):
     fourth = run(docs, ended, 4)
     assert state(fourth.documents) == state(docs)
     assert fourth.events.isEmpty() and fourth.executions.isEmpty() and fourth.pods.isEmpty()
+
+
+def test_pods_that_cannot_be_made(spark):
+    executions, none = spark.createDataFrame([], S.EXECUTION), spark.createDataFrame([], PODS)
+    first = stage(reconcile_cycle(documents(spark), none, executions, "2024-01-01 00:00:00").documents, "t")
+    told = []
+
+    def create(pods):
+        told.append(pods.count())
+        failed = pods.where("task_name = 'a'").select("namespace", "pod_name")
+        return failed.withColumn("error", F.lit("later")).unionByName(failed.withColumn("error", F.lit("full")))
+
+    second = reconcile_cycle(first, none, executions, "2024-01-02 00:00:00", create=create)
+    assert state(second.documents)["two"] == ("Running", {"a": "Pending", "b": "Running"})
+    assert told == [2] and [r.pod_name for r in second.pods.collect()] == ["two-b"]
+    two = second.documents.where("name = 'two'").first().status
+    assert two.currentResourceUsage == {"cpu": "100m", "memory": "128Mi"} and two.taskStatuses["a"].podName is None
+    assert sorted(r.message for r in second.events.collect()) == ['Failed to create pod for task "a": full', 'Started task "b" with pod "two-b"']
+    third = reconcile_cycle(stage(second.documents, "t"), none, executions, "2024-01-03 00:00:00")
+    assert state(third.documents)["two"] == ("Running", {"a": "Running", "b": "Running"})
+
+
+def test_failed_predictions(spark, sf_dir):
+    """Workflows without prediction are planned on hints and defaults, the others as before."""
+    f = fleet(spark, sf_dir)
+    plan = lambda **o: plan_cycle(f.tasks, f.edges, f.status, f.limits, f.executions, AS_OF, **o)
+    failed = f.names.where("wf_id % 3 = 0").select("wf_id")
+    got = plan(unpredicted=failed.unionByName(failed))
+    expected = plan().where("wf_id % 3 <> 0").unionByName(plan(predictor="none").where("wf_id % 3 = 0"))
+    assert got.exceptAll(expected).isEmpty() and expected.exceptAll(got).isEmpty()
+
+
+def changes(spark, folder, names):
+    spark.createDataFrame([("ns", n) for n in names], "namespace string, name string").coalesce(1).write.mode("append").parquet(str(folder / "in"))
+    return spark.readStream.schema("namespace string, name string").parquet(str(folder / "in"))
+
+
+def test_stream_yields_to_other_writers(spark, tmp_path, monkeypatch):
+    """A spec is written while a batch is worked out: the batch is refused there, publishes nothing of it, and comes back."""
+    table = DocumentTable(spark, str(tmp_path / "docs"))
+    table.write(documents(spark).where("name <> 'over'").withColumn("resource_version", F.lit(None).cast("bigint")), "spec")
+    executions, none = spark.createDataFrame([], S.EXECUTION), spark.createDataFrame([], PODS)
+    path = str(tmp_path / "out")
+
+    def run(names, pods=lambda batch: none):
+        stream = changes(spark, tmp_path, names)
+        reconciler.reconcile_stream(
+            stream, table, pods, lambda batch: executions, path, str(tmp_path / "cp"), lambda batch: f"2024-01-0{batch + 1} 00:00:00", str(tmp_path / "history")
+        ).awaitTermination()
+
+    def meddle(batch):
+        late = table.read().where("name = 'two'")
+        assert table.write(late.withColumn("spec", F.col("spec").withField("optimizationGoal", F.lit("late"))), "spec").isEmpty()
+        return none
+
+    phases = lambda: {r.name: None if r.status is None else r.status.phase for r in table.read().collect()}
+    published = lambda part, n: spark.read.parquet(f"{path}/{part}/batch={n}")
+    run(["two", "none", "absent"], meddle)
+    assert phases() == {"two": None, "none": "Pending"}
+    assert [r.wf_id for r in published("events", 0).collect()] == ["ns/none"]
+    run(["none"])  # and "two" with it
+    assert phases() == {"two": "Pending", "none": "Running"}
+    assert [r.wf_id for r in published("events", 1).collect()] == ["ns/two"]
+    assert table.read().where("name = 'two'").first().spec.optimizationGoal == "late"
+
+    # a batch that fails after its statuses were written publishes what it had worked out
+    version, write = table.version(), DocumentTable.write
+
+    def fail(self, rows, part):
+        write(self, rows, part)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(DocumentTable, "write", fail)
+    with pytest.raises(Exception):
+        run(["two"])
+    monkeypatch.setattr(DocumentTable, "write", write)
+    assert table.version() == version + 1
+    run([])  # batch 2 again, and one without changes
+    assert phases() == {"two": "Running", "none": "Running"} and table.version() == version + 1
+    assert sorted(r.pod_name for r in published("pods", 2).collect()) == ["two-a", "two-b"]
+    assert sorted(r.reason for r in published("events", 2).collect()) == ["TaskStarted", "TaskStarted"]
+
+    ended = spark.createDataFrame([("ns/two", "ns", "two", f"two-{t}", t, "busybox", "Succeeded", None, None) for t in "ab"], PODS)
+    run(["two"], lambda batch: ended.withColumn("created_at", F.lit("2024-01-03 00:00:00").cast("timestamp")))
+    assert phases() == {"two": "Completed", "none": "Running"}
+    assert spark.read.parquet(str(tmp_path / "history")).count() == 2
+    before = table.version()
+    run(["two"])  # it has ended: nothing is written
+    assert table.version() == before and published("events", 5).isEmpty()
