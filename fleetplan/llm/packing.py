@@ -17,7 +17,7 @@ each by itself; an empty table gives no pieces.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -143,12 +143,11 @@ def place(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = rows.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
     sums = rows.groupBy("rest", "group").agg(F.count("*").alias("rows"), F.sum("whole").alias("whole"))
     earlier = Window.partitionBy("rest").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
-    all_earlier = Window.orderBy("rest", "group").rowsBetween(Window.unboundedPreceding, -1)  # length x groups rows at most
     bases = sums.select(
         "rest",
         "group",
         F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("rank_base"),
-        F.coalesce(F.sum("whole").over(all_earlier), F.lit(0)).alias("whole_base"),
+        F.coalesce(F.sum("whole").over(earlier), F.lit(0)).alias("whole_base"),
     )
     inside = Window.partitionBy("rest", "group").orderBy("row")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
@@ -158,10 +157,14 @@ def place(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
     by_length: dict[int, list[tuple]] = {}
     for part, *slot in slots:
         by_length.setdefault(part, []).append(tuple(slot))
+    # whole sequences of documents with smaller remainders
+    sizes = sorted((r["rest"], r["whole"]) for r in counts)
+    smaller = accumulate((n for _, n in sizes), initial=0)
     table = spark.createDataFrame(
-        [(k, v) for k, v in by_length.items()], "rest long, slots array<struct<first:long,last:long,sequence:long,at:long>>"
+        [(rest, by_length.get(rest), before) for (rest, _), before in zip(sizes, smaller)],
+        "rest long, slots array<struct<first:long,last:long,sequence:long,at:long>>, whole_before long",
     )
-    found = ranked.join(bases, ["rest", "group"]).withColumn("rank", F.col("rank") + F.col("rank_base")).join(F.broadcast(table), "rest", "left")
+    found = ranked.join(bases, ["rest", "group"]).withColumn("rank", F.col("rank") + F.col("rank_base")).join(F.broadcast(table), "rest")
     fits = lambda s: (s["first"] <= F.col("rank")) & (F.col("rank") < s["last"])
     found = found.withColumn("slot", F.get(F.filter("slots", fits), 0))
     start = F.col("whole") * length
@@ -170,7 +173,7 @@ def place(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
     room = F.least(F.col("rest"), length - at % length)
     piece = lambda a, n, sequence, offset: F.struct(a.alias("start"), n.cast("bigint").alias("length"), sequence.cast("bigint").alias("sequence_id"), offset.cast("bigint").alias("offset"))
     nothing = F.array().cast("array<struct<start:bigint,length:bigint,sequence_id:bigint,offset:bigint>>")
-    whole = F.when(F.col("whole") > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("whole") - 1), lambda i: piece(i * length, F.lit(length), F.col("whole_base") + F.col("wholes") + i, F.lit(0)))).otherwise(nothing)
+    whole = F.when(F.col("whole") > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("whole") - 1), lambda i: piece(i * length, F.lit(length), F.col("whole_before") + F.col("whole_base") + F.col("wholes") + i, F.lit(0)))).otherwise(nothing)
     in_pattern = F.array(piece(start, F.col("rest"), F.lit(int(wholes)) + F.col("slot.sequence") + F.col("rank") - F.col("slot.first"), F.col("slot.at")))
     stream_first = piece(start, room, first_stream + F.floor(at / length), at % length)
     stream_second = piece(start + room, F.col("rest") - room, first_stream + F.floor(at / length) + 1, F.lit(0))
