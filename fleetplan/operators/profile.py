@@ -13,6 +13,8 @@ from fleetplan.session import MAX_FOLD_TASKS, large_groups, stage
 
 # Intervals of one workflow that one task runs up.
 MAX_GROUP_INTERVALS = 1_000_000
+#: Intervals that the workflows of one task have together, about; larger inputs take more tasks.
+TASK_INTERVALS = 200_000
 
 
 def stack_by_start(
@@ -106,8 +108,10 @@ def _sum(name: str, df: DataFrame) -> Column:
 def _steps(intervals: DataFrame) -> DataFrame:
     """Steps of workflows that fit one task each. The rows are brought together
     by workflow before anything else: the grouping by instant and both windows
-    then need no exchange of their own."""
-    deltas = _by_instant(_changes(intervals.repartition("wf_id")))
+    then need no exchange of their own. The number of tasks follows the number of
+    rows, since what a task holds would grow with them otherwise."""
+    tasks = max(intervals.count() // TASK_INTERVALS + 1, intervals.sparkSession.sparkContext.defaultParallelism)
+    deltas = _by_instant(_changes(intervals.repartition(tasks, "wf_id")))
     order = Window.partitionBy("wf_id").orderBy("at")
     return deltas.select(
         "wf_id",

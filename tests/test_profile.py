@@ -88,3 +88,13 @@ def test_stacks_of_doubles_and_repeats_are_the_same_on_both_routes(spark):
     df = spark.createDataFrame(rows, "wf_id long, idx int, start long, size double").repartition(4)
     seen = [sorted(map(tuple, stack_by_start(df, limit=2.6, max_fold=n).collect())) for n in (4096, 7)]
     assert seen[0] == seen[1]
+
+
+def test_rows_of_a_task_do_not_grow_with_the_input(spark, monkeypatch):
+    from fleetplan.operators import profile
+
+    monkeypatch.setattr(profile, "TASK_INTERVALS", 50, raising=False)
+    rows = [(w, s, s + 5, 1) for w in range(200) for s in range(10)]
+    steps = profile.usage_profile(spark.createDataFrame(rows, INTERVALS))
+    assert steps.rdd.getNumPartitions() == 41
+    assert steps.groupBy().max("in_use").first()[0] == 5
