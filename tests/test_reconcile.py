@@ -153,3 +153,16 @@ def test_stream_yields_to_other_writers(spark, tmp_path, monkeypatch):
     before = table.version()
     run(["two"])  # it has ended: nothing is written
     assert table.version() == before and published("events", 5).isEmpty()
+
+
+def test_statuses_are_never_broadcast(spark):
+    """What has a row for each workflow or task does not pass through the driver, however small its files are."""
+    none = spark.createDataFrame([], "wf_id string, namespace string, workflow_name string, pod_name string, task_name string, image string, pod_phase string, started_at timestamp, created_at timestamp")
+    executions = spark.createDataFrame([], S.EXECUTION)
+    first = stage(reconcile_cycle(documents(spark), none, executions, "2024-01-01 00:00:00").documents, "t")
+    found = reconcile_cycle(first, none, executions, "2024-01-02 00:00:00")
+    plan = found.documents._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 5 and "Broadcast" not in plan
+    create = lambda pods: pods.select("namespace", "pod_name", F.lit("quota").alias("error"))
+    refused = reconcile_cycle(first, none, executions, "2024-01-02 00:00:00", create=create)
+    assert "Broadcast" not in refused.pods._jdf.queryExecution().executedPlan().toString()
