@@ -87,3 +87,7 @@ def test_model_branch(spark, outputs, n, expected):
     r = predict_resources(df, model=Stub(*outputs)).first()
     assert (r.cpu_m, r.mem_mib, r.duration_s, r.method) == (*expected[:3], expected[4])
     assert r.confidence == pytest.approx(expected[3])
+
+
+def test_rows_keep_their_node(forest):
+    assert all(stage.getOrDefault("cacheNodeIds") for stage in forest[0].stages[1:])
