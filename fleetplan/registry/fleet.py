@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetplan.functions.numbering import positions
-from fleetplan.session import shared_dir, spread, stage
+from fleetplan.session import fit_shuffles, shared_dir, spread, stage
 from fleetplan.sources.history import append_history
 
 AS_OF = "1998-06-01 00:00:00"
@@ -26,6 +26,7 @@ def fleet(spark: SparkSession, sf_dir: str) -> "Fleet":
     # The tables hold zone-less timestamps; they are read as UTC.
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     key = (spark.sparkContext.applicationId, sf_dir)
+    fit_shuffles(spark, [f"{sf_dir}/{name}.parquet" for name in ("lineitem", "orders", "events")])
     if key not in _FLEETS:
         _FLEETS[key] = Fleet(spark, sf_dir)
     return _FLEETS[key]
@@ -53,7 +54,8 @@ class Fleet:
         orders = self.table("orders").select(
             F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderstatus"
         )
-        joined = lines.join(parts, "l_partkey").join(orders, "l_orderkey")
+        # Orders are the smaller side: hashed, so that lines are sorted once, for their numbers, and not for the join too.
+        joined = lines.join(parts, "l_partkey").join(orders.hint("shuffle_hash"), "l_orderkey")
         numbered = positions(joined, "l_orderkey", order, sizes=lines)
         hinted = F.col("l_linenumber") % 3 != 0
         rows = numbered.select(

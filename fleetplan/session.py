@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 # operators that fold a workflow inside one row send it down a distributed path.
 MAX_FOLD_TASKS = 4096
 
+#: Stored bytes of input for each partition that a shuffle begins with: rows take some twenty times that in memory.
+PARTITION_BYTES = 8 << 20
+_INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
 # Temporary folders, in the system's place for them, of applications with a local master
 # and without ``spark.checkpoint.dir``.
 _LOCAL_DIRS: dict[str, str] = {}
@@ -57,6 +61,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
+def fit_shuffles(spark: SparkSession, paths: list[str]) -> None:
+    """Let shuffles begin with as many partitions as these inputs ask for, so that what a task sorts does not grow with
+    the input and stays in memory. Adaptive execution joins the partitions that turn out small; a higher
+    number that is set already stays."""
+    size = 0
+    for path in paths:
+        files, target = _file_system(spark, path)
+        size += files.getContentSummary(target).getLength() if files.exists(target) else 0
+    wanted = -(-size // PARTITION_BYTES)
+    if wanted > shuffle_partitions(spark):
+        spark.conf.set(_INITIAL, str(wanted))
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    """The number of partitions that a shuffle begins with."""
+    return int(spark.conf.get(_INITIAL, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back.
 

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from fleetplan import schemas as S
 from fleetplan.functions.frames import instant
 from fleetplan.operators.history import recent
-from fleetplan.session import path_exists
+from fleetplan.session import path_exists, shuffle_partitions
 
 #: Columns that readers look up by value.
 INDEXED = ("image", "workflow_name", "task_name")
@@ -132,8 +132,8 @@ def append_history(executions: DataFrame, path: str, batch: str | None = None) -
     earlier under the same name and day are replaced, so that a writer that is
     run again after a failure stores its rows once.
 
-    Rows are range-partitioned by time and name into ``spark.sql.shuffle.partitions``
-    equal parts: a day goes to few files, a hot day to as many tasks as its share
+    Rows are range-partitioned by time and name into as many equal parts as a shuffle begins
+    with: a day goes to few files, a hot day to as many tasks as its share
     of the rows, and each file covers a short stretch of time.
 
     Files carry Bloom filters of the columns that readers look up (``INDEXED``): a reader of one
@@ -142,7 +142,7 @@ def append_history(executions: DataFrame, path: str, batch: str | None = None) -
     rows = executions.withColumns(
         {"completed_date": F.to_date("completed_at"), "batch": F.lit(batch or uuid.uuid4().hex)}
     )
-    parts = int(executions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = shuffle_partitions(executions.sparkSession)
     writer = rows.repartitionByRange(parts, "completed_at", "workflow_name", "task_name").write
     if batch is None:
         writer = writer.mode("append")
