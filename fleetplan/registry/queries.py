@@ -233,7 +233,8 @@ def image_hash_(f: Fleet) -> DataFrame:
 
 
 def _document_plan(f: Fleet) -> tuple[DataFrame, DataFrame]:
-    listed = tasks.flatten_tasks(f.manifests)
+    # Stored: the tasks are read three times, and parsing their sizes costs more than all else.
+    listed = stage(tasks.flatten_tasks(f.manifests), "listed")
     plan = predict.resolve_resources(listed, predict.predict_baseline(listed), "local")
     sizes = ["cpu_request_m", "mem_request_mib", "cpu_limit_m", "mem_limit_mib"]
     return plan.select("wf_id", "task_name", *sizes), listed

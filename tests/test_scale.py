@@ -41,3 +41,7 @@ def test_fleet_fits_shuffles_to_its_tables(spark, sf_dir, initial, monkeypatch):
     monkeypatch.setattr(session, "PARTITION_BYTES", 10_000)
     fleet(spark, sf_dir)
     assert session.shuffle_partitions(spark) > 4
+
+
+def test_pod_specs_parse_the_sizes_of_a_task_once(spark, sf_dir):
+    assert "regexp_extract" not in plan_of(QUERIES["pod_spec"](spark, sf_dir))
