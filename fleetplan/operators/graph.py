@@ -231,7 +231,8 @@ def dag_lint(tasks: DataFrame, edges: DataFrame, max_fold: int = MAX_FOLD_TASKS)
     finding = lambda df, issue, detail: df.select(
         "wf_id", "task_name", issue.alias("issue"), detail.alias("detail")
     )
-    dangling = edges.select("wf_id", "task_name", "dep").distinct().join(known, ["wf_id", "dep"], "left_anti")
+    # made distinct after the join: few dangle, and all edges would be shuffled once more
+    dangling = edges.select("wf_id", "task_name", "dep").join(known, ["wf_id", "dep"], "left_anti").distinct()
     repeated = tasks.groupBy("wf_id", "task_name").count().where(F.col("count") > 1)
     stuck = stuck_tasks(tasks, edges, max_fold)
     return (

@@ -45,3 +45,14 @@ def test_fleet_fits_shuffles_to_its_tables(spark, sf_dir, initial, monkeypatch):
 
 def test_pod_specs_parse_the_sizes_of_a_task_once(spark, sf_dir):
     assert "regexp_extract" not in plan_of(QUERIES["pod_spec"](spark, sf_dir))
+
+
+def test_lint_looks_for_known_tasks_before_edges_are_made_distinct(spark):
+    tasks = spark.createDataFrame([(1, 0, "a", 1.0), (1, 1, "b", 1.0)], "wf_id long, idx int, task_name string, duration double")
+    edges = spark.createDataFrame([(1, "b", "gone"), (1, "b", "gone"), (1, "b", "a"), (1, None, None)], "wf_id long, task_name string, dep string")
+    found = graph.dag_lint(tasks, edges)
+    lines = plan_of(found).splitlines()
+    distinct = next(i for i, line in enumerate(lines) if "Aggregate" in line)
+    assert any("LeftAnti" in line for line in lines[distinct + 1 : distinct + 4])
+    rows = sorted((r.task_name or "", r.issue, r.detail) for r in found.where("issue = 'dangling'").collect())
+    assert rows == [("", "dangling", None), ("b", "dangling", "gone")]
