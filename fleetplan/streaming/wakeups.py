@@ -33,7 +33,10 @@ def _is(*phases: str) -> Column:
 
 def counters(tasks: DataFrame, edges: DataFrame, status: DataFrame) -> DataFrame:
     """The rows of a :class:`WakeTable` for whole workflows as they stand. ``unmet`` is null where a name is no task."""
-    arcs = edges.where(F.col("task_name").isNotNull()).select(*TASK, "dep").distinct()
+    named_arcs = edges.where(F.col("task_name").isNotNull())
+    # Grouped by the key they are joined on, by one exchange for both uses; a set holds each arc once.
+    arcs = named_arcs.where(F.col("dep").isNotNull()).groupBy("wf_id", "dep").agg(F.collect_set("task_name").alias("dependents"))
+    unnamed = named_arcs.where(F.col("dep").isNull()).select(*TASK).distinct()
     phase = (
         F.when(F.bool_or(_is(S.SUCCEEDED)), S.SUCCEEDED)
         .when(F.bool_or(_is(S.FAILED)), S.FAILED)
@@ -42,10 +45,11 @@ def counters(tasks: DataFrame, edges: DataFrame, status: DataFrame) -> DataFrame
     )
     phases = status.groupBy(*TASK).agg(phase.alias("phase"))
     met = phases.where(_is(S.SUCCEEDED)).select("wf_id", F.col("task_name").alias("dep"))
-    unmet = arcs.join(met, ["wf_id", "dep"], "left_anti").groupBy(*TASK).agg(F.count("*").alias("unmet"))
+    waiting = arcs.join(met, ["wf_id", "dep"], "left_anti").select("wf_id", F.explode("dependents").alias("task_name"))
+    unmet = waiting.unionByName(unnamed).groupBy(*TASK).agg(F.count("*").alias("unmet"))
     named = tasks.where(F.col("task_name").isNotNull()).select(*TASK).distinct()
     needed = named.join(unmet, TASK, "left").select(*TASK, F.coalesce("unmet", F.lit(0)).alias("unmet"))
-    behind = arcs.where(F.col("dep").isNotNull()).groupBy("wf_id", F.col("dep").alias("task_name")).agg(F.collect_set("task_name").alias("dependents"))
+    behind = arcs.select("wf_id", F.col("dep").alias("task_name"), "dependents")
     rows = needed.join(behind, TASK, "full").join(phases, TASK, "left").withColumn("phase", F.coalesce("phase", F.lit(S.PENDING)))
     return rows.where(~_is(S.SUCCEEDED, S.FAILED)).select(*TASK, "phase", "unmet", "dependents")
 

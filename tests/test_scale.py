@@ -56,3 +56,17 @@ def test_lint_looks_for_known_tasks_before_edges_are_made_distinct(spark):
     assert any("LeftAnti" in line for line in lines[distinct + 1 : distinct + 4])
     rows = sorted((r.task_name or "", r.issue, r.detail) for r in found.where("issue = 'dangling'").collect())
     assert rows == [("", "dangling", None), ("b", "dangling", "gone")]
+
+
+def test_counters_shuffle_edges_once_for_both_uses(spark):
+    tasks = spark.createDataFrame([(1, n) for n in "abcd"], "wf_id long, task_name string")
+    edges = [(1, "b", "a"), (1, "b", "a"), (1, "c", "a"), (1, "c", None), (1, "c", None), (1, "d", "x"), (1, None, "a")]
+    edges = spark.createDataFrame(edges, "wf_id long, task_name string, dep string")
+    status = spark.createDataFrame([(1, "d", "Running")], "wf_id long, task_name string, phase string")
+    found = wakeups.counters(tasks, edges, status)
+    got = {r.task_name: (r.phase, r.unmet, sorted(r.dependents or [])) for r in found.collect()}
+    assert got == {
+        "a": ("Pending", 0, ["b", "c"]), "b": ("Pending", 1, []), "c": ("Pending", 2, []), "d": ("Running", 1, []), "x": ("Pending", None, ["d"]),
+    }
+    # the distinct arcs had an exchange of their own, by all three columns
+    assert "Aggregate [wf_id, task_name, dep]" not in "".join(c for c in plan_of(found) if c not in "#L0123456789")
