@@ -70,3 +70,19 @@ def test_counters_shuffle_edges_once_for_both_uses(spark):
     }
     # the distinct arcs had an exchange of their own, by all three columns
     assert "Aggregate [wf_id, task_name, dep]" not in "".join(c for c in plan_of(found) if c not in "#L0123456789")
+
+
+def test_all_targets_are_judged_in_one_pass(spark):
+    rows = [(f"img{i % 3}", i / 10, float(i), 1.0, 2.0, float(i), 2.0 * i, 5.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "image string, image_hash double, hist_cpu_m double, hist_mem_mib double, hist_duration_s double, actual_cpu_m double, actual_mem_mib double, duration_s double")
+    forest = model.train_forest(df, trees=3, depth=4)
+    scored = forest.transform(df)
+    spark.sparkContext.setJobGroup("r2", "r2")
+    got = {r.target: r.r2 for r in model.evaluate_r2(forest, df).collect()}
+    spark.sparkContext.setJobGroup("", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("r2")) <= 3
+    actual = [(r.actual_cpu_m, r.p_actual_cpu_m) for r in scored.collect()]
+    mean = sum(a for a, _ in actual) / len(actual)
+    assert got["actual_cpu_m"] == pytest.approx(1 - sum((a - p) ** 2 for a, p in actual) / sum((a - mean) ** 2 for a, _ in actual))
+    with pytest.raises(ValueError):
+        model.evaluate_r2(forest, df.limit(0))
