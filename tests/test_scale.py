@@ -58,6 +58,10 @@ def test_lint_looks_for_known_tasks_before_edges_are_made_distinct(spark):
     assert rows == [("", "dangling", None), ("b", "dangling", "gone")]
 
 
+def test_events_shuffle_only_the_tasks_that_may_be_refused(spark, sf_dir):
+    assert plan_of(QUERIES["event_log"](spark, sf_dir)).count("LeftSemi") > plan_of(QUERIES["apply_plan"](spark, sf_dir)).count("LeftSemi")
+
+
 def test_counters_shuffle_edges_once_for_both_uses(spark):
     tasks = spark.createDataFrame([(1, n) for n in "abcd"], "wf_id long, task_name string")
     edges = [(1, "b", "a"), (1, "b", "a"), (1, "c", "a"), (1, "c", None), (1, "c", None), (1, "d", "x"), (1, None, "a")]
