@@ -1,7 +1,8 @@
 """Longest paths and lint checks on the dependency graph.
 
 A workflow of ordinary size whose dependencies precede their dependents in the document needs one pass over its
-tasks in spec order, done inside one row. All others (larger ones, and those that list a dependency after its
+tasks in spec order, done inside one row. Where it has few tasks and dependencies, both meet in that row by one shuffle;
+otherwise the names of dependencies are looked up by a join first. All others (larger ones, and those that list a dependency after its
 dependent or repeat a position) are solved together by elimination, in rounds that grow with the logarithm of a chain's
 length (``maxplus``). Times are added as decimals of nine places, so both routes give the same numbers.
 
@@ -11,19 +12,24 @@ its name.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetplan.functions.exact import VALUE, value_of
 from fleetplan.functions.numbering import positions
 from fleetplan.operators.maxplus import ENDLESS, gathered, is_endless, on_cycles, solve
-from fleetplan.session import MAX_FOLD_TASKS, large_groups, stage
+from fleetplan.session import MAX_FOLD_TASKS, stage
 
 ORDERS = ("any", "spec")
 
 
 #: Tasks of the inner lists of a fold: a step copies one of them, not all that came before.
 BLOCK = 64
+#: Tasks of a workflow, and dependencies for each of them, up to which names are compared inside a row.
+FEW_TASKS = 64
+LINKS = 4
 #: Tasks whose ancestors are the bits of one number.
 MASK_NODES = 64
 
@@ -51,77 +57,144 @@ def _known_durations(tasks: DataFrame) -> DataFrame:
     return tasks.withColumn("duration", value_of(F.col("duration")))
 
 
-def _forward_pass(nodes: DataFrame) -> DataFrame:
-    """Fold each workflow in spec order; a dependency counts only if it comes
-    earlier. Adds start, end, stuck (dangling, or behind such a task),
-    ``in_order`` (no dependency comes later) and ``repeats`` (a position that occurs twice)."""
+def _queues_by_join(tasks: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each workflow as one row (wf_id, in_order: no dependency comes later, repeats: a position occurs twice, queue): its
+    tasks in spec order with the ``places`` of their dependencies and ``dangling``. Names of dependencies are looked up by a join."""
     body = F.struct("idx", "task_name", "duration", "deps", "dangling", "last_dep")
-    groups = nodes.groupBy("wf_id").agg(F.sort_array(F.collect_list(body)).alias("queue"))
-    node = f"struct<end:{VALUE},stuck:boolean,start:{VALUE}>"
+    groups = _nodes(tasks, edges).groupBy("wf_id").agg(F.sort_array(F.collect_list(body)).alias("queue"))
 
     # Positions are usually dense from 0, so that the place in the array is the
     # position; in a document with gaps the places are looked up.
     dense = (F.element_at("queue", -1)["idx"] == F.size("queue") - 1) & (F.element_at("queue", 1)["idx"] == 0)
-    repeats = F.size(F.array_distinct(F.col("queue.idx"))) < F.size("queue")
     places = lambda deps: F.transform(
         deps, lambda p: (F.array_position(F.col("queue.idx"), p) - 1).cast("int")
     )
+    task = lambda t, deps: F.struct(
+        t["idx"].alias("idx"),
+        t["task_name"].alias("task_name"),
+        t["duration"].alias("duration"),
+        deps.alias("places"),
+        F.coalesce(t["dangling"], F.lit(False)).alias("dangling"),
+    )
     no_deps = F.array().cast("array<int>")
     # The condition stands outside of the lambda functions: inside, it would be evaluated for each task.
-    in_places = F.when(
-        dense & ~repeats, F.transform("queue", lambda t: t.withField("deps", F.coalesce(t["deps"], no_deps)))
-    ).otherwise(F.transform("queue", lambda t: t.withField("deps", places(F.coalesce(t["deps"], no_deps)))))
-    groups = groups.withColumn("repeats", repeats).withColumn("queue", in_places)
-    def step(blocks: Column, open_: Column, task: Column) -> Column:
-        full = F.size(blocks) * BLOCK
-        at = lambda p: F.when(p < full, F.get(F.get(blocks, F.floor(p / BLOCK).cast("int")), p % BLOCK)).otherwise(F.get(open_, p - full))
-        earlier = F.filter(task["deps"], lambda p: p < full + F.size(open_))
-        found = F.transform(earlier, at)
-        start = F.coalesce(F.array_max(F.transform(found, lambda d: d["end"])), F.lit(0).cast(VALUE))
-        stuck = F.coalesce(task["dangling"], F.lit(False)) | F.exists(found, lambda d: d["stuck"])
-        here = F.struct((start + task["duration"]).cast(VALUE).alias("end"), stuck.alias("stuck"), start.alias("start")).cast(node)
-        return F.concat(open_, F.array(here))
-
-    # A step of ``aggregate`` copies its state. So tasks are folded block by block, the state of which is the block alone;
-    # what came before is copied once for each block.
-    last = F.floor((F.size("queue") - 1) / BLOCK).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("queue", i * BLOCK + 1, F.lit(BLOCK)))
-    none = F.array().cast(f"array<{node}>")
-    block = lambda blocks, tasks: F.concat(blocks, F.array(F.aggregate(tasks, none, lambda open_, task: step(blocks, open_, task))))
-    done = F.aggregate(cut, F.array().cast(f"array<array<{node}>>"), block, F.flatten)
-
+    placed = F.when(dense & ~_repeats(), F.transform("queue", lambda t: task(t, F.coalesce(t["deps"], no_deps)))).otherwise(
+        F.transform("queue", lambda t: task(t, places(F.coalesce(t["deps"], no_deps))))
+    )
     late = F.exists("queue", lambda t: F.coalesce(t["last_dep"] >= t["idx"], F.lit(False)))
+    return groups.select("wf_id", (~late).alias("in_order"), _repeats().alias("repeats"), placed.alias("queue"))
+
+
+def _queues_in_row(tasks: DataFrame, edges: DataFrame, dangling: bool) -> DataFrame:
+    """The same for workflows of few tasks and dependencies: both are brought together by workflow, once, and names are
+    compared inside the row. Without ``dangling`` that is not looked for, and false."""
+    no_link = F.lit(None).cast("struct<task_name:string,dep:string>")
+    # a dependency without workflow or task belongs to none
+    links = edges.where("wf_id IS NOT NULL AND task_name IS NOT NULL").select("wf_id", F.struct("task_name", "dep").alias("link"))
+    own = tasks.select("wf_id", F.struct("idx", "task_name", "duration").alias("task"))
+    both = own.withColumn("link", no_link).unionByName(links.withColumn("task", F.lit(None).cast(own.schema["task"].dataType)))
+    groups = both.groupBy("wf_id").agg(F.sort_array(F.collect_list("task")).alias("queue"), F.collect_list("link").alias("links"))
+    groups = groups.where(F.size("queue") > 0)
+
+    at = F.transform("queue", lambda t, p: F.struct(t["task_name"].alias("name"), t["idx"].alias("idx"), p.alias("p")))
+
+    def task(t: Column, at: Column) -> Column:
+        deps = F.transform(F.filter("links", lambda l: l["task_name"] == t["task_name"]), lambda l: l["dep"])
+        same = lambda s, d: F.coalesce(s["name"] == d, F.lit(False))
+        unknown = lambda d: ~F.exists(at, lambda s: same(s, d)) | F.exists(at, lambda s: s["idx"].isNull() & same(s, d))
+        return _let(
+            deps,
+            lambda deps: F.struct(
+                t["idx"].alias("idx"),
+                t["task_name"].alias("task_name"),
+                t["duration"].alias("duration"),
+                F.transform(F.filter(at, lambda s: s["idx"].isNotNull() & F.array_contains(deps, s["name"])), lambda s: s["p"]).alias("places"),
+                (F.exists(deps, unknown) if dangling else F.lit(False)).alias("dangling"),
+            ),
+        )
+
+    placed = _let(at, lambda at: F.transform("queue", lambda t: task(t, at)))
+    groups = groups.select("wf_id", _repeats().alias("repeats"), placed.alias("queue"))
+    late = F.exists(
+        F.transform("queue", lambda t, p: t["idx"].isNotNull() & F.coalesce(F.array_max(t["places"]) >= p, F.lit(False))), lambda l: l
+    )
+    return groups.select("wf_id", (~late).alias("in_order"), "repeats", "queue")
+
+
+def _repeats() -> Column:
+    return F.size(F.array_distinct(F.col("queue.idx"))) < F.size("queue")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once; inside of a lambda function it would be for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _folded(queues: DataFrame, type_: str, step: Callable[[Column, Callable[[Column], Column]], Column], blocks: bool) -> DataFrame:
+    """Fold each workflow of ``queues`` in spec order: one row for each task with its ``value``, which ``step`` gives from
+    the task and a lookup of the value at an earlier place (null at its own and later ones)."""
+    none = F.array().cast(f"array<{type_}>")
+    if blocks:
+        # A step of ``aggregate`` copies its state. So tasks are folded block by block, the state of which is the block alone;
+        # what came before is copied once for each block.
+        def at(blocks: Column, open_: Column) -> Callable[[Column], Column]:
+            full = F.size(blocks) * BLOCK
+            return lambda p: F.when(p < full, F.get(F.get(blocks, F.floor(p / BLOCK).cast("int")), p % BLOCK)).otherwise(F.get(open_, p - full))
+
+        last = F.floor((F.size("queue") - 1) / BLOCK).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("queue", i * BLOCK + 1, F.lit(BLOCK)))
+        block = lambda blocks, tasks: F.concat(
+            blocks, F.array(F.aggregate(tasks, none, lambda open_, task: F.concat(open_, F.array(step(task, at(blocks, open_))))))
+        )
+        done = F.aggregate(cut, F.array().cast(f"array<array<{type_}>>"), block, F.flatten)
+    else:
+        done = F.aggregate("queue", none, lambda open_, task: F.concat(open_, F.array(step(task, lambda p: F.get(open_, p)))))
     # All of a workflow is worked out before the explode: beside it, an expression is evaluated for each task. No array is
     # empty; an inner explode would work everything out once more to see that.
-    whole = groups.select(
+    whole = queues.select("wf_id", "in_order", "repeats", F.arrays_zip("queue", done.alias("done")).alias("all"))
+    return whole.select("wf_id", "in_order", "repeats", F.explode_outer("all").alias("t")).select(
         "wf_id",
-        (~late).alias("in_order"),
+        F.col("t.queue.idx").alias("idx"),
+        F.col("t.queue.task_name").alias("task_name"),
+        F.col("t.queue.duration").alias("duration"),
+        F.col("t.done").alias("value"),
+        "in_order",
         "repeats",
-        F.arrays_zip("queue", done.alias("done")).alias("all"),
-    )
-    return (
-        whole.select("wf_id", "in_order", "repeats", F.explode_outer("all").alias("t"))
-        .select(
-            "wf_id",
-            F.col("t.queue.idx").alias("idx"),
-            F.col("t.queue.task_name").alias("task_name"),
-            F.col("t.done.start").alias("start"),
-            F.col("t.done.end").alias("end"),
-            F.col("t.done.stuck").alias("stuck"),
-            "in_order",
-            "repeats",
-        )
     )
 
 
-def _routes(tasks: DataFrame, edges: DataFrame, max_fold: int, order: str) -> tuple[DataFrame, DataFrame | None]:
-    """The forward pass of the workflows it holds for, and the ids of all others (None if there are none)."""
-    large = large_groups(tasks, "wf_id", max_fold)
-    ordinary, foldable = tasks, edges
-    if large is not None:
-        ordinary = tasks.join(large, "wf_id", "left_anti")
-        foldable = edges.join(large, "wf_id", "left_anti")
-    passed = stage(_forward_pass(_nodes(ordinary, foldable)), "forward")
+def _end(task: Column, at: Callable[[Column], Column]) -> Column:
+    start = F.coalesce(F.array_max(F.transform(task["places"], at)), F.lit(0).cast(VALUE))
+    return (start + task["duration"]).cast(VALUE)
+
+
+def _is_stuck(task: Column, at: Callable[[Column], Column]) -> Column:
+    """A dependency is dangling, or is itself of such a task."""
+    return task["dangling"] | F.exists(task["places"], lambda p: F.coalesce(at(p), F.lit(False)))
+
+
+def _routes(
+    tasks: DataFrame, edges: DataFrame, max_fold: int, order: str, type_: str, step: Callable, columns: list[Column]
+) -> tuple[DataFrame, DataFrame | None]:
+    """The forward pass, with ``columns``, of the workflows it holds for, and the ids of all others (None if there are none)."""
+    few, dangling = FEW_TASKS, step is _is_stuck
+    tasks, edges = tasks.select("wf_id", "idx", "task_name", "duration"), edges.select("wf_id", "task_name", "dep")
+    row = lambda df, n, m: df.select("wf_id", F.lit(n).alias("n"), F.lit(m).alias("m"))
+    sizes = row(tasks, 1, 0).unionByName(row(edges, 0, 1)).groupBy("wf_id").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    many = stage(sizes.where((F.col("n") > min(few, max_fold)) | (F.col("m") > few * LINKS)), "large-groups")
+    large = None
+    if many.isEmpty():
+        passed = _folded(_queues_in_row(tasks, edges, dangling), type_, step, blocks=False)
+    else:
+        # rows without workflow are one group, and always folded
+        large = many.where((F.col("n") > max_fold) & F.col("wf_id").isNotNull())
+        wide = many.where((F.col("n") <= max_fold) | F.col("wf_id").isNull()).select(F.col("wf_id").alias("of"))
+        all_ = many.select(F.col("wf_id").alias("of"))
+        part = lambda df, ids, how: df.join(ids, F.col("wf_id").eqNullSafe(F.col("of")), how)
+        small = _queues_in_row(part(tasks, all_, "left_anti"), part(edges, all_, "left_anti"), dangling)
+        joined = _queues_by_join(part(tasks, wide, "left_semi"), part(edges, wide, "left_semi"))
+        passed = _folded(small, type_, step, blocks=False).unionByName(_folded(joined, type_, step, blocks=True))
+    passed = stage(passed.select("wf_id", "idx", "task_name", *columns, "in_order", "repeats"), "forward")
     holds = ~F.col("repeats") if order == "spec" else F.col("in_order") & ~F.col("repeats")
     rest = passed.where(~holds).select("wf_id").distinct()
     rest = stage(rest if large is None else rest.unionByName(large.select("wf_id")), "to-solve")
@@ -157,7 +230,10 @@ def earliest_start(
         raise ValueError(f"order must be one of {ORDERS}")
     timed = lambda df, start, end: df.select("wf_id", "idx", "task_name", start.cast("double").alias("start"), end.cast("double").alias("end"))
     tasks = _known_durations(tasks)
-    passed, rest = _routes(tasks, edges, max_fold, order)
+    # stored as the doubles they are given as
+    start = (F.col("value") - F.col("duration")).cast(VALUE).cast("double")
+    columns = [start.alias("start"), F.col("value").cast("double").alias("end")]
+    passed, rest = _routes(tasks, edges, max_fold, order, VALUE, _end, columns)
     good = timed(passed, F.col("start"), F.col("end"))
     if rest is None:
         return good
@@ -172,7 +248,7 @@ def stuck_tasks(tasks: DataFrame, edges: DataFrame, max_fold: int = MAX_FOLD_TAS
     """Tasks (wf_id, idx, task_name, reason) that can never become ready: ``cycle`` for those on a cycle, ``blocked`` for those
     with a dangling dependency and all that are behind a cycle or a dangling dependency."""
     nodes = tasks.select("wf_id", "idx", "task_name", F.lit(0).cast(VALUE).alias("duration"))
-    passed, rest = _routes(nodes, edges, max_fold, "any")
+    passed, rest = _routes(nodes, edges, max_fold, "any", "boolean", _is_stuck, [F.col("value").alias("stuck")])
     reasons = lambda df, reason: df.select("wf_id", "idx", "task_name", reason.alias("reason"))
     stuck = reasons(passed.where("stuck"), F.lit("blocked"))
     if rest is None:

@@ -84,9 +84,8 @@ class Fleet:
             F.when((wf % 97 == 0) & (idx == 1), F.lit("t999")),
             F.when((wf % 101 == 0) & (idx == 0), F.lit("t1")),
         )
-        return self.tasks.select(
-            "wf_id", "task_name", F.explode(F.filter(deps, lambda d: d.isNotNull())).alias("dep")
-        )
+        # nulls go after the explode: a lambda function is not compiled
+        return self.tasks.select("wf_id", "task_name", F.explode(deps).alias("dep")).where("dep IS NOT NULL")
 
     @cached_property
     def status(self) -> DataFrame:

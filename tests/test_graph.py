@@ -158,6 +158,42 @@ def test_gaps_repeats_cycles_and_doubles_on_all_routes(spark, monkeypatch, max_f
     assert got == sorted((w, idx, name, reason) for w, (rows, es) in workflows.items() for idx, name, _, _, reason in plain(rows, es) if reason)
 
 
+def test_small_workflows_are_shuffled_once(spark, monkeypatch):
+    """Tasks and dependencies meet by workflow: neither is joined, nor shuffled by name."""
+    from fleetplan.operators import graph
+
+    plans, stage = [], graph.stage
+
+    def seen(df, label):
+        if label == "forward":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, label)
+
+    monkeypatch.setattr(graph, "stage", seen)
+    nodes, edges = frames(spark, CASES)
+    earliest_start(nodes, edges)
+    stuck_tasks(nodes, edges)
+    assert [(p.count("Exchange hashpartitioning"), p.count("Join")) for p in plans] == [(1, 0), (1, 0)]
+
+
+@pytest.mark.parametrize("few", [64, 2])
+def test_nulls_and_repeated_names_agree_in_row_and_by_join(spark, monkeypatch, few):
+    from fleetplan.operators import graph
+
+    monkeypatch.setattr(graph, "FEW_TASKS", few)
+    nodes = [(1, 0, "a", 2.0), (1, 1, "a", 5.0), (1, 2, None, 1.0), (1, 3, "b", 1.0), (1, 4, "c", 1.0), (2, None, "x", 3.0), (2, 1, "y", 4.0), (2, 2, "z", 1.0)]
+    nodes += [(3, i, f"t{i}", 1.0) for i in range(70)] + [(None, 0, "m", 1.0), (None, 1, "n", 1.0), (None, 2, "o", 1.0)]
+    edges = [(1, "b", "a"), (1, "b", "a"), (1, None, "a"), (1, "c", None), (1, "c", "b"), (2, "y", "x"), (2, "z", "y"), (2, "gone", "x"), (4, "p", "q")]
+    edges += [(3, f"t{i}", f"t{i - 1}") for i in range(1, 70)] + [(None, "n", "m")]
+    nodes, edges = spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES)
+    got = {(r.wf_id, r.task_name, r.idx): r.start for r in earliest_start(nodes, edges).collect()}
+    assert got == {
+        (1, "a", 0): 0, (1, "a", 1): 0, (1, None, 2): 0, (1, "b", 3): 5, (1, "c", 4): 6, (2, "x", None): 0, (2, "y", 1): 0, (2, "z", 2): 4,
+        **{(3, f"t{i}", i): i for i in range(70)}, (None, "m", 0): 0, (None, "n", 1): 0, (None, "o", 2): 0,
+    }
+    assert sorted(map(tuple, stuck_tasks(nodes, edges).collect())) == [(1, 4, "c", "blocked"), (2, 1, "y", "blocked"), (2, 2, "z", "blocked")]
+
+
 def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     """20,000 tasks in one chain whose tasks stand in the document in any order."""
     rounds = []
