@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
@@ -102,11 +105,14 @@ def score_forest(model: PipelineModel, enriched: DataFrame) -> DataFrame:
     Fixed values: 10% headroom, floors 10 / 8 / 1, confidence from the number
     of samples.
     """
-    scored = model.transform(enriched.withColumn("image_hash", image_hash(F.col("image"))))
+    # Statistics are those of the image: tasks that share an image and its statistics have one prediction.
+    shared = ["image", *FEATURES[1:]]
+    asked = stage(enriched.select(*shared).distinct(), "to-score").withColumn("image_hash", image_hash(F.col("image")))
+    found = stage(model.transform(asked).select(*[F.col(c).alias(f"__{c}") for c in shared], *[f"p_{t}" for t in TARGETS]), "scores")
+    scored = enriched.join(found, reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in shared]))
     cpu, mem, duration = (F.col(f"p_{t}") for t in TARGETS)
-    keep = [c for c in enriched.columns]
     return scored.select(
-        *keep,
+        *enriched.columns,
         F.greatest(F.lit(10).cast("bigint"), (cpu * 1.1).cast("bigint")).alias("ml_cpu_m"),
         F.greatest(F.lit(8).cast("bigint"), (mem * 1.1).cast("bigint")).alias("ml_mem_mib"),
         F.greatest(F.lit(1.0), duration).alias("ml_duration_s"),

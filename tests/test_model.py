@@ -91,3 +91,19 @@ def test_model_branch(spark, outputs, n, expected):
 
 def test_rows_keep_their_node(forest):
     assert all(stage.getOrDefault("cacheNodeIds") for stage in forest[0].stages[1:])
+
+
+class Counting(Stub):
+    """Counts the rows it is asked for."""
+
+    def transform(self, df):
+        self.asked = df.count()
+        return super().transform(df)
+
+
+def test_tasks_of_an_image_are_scored_once(spark):
+    stub = Counting(100.0, 200.0, 7.5)
+    rows = [(i, "t", f"img{i % 3}", None, None, 50.0 + i % 3, None if i % 3 else 50.0, 5.0, 4) for i in range(60)]
+    df = spark.createDataFrame(rows, "wf_id long, task_name string, image string, hint_cpu_m long, hint_mem_mib long, hist_cpu_m double, hist_mem_mib double, hist_duration_s double, n_samples long")
+    found = predict_resources(df, model=stub).collect()
+    assert stub.asked == 3 and sorted(r.wf_id for r in found) == list(range(60)) and {r.cpu_m for r in found} == {110}
