@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from operator import and_
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fleetplan import schemas as S
 from fleetplan.functions import image_hash
+from fleetplan.operators import forest
 from fleetplan.operators.history import rolling_image_history
 from fleetplan.session import spread, stage
 
@@ -57,7 +59,8 @@ def _as_text(df: DataFrame, name: str):
 
 
 def train_forest(df: DataFrame, trees: int = 100, depth: int = 10, seed: int = 42) -> PipelineModel:
-    """One pipeline with a forest per target."""
+    """One pipeline with a forest per target. Where many rows share the bins of their features, the trees grow from sums over
+    these (:mod:`fleetplan.operators.forest`), else MLlib passes over the rows; both are the same kind of forest, on other draws."""
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     forests = [
         RandomForestRegressor(
@@ -71,9 +74,16 @@ def train_forest(df: DataFrame, trees: int = 100, depth: int = 10, seed: int = 4
         )
         for target in TARGETS
     ]
-    # Every forest passes over its rows several times: they are written out once.
-    rows = spread(stage(df.select(*FEATURES, *TARGETS), "training"))
-    return Pipeline(stages=[assembler, *forests]).fit(rows)
+    # Rows are read several times: they are written out once.
+    key = F.xxhash64(F.lit(seed), *row_key(df), *FEATURES, *TARGETS)
+    rows = stage(df.select(key.alias("key"), *FEATURES, *TARGETS), "training")
+    grown = forest.cell_forests(rows, FEATURES, TARGETS, trees, depth, forests[0].getMaxBins())
+    if grown is None:
+        return Pipeline(stages=[assembler, *forests]).fit(spread(rows.drop("key")))
+    nodes, splits = stage(grown[0], "forest-nodes"), grown[1]
+    with ThreadPoolExecutor(len(forests)) as pool:
+        fitted = list(pool.map(lambda i: forest.as_model(forests[i], nodes.where(F.col("target") == i), len(FEATURES)), range(len(forests))))
+    return forest.Forests([assembler, *fitted], splits)
 
 
 def evaluate_r2(model: PipelineModel, df: DataFrame) -> DataFrame:

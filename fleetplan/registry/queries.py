@@ -668,7 +668,7 @@ def _trained(f: Fleet):
 
     def build():
         train, test = model.split_train_test(stage(_samples(f), "samples"))
-        return model.train_forest(train), test
+        return model.train_forest(train), stage(test, "held-out")
 
     return f.once("forest", build)
 
@@ -723,7 +723,7 @@ def forest_on_history(f: Fleet) -> DataFrame:
 
     def build():
         train, test = model.split_train_test(stage(model.training_set(f.executions), "training-set"))
-        return model.train_forest(train, trees=20, depth=6), test
+        return model.train_forest(train, trees=20, depth=6), stage(test, "held-out")
 
     forest, test = f.once("history-forest", build)
     scores = model.evaluate_r2(forest, test)

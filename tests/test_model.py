@@ -1,10 +1,16 @@
+import hashlib
+
+import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
+from fleetplan.operators import forest as cells
 from fleetplan.operators import model
 from fleetplan.operators.predict import predict_resources
-from fleetplan.sources.synthetic import FLOORS, PROFILES, generate_executions
+from fleetplan.sources.synthetic import FLOORS, PROFILES, _drawn, generate_executions
 
 # The first run reached a mean R2 of 0.955, with 20 trees and with 100.
 R2_FLOOR = 0.93
@@ -93,6 +99,75 @@ def test_rows_keep_their_node(forest):
     assert all(stage.getOrDefault("cacheNodeIds") for stage in forest[0].stages[1:])
 
 
+# Forests grown from cells
+
+
+@pytest.fixture(scope="module")
+def cell_forest(spark, forest):
+    """As ``forest``, with few rows a cell and few sums a task allowed, so that the trees grow from cells in several blocks."""
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(cells, "ROWS_A_CELL", 0.1)
+        patch.setattr(cells, "MAX_SUMS", 1 << 15)
+        return model.train_forest(forest[1], trees=20)
+
+
+@pytest.mark.parametrize("depth", [1, 6])
+def test_trees_of_cells_are_those_of_mllib(forest, depth):
+    train = forest[1].toPandas()
+    columns = [train[c].to_numpy() for c in model.FEATURES]
+    splits = [cells.find_splits(c, 32) for c in columns]
+    known, slots = np.unique(cells._cells(columns, splits), return_inverse=True)
+    vectors = VectorAssembler(inputCols=model.FEATURES, outputCol="features").transform(forest[1])
+    for target in model.TARGETS:
+        y = train[target].to_numpy()
+        tree = cells.grow(cells._digits(known, splits), np.array([np.bincount(slots, weights=w) for w in (y * 0 + 1, y, y * y)]), splits, depth)
+        node = np.zeros(len(train), int)
+        for _ in range(depth):
+            feature = tree["feature"][node]
+            right = np.choose(np.maximum(feature, 0), columns) > tree["threshold"][node]
+            node = np.where(feature < 0, node, np.where(right, tree["right"][node], tree["left"][node]))
+        exact = DecisionTreeRegressor(labelCol=target, maxDepth=depth, predictionCol="p").fit(vectors)
+        assert exact.numNodes == len(tree["id"])
+        expected = dict(exact.transform(vectors).select("sample_id", "p").collect())
+        assert tree["prediction"][node] == pytest.approx([expected[i] for i in train["sample_id"]])
+
+
+def test_forest_of_cells_is_as_good(forest, cell_forest):
+    rows, test = forest[0], forest[2]
+    assert isinstance(cell_forest, cells.Forests) and not isinstance(rows, cells.Forests)
+    old, new = ({r.target: r.r2 for r in model.evaluate_r2(m, test).collect()} for m in (rows, cell_forest))
+    assert new == pytest.approx(old, abs=0.01) and new["mean"] > R2_FLOOR
+    assert [s.getNumTrees for s in cell_forest.stages[1:]] == [20] * 3
+    assert cell_forest.stages[1].totalNumNodes == pytest.approx(rows.stages[1].totalNumNodes, rel=0.05)
+
+
+def test_forest_of_cells_depends_on_the_rows_alone(spark, forest, cell_forest):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(cells, "ROWS_A_CELL", 0.1)
+        again = model.train_forest(forest[1].repartition(3, "image"), trees=20)
+    rows = lambda m: [r.p_duration_s for r in m.transform(forest[2]).orderBy("sample_id").collect()]
+    assert rows(again) == pytest.approx(rows(cell_forest))
+
+
+def test_scores_by_cell_are_those_of_the_trees(spark, forest, cell_forest, tmp_path):
+    columns = ["sample_id", "features", *[f"p_{t}" for t in model.TARGETS]]
+    rows = lambda m, df: m.transform(df).orderBy("sample_id").select(*columns).collect()
+    assert rows(cell_forest, forest[2]) == rows(PipelineModel(cell_forest.stages), forest[2])
+    cell_forest.write().save(str(tmp_path / "cells"))
+    assert rows(PipelineModel.load(str(tmp_path / "cells")), forest[2]) == rows(cell_forest, forest[2])
+    for value in (None, float("nan")):
+        with pytest.raises(Exception, match="(?i)assembl|null|NaN"):
+            cell_forest.transform(forest[2].withColumn("hist_cpu_m", F.lit(value).cast("double"))).collect()
+
+
+def test_bootstrap_draws_are_poisson():
+    keys = np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 100_000)
+    drawn = cells.bootstrap(keys, 0, 6)
+    assert drawn.mean(axis=0) == pytest.approx(1, abs=0.02) and drawn.var(axis=0) == pytest.approx(1, abs=0.03)
+    assert abs(np.corrcoef(drawn.T)[0, 1:]).max() < 0.02
+    assert (cells.bootstrap(keys, 2, 3) == drawn[:, 2:5]).all()
+
+
 class Counting(Stub):
     """Counts the rows it is asked for."""
 
@@ -107,3 +182,10 @@ def test_tasks_of_an_image_are_scored_once(spark):
     df = spark.createDataFrame(rows, "wf_id long, task_name string, image string, hint_cpu_m long, hint_mem_mib long, hist_cpu_m double, hist_mem_mib double, hist_duration_s double, n_samples long")
     found = predict_resources(df, model=stub).collect()
     assert stub.asked == 3 and sorted(r.wf_id for r in found) == list(range(60)) and {r.cpu_m for r in found} == {110}
+
+
+def test_draws_are_words_of_hashes(spark):
+    found = _drawn(spark.range(3), 7).collect()
+    for r in found:
+        digests = b"".join(hashlib.sha256(f"7|{block}|{r.id}".encode()).digest() for block in range(2))
+        assert r.u == [(int.from_bytes(digests[4 * i : 4 * i + 4]) + 0.5) / 2**32 for i in range(16)]
