@@ -166,3 +166,17 @@ def test_statuses_are_never_broadcast(spark):
     create = lambda pods: pods.select("namespace", "pod_name", F.lit("quota").alias("error"))
     refused = reconcile_cycle(first, none, executions, "2024-01-02 00:00:00", create=create)
     assert "Broadcast" not in refused.pods._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stream_reads_the_table_once_for_a_batch(spark, tmp_path, monkeypatch):
+    """Nothing is refused, so what was written is not looked up."""
+    table = DocumentTable(spark, str(tmp_path / "docs"))
+    table.write(documents(spark).where("name <> 'over'").withColumn("resource_version", F.lit(None).cast("bigint")), "spec")
+    reads, read = [], DocumentTable.read
+    monkeypatch.setattr(DocumentTable, "read", lambda self, *version: reads.append(1) or read(self, *version))
+    executions, none = spark.createDataFrame([], S.EXECUTION), spark.createDataFrame([], PODS)
+    reconciler.reconcile_stream(
+        changes(spark, tmp_path, ["two", "none"]), table, lambda batch: none, lambda batch: executions, str(tmp_path / "out"), str(tmp_path / "cp"), lambda batch: "2024-01-01 00:00:00"
+    ).awaitTermination()
+    assert len(reads) == 1 and {r.name: r.status.phase for r in read(table).collect()} == {"two": "Pending", "none": "Pending"}
+    assert spark.read.parquet(str(tmp_path / "out/requeued/batch=0")).isEmpty()
