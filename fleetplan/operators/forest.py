@@ -6,7 +6,7 @@ its values and of their squares. That is all that variance splits ask for, so th
 once, where MLlib's own training passes over all rows for each level of each forest. Bins, splits, gains and leaves are MLlib's.
 
 How often a row is in a tree's sample is a Poisson draw, as in MLlib. It is taken from a hash of the row, so it depends neither on
-how the rows are partitioned nor on their order.
+how the rows are partitioned nor on their order. Sums may differ in their last places, and by that the choice between equal splits.
 """
 
 from __future__ import annotations

@@ -141,12 +141,15 @@ def test_forest_of_cells_is_as_good(forest, cell_forest):
     assert cell_forest.stages[1].totalNumNodes == pytest.approx(rows.stages[1].totalNumNodes, rel=0.05)
 
 
-def test_forest_of_cells_depends_on_the_rows_alone(spark, forest, cell_forest):
+def test_draws_do_not_depend_on_partitions(spark, forest, cell_forest):
+    """The same rows are in each tree's sample. Sums may differ in their last places, and by that the choice between equal splits."""
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(cells, "ROWS_A_CELL", 0.1)
         again = model.train_forest(forest[1].repartition(3, "image"), trees=20)
-    rows = lambda m: [r.p_duration_s for r in m.transform(forest[2]).orderBy("sample_id").collect()]
-    assert rows(again) == pytest.approx(rows(cell_forest))
+    count = lambda m: [t._call_java("rootNode").impurityStats().count() for t in m.stages[1].trees]
+    assert count(again) == count(cell_forest) and len(set(count(again))) > 1
+    rows = lambda m: np.array([r.p_duration_s for r in m.transform(forest[2]).orderBy("sample_id").collect()])
+    assert np.isclose(rows(again), rows(cell_forest), rtol=0.02).mean() > 0.9
 
 
 def test_scores_by_cell_are_those_of_the_trees(spark, forest, cell_forest, tmp_path):
